@@ -125,6 +125,20 @@ class Ordered:
             df = df.withColumn(out, F.col(out) - F.col("_value"))
         return self._keep(df.drop("_value", "_offset"))
 
+    def running_max(self, value: Column, out: str) -> Ordered:
+        """Largest ``value`` over this and all earlier rows; null while there is none."""
+        frame = self._local(self.descending).rowsBetween(W.unboundedPreceding, W.currentRow)
+        df = self.df.withColumn(out, F.max(value).over(frame))
+        if self.blocks > 1:
+            before = self._across(self.descending).rowsBetween(W.unboundedPreceding, -1)
+            tops = (
+                self.df.groupBy(*self.keys, BLOCK)
+                .agg(F.max(value).alias("_top"))
+                .withColumn("_top", F.max("_top").over(before))
+            )
+            df = df.join(tops, [*self.keys, BLOCK], "left").withColumn(out, F.greatest(out, "_top"))
+        return self._keep(df.drop("_top"))
+
     def row_number(self, out: str) -> Ordered:
         """1-based position within the key."""
         return self.running_sum(F.lit(1).cast("bigint"), out)

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
-from runledger.operators.ordered import Ordered
 
 
 def is_visible(as_of_us: int) -> Column:
@@ -189,20 +188,3 @@ def idle_agents(agents: DataFrame, cutoff_us: int, queue_depth: Column) -> DataF
         .filter(~spared & (queue_depth == 0))
         .select("pool", "agent_id")
     )
-
-
-def round_robin(tasks: DataFrame, order: str, agents: DataFrame, rows: int | None = None) -> DataFrame:
-    """The i-th task goes to agent number i modulo the number of agents.
-
-    The running number is built block-wise, so no task sees all rows.
-    """
-    pool = agents.agg(F.count(F.lit(1)).alias("n"))
-    numbered = Ordered(agents.select("agent_id", F.lit(0).alias("_all")), ["_all"], "agent_id", rows=rows)
-    numbered = numbered.row_number("slot").done().drop("_all")
-    seq = Ordered(tasks.withColumn("_all", F.lit(0)), ["_all"], order, rows=rows)
-    seq = seq.row_number("n_th").done().drop("_all")
-    size = pool.first()[0]
-    if size == 0:
-        return seq.limit(0).withColumn("agent_id", F.lit(None).cast("bigint"))
-    slot = (F.col("n_th") - 1) % size + 1
-    return seq.withColumn("slot", slot).join(numbered, "slot").drop("slot", "n_th")

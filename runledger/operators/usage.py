@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
+from runledger.functions import text
 from runledger.operators.ordered import Ordered, fold_by_key
 
 
@@ -124,7 +125,7 @@ def usage_rollup(calls: DataFrame, levels: list[str]) -> DataFrame:
 
 def conversation_rollup(messages: DataFrame) -> DataFrame:
     """Prompt tokens (whitespace words of all messages) and the last user message."""
-    words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
+    words = text.word_count(F.col("content"))
     user = F.when(F.col("role") == "user", F.col("turn"))
     return messages.groupBy("request_id").agg(
         F.sum(words).cast("bigint").alias("prompt_tokens"),

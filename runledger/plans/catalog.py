@@ -1,4 +1,4 @@
 """All queries. Importing a plan module registers what it holds."""
 
-from runledger.plans import lifecycle, queueing, usage  # noqa: F401
+from runledger.plans import consensus, graph, lifecycle, match, quality, queueing, usage  # noqa: F401
 from runledger.plans.registry import COVERS, QUERIES, SQL  # noqa: F401

@@ -253,21 +253,6 @@ def time_predicates(t):
     )
 
 
-@query(
-    "round_robin",
-    "O-WIN5",
-    with_views("v_agents")
-    + """, a AS (SELECT agent_id, row_number() OVER (ORDER BY agent_id) - 1 AS slot, count(*) OVER () AS n
-      FROM v_agents WHERE status IN ('idle', 'registered')),
-  o AS (SELECT o_orderkey AS task_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
-  SELECT task_id, agent_id FROM o JOIN a ON o.i % a.n = a.slot""",
-)
-def round_robin(t):
-    tasks = t.orders.select(F.col("o_orderkey").alias("task_id"))
-    free = t.v_agents.filter(F.col("status").isin(fixed.AGENT_AVAILABLE)).select("agent_id")
-    return op.round_robin(tasks, "task_id", free)
-
-
 @query(
     "idle_agents",
     "O-WIN15",

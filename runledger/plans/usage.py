@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
+from runledger.functions.text import SPACE_RE2
 from runledger.operators import usage as op
 from runledger.plans.registry import query, with_views
 
@@ -111,8 +112,8 @@ def usage_rollup(t):
 @query(
     "conversation_rollup",
     "O-AGG16",
-    r"""SELECT conv_id AS request_id,
-    cast(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))) AS bigint)
+    rf"""SELECT conv_id AS request_id,
+    cast(sum(len(list_filter(regexp_split_to_array(text, '{SPACE_RE2}'), lambda w: w <> ''))) AS bigint)
       AS prompt_tokens,
     coalesce(max_by(text, turn) FILTER (WHERE role = 'user'), '') AS last_user_message
   FROM conversations GROUP BY conv_id""",
@@ -190,10 +191,10 @@ def cache_hits(t):
     "peak_concurrency",
     "O-WIN14",
     with_views("v_attempts")
-    + """, m AS (SELECT provider, at_us AS at, 1 AS d FROM v_attempts
+    + """, m AS (SELECT provider, at_us AS moment, 1 AS d FROM v_attempts
       UNION ALL SELECT provider, at_us + latency_ms * 60000000, -1 FROM v_attempts),
-  n AS (SELECT provider, at, sum(d) AS d FROM m GROUP BY provider, at),
-  r AS (SELECT provider, cast(sum(d) OVER (PARTITION BY provider ORDER BY at) AS bigint) AS o FROM n)
+  n AS (SELECT provider, moment, sum(d) AS d FROM m GROUP BY provider, moment),
+  r AS (SELECT provider, cast(sum(d) OVER (PARTITION BY provider ORDER BY moment) AS bigint) AS o FROM n)
   SELECT provider, max(o) AS peak, count(*) FILTER (WHERE o > 25) AS over_limit FROM r GROUP BY provider""",
 )
 def peak_concurrency(t):
