@@ -24,7 +24,7 @@ def rows_sql(where: str, *views: str) -> str:
     """Token sets and positions per job, and all pairs, by brute force."""
     return with_views("v_results", *views, recursive=True) + f""", r AS (SELECT *, {TOKENS} AS s,
       row_number() OVER (PARTITION BY job_id ORDER BY stage, title, task_id) AS pos FROM v_results WHERE passed AND {where}),
-  pr AS (SELECT a.job_id, a.pos AS ap, b.pos AS bp, a.task_id AS at, b.task_id AS bt, {JACC} AS sim
+  pr AS (SELECT a.job_id, a.pos AS ap, b.pos AS bp, a.task_id AS lt, b.task_id AS rt, {JACC} AS sim
       FROM r a JOIN r b ON a.job_id = b.job_id AND a.pos < b.pos)"""
 
 
@@ -60,7 +60,7 @@ def clustered(t):
     "O-JN5 O-TXT2",
     rows_sql("true")
     + """, f AS (SELECT job_id, md5(array_to_string(list_sort(s), ' ')) AS k, min(pos) AS pos FROM r GROUP BY 1, 2)
-  SELECT pr.job_id, at AS left_task, bt AS right_task, round(sim, 6) AS similarity FROM pr
+  SELECT pr.job_id, lt AS left_task, rt AS right_task, round(sim, 6) AS similarity FROM pr
     JOIN f a ON a.job_id = pr.job_id AND a.pos = ap JOIN f b ON b.job_id = pr.job_id AND b.pos = bp WHERE sim >= 0.5""",
 )
 def similar_pairs(t):

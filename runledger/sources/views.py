@@ -8,6 +8,7 @@ queries and the SQL they are checked against.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +59,7 @@ VIEWS: dict[str, str] = {
                     WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'compact'
                     ELSE 'put' END AS op,
                event_id % 4 AS expected,
-               CASE WHEN event_type = 'view' THEN 86400000 ELSE -1 END AS ttl_ms,
+               cast(CASE WHEN event_type = 'view' THEN 86400000 ELSE -1 END AS bigint) AS ttl_ms,
                CASE WHEN event_id % 3 = 0 THEN user_id % 20 ELSE -1 END AS job_id,
                'agent-' || cast(event_id % 16 AS string) AS actor
         FROM {events}""",
@@ -120,8 +121,8 @@ VIEWS: dict[str, str] = {
                     WHEN 2 THEN 'queued' WHEN 3 THEN 'completed' WHEN 4 THEN 'running'
                     WHEN 5 THEN 'completed' WHEN 6 THEN 'created' WHEN 7 THEN 'completed'
                     WHEN 8 THEN 'retry_scheduled' WHEN 9 THEN 'completed'
-                    WHEN 10 THEN CASE WHEN p_retailprice > 1000 THEN 'cancelled' ELSE 'created' END
-                    ELSE CASE WHEN p_retailprice > 1100 THEN 'dead_lettered' ELSE 'leased' END
+                    WHEN 10 THEN CASE WHEN p_retailprice > 910 THEN 'cancelled' ELSE 'created' END
+                    ELSE CASE WHEN p_retailprice > 912 THEN 'dead_lettered' ELSE 'leased' END
                     END AS state,
                p_name || ' ' || p_brand || ' ' || p_type AS output, p_size
         FROM {part}""",
@@ -200,11 +201,22 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream over its files."""
+        schema = self.table(name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}*.parquet")
+
+    def stream_view(self, name: str) -> DataFrame:
+        return self._view(name, self.stream)
+
+    def _view(self, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
+        text = _expand(VIEWS[name], _SPARK_MACROS)
+        used = {t: read(t) for t in TABLES if "{" + t + "}" in text}
+        return self.spark.sql(text, **used)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         if name in VIEWS:
-            text = _expand(VIEWS[name], _SPARK_MACROS)
-            used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
-            return self.spark.sql(text, **used)
+            return self._view(name, self.table)
         raise AttributeError(name)
