@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runledger.functions import fixed_values as fixed
 from runledger.functions import text as tx
 from runledger.operators import similarity as sim
+from runledger.session import cut
 
 def report_order() -> list[Column]:
     return [F.asc_nulls_first("stage"), F.asc("title"), F.asc("task_id")]
@@ -71,13 +72,11 @@ def conflict_counts(clustered: DataFrame) -> DataFrame:
     heads = representatives(clustered)
     sets = sim.classes(heads)
     alike = sim.similar_pairs(sets, fixed.DISAGREEMENT, strict=True)
-    ends = alike.select("job_id", F.col("a_pos").alias("pos")).unionByName(
-        alike.select("job_id", F.col("b_pos").alias("pos"))
-    )
-    near = ends.groupBy("job_id", "pos").agg(F.count(F.lit(1)).alias("alike"))
+    ends = alike.select(F.explode(F.array("a", "b")).alias("pos"))
+    near = ends.groupBy("pos").agg(F.count(F.lit(1)).alias("alike"))
     sizes = heads.groupBy("job_id").agg(F.count(F.lit(1)).alias("positions"))
     return (
-        heads.join(near, ["job_id", "pos"], "left")
+        heads.join(near, "pos", "left")
         .join(sizes, "job_id")
         .withColumn("conflicts", F.col("positions") - 1 - F.coalesce("alike", F.lit(0)))
         .select("job_id", "task_id", "title", tx.headline(F.col("output")).alias("claim"), "conflicts")
@@ -196,8 +195,6 @@ def final_results(
     rows = reportable(results, kinds)
     kept = sim.drop_redundant(rows, fixed.REDUNDANT)
     answers = rows.filter("kind = 'answer'")
-    from runledger.session import cut
-
     clustered = cut(sim.greedy_clusters(answers, fixed.SAME_ANSWER), "clustered")
     kept = cut(kept, "kept-rows")
     voting = jobs.filter(F.col("strategy").isin(fixed.CONSENSUS_STRATEGIES)).select("job_id")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
@@ -214,70 +215,102 @@ def without_edges(edges: DataFrame, undone: DataFrame) -> DataFrame:
     return edges.join(undone, ["job_id", "child", "parent"], "left_anti")
 
 
+WALKS_PER_ROUND = 256
+
+
+def _closing(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Positions of proposals whose child already reaches their parent over ``edges``.
+
+    Walks start at each child and carry the proposal; a walk ends where it arrives.
+    """
+    front = cut(asked.select("job_id", "pos", "parent", F.col("child").alias("at")), "walk")
+    edges = cut(edges.select("job_id", F.col("parent").alias("at"), F.col("child").alias("to")), "edges")
+    seen, hits = front, asked.select("pos").limit(0)
+    while not front.isEmpty():
+        step = front.join(edges, ["job_id", "at"]).select("job_id", "pos", "parent", F.col("to").alias("at"))
+        front = cut(step.distinct().join(seen, ["job_id", "pos", "parent", "at"], "left_anti"), "walk")
+        arrived = front.filter(F.col("at") == F.col("parent")).select("pos")
+        hits = hits.unionByName(arrived)
+        seen = seen.unionByName(front)
+        front = front.join(hits, "pos", "left_anti")
+    return cut(hits.distinct(), "closing")
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """Tasks on cycles or between cycles: what is left after peeling from both ends."""
+    nodes = _ends(edges, "child").unionByName(_ends(edges, "parent")).distinct()
+    stuck = peel(nodes, edges)[1]
+    turned = edges.select("job_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
+    for end in ("child", "parent"):
+        turned = turned.join(stuck.withColumnRenamed("task_id", end), ["job_id", end], "left_semi")
+    return cut(peel(stuck, turned)[1], "core")
+
+
+def _inside(edges: DataFrame, core: DataFrame) -> DataFrame:
+    for end in ("child", "parent"):
+        edges = edges.join(core.withColumnRenamed("task_id", end), ["job_id", end], "left_semi")
+    return edges
+
+
 def admit_edges(tasks: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Decide proposed edges (job_id, pos, child, parent) as if added one by one.
+    """Decide proposed edges (job_id, pos, child, parent) as if added one by one in the
+    order of ``pos``, which is unique over all proposals.
 
     Decisions: ``unknown_task``, ``self``, ``exists``, ``cycle``, ``added``. Proposals
     outside the cyclic core of the graph with everything added cannot close a cycle
-    and are added together. Inside the core the earliest open proposal of every job is
-    decided per round, by a walk over what stands at that point, until no core is left.
+    and are added together. Inside the core, the next proposals of every job are tested
+    at once: one that closes a cycle with what stands already will be refused whenever
+    its turn comes, and the first that does not is added. Only where many proposals
+    make cycles with each other, and none with what stands, are there many rounds.
     """
     cols = ["job_id", "child", "parent"]
     edges = cut(edges.select(cols).distinct(), "edges")
-    ids = tasks.select(*NODE)
-    marked = (
-        proposals.join(
-            ids.withColumnRenamed("task_id", "child").withColumn("c", F.lit(1)), ["job_id", "child"], "left"
+    known = tasks.select(*NODE).withColumn("known", F.lit(True))
+    marked = proposals.select(*cols, "pos")
+    for end in ("child", "parent"):
+        marked = marked.join(
+            known.withColumnsRenamed({"task_id": end, "known": f"known_{end}"}), ["job_id", end], "left"
         )
-        .join(ids.withColumnRenamed("task_id", "parent").withColumn("p", F.lit(1)), ["job_id", "parent"], "left")
-        .join(edges.withColumn("e", F.lit(1)), cols, "left")
-    )
+    marked = marked.join(edges.withColumn("there", F.lit(True)), cols, "left")
     firsts = proposals.groupBy(*cols).agg(F.min("pos").alias("first_pos"))
-    quick = (
-        F.when(F.col("c").isNull() | F.col("p").isNull(), "unknown_task")
+    at_once = (
+        F.when(F.col("known_child").isNull() | F.col("known_parent").isNull(), "unknown_task")
         .when(F.col("child") == F.col("parent"), "self")
-        .when(F.col("e").isNotNull(), "exists")
+        .when(F.col("there"), "exists")
     )
     marked = cut(
-        marked.join(firsts, cols).withColumn("decision", quick).select(*cols, "pos", "first_pos", "decision"),
+        marked.join(firsts, cols).withColumn("decision", at_once).select(*cols, "pos", "first_pos", "decision"),
         "proposals",
     )
-    parts = [marked.filter("decision IS NOT NULL").select(*cols, "pos", "decision")]
+    decided = [marked.filter("decision IS NOT NULL").select(*cols, "pos", "decision")]
     undecided = marked.filter("decision IS NULL")
     repeats = undecided.filter("pos > first_pos").select(*cols, "pos", "first_pos")
     open_ = undecided.filter("pos = first_pos").select(*cols, "pos")
-    standing, decided = edges, []
+    standing = edges
     while not open_.isEmpty():
-        union = standing.unionByName(open_.select(cols))
-        nodes = _ends(union, "child").unionByName(_ends(union, "parent")).distinct()
-        stuck = peel(nodes, union)[1]
-        turned = union.select("job_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
-        for end in ("child", "parent"):
-            turned = turned.join(stuck.withColumnRenamed("task_id", end), ["job_id", end], "left_semi")
-        core = cut(peel(stuck, turned)[1], "core")
-        unsure = open_
-        for end in ("child", "parent"):
-            unsure = unsure.join(core.withColumnRenamed("task_id", end), ["job_id", end], "left_semi")
-        unsure = cut(unsure, "unsure")
-        safe = cut(open_.join(unsure, [*cols, "pos"], "left_anti"), "safe")
-        standing = standing.unionByName(safe.select(cols))
-        decided.append(safe.withColumn("decision", F.lit("added")))
+        core = _core(standing.unionByName(open_.select(cols)))
+        unsure = cut(_inside(open_, core), "unsure")
+        safe = cut(open_.join(unsure, "pos", "left_anti"), "safe")
+        decided.append(safe.select(*cols, "pos", F.lit("added").alias("decision")))
+        standing = cut(standing.unionByName(safe.select(cols)), "standing")
         if unsure.isEmpty():
             break
-        turn = unsure.groupBy("job_id").agg(F.min_by(F.struct("child", "parent", "pos"), "pos").alias("t"))
-        turn = cut(turn.select("job_id", "t.child", "t.parent", "t.pos"), "turn")
-        behind = reach(_ends(turn, "child"), standing)
-        closes = turn.join(behind.withColumnRenamed("task_id", "parent"), ["job_id", "parent"], "left_semi")
-        closes = cut(closes, "closes")
-        added = turn.join(closes, [*cols, "pos"], "left_anti")
-        decided.append(closes.select(*cols, "pos", F.lit("cycle").alias("decision")))
+        turn = W.partitionBy("job_id").orderBy("pos")
+        asked = unsure.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= WALKS_PER_ROUND)
+        asked = cut(asked.drop("turn"), "asked")
+        closing = _closing(asked, _inside(standing, core))
+        refused = asked.join(closing, "pos", "left_semi")
+        decided.append(refused.select(*cols, "pos", F.lit("cycle").alias("decision")))
+        free = asked.join(closing, "pos", "left_anti")
+        first = free.groupBy("job_id").agg(F.min("pos").alias("pos")).select("pos")
+        added = cut(free.join(first, "pos", "left_semi"), "added")
         decided.append(added.select(*cols, "pos", F.lit("added").alias("decision")))
-        standing = cut(standing.unionByName(added.select(cols)), "standing")
-        open_ = unsure.join(turn, [*cols, "pos"], "left_anti")
-    for part in decided:
-        parts.append(part.select(*cols, "pos", "decision"))
-    out = parts[0]
-    for part in parts[1:]:
+        standing = standing.unionByName(added.select(cols))
+        open_ = cut(
+            unsure.join(closing.unionByName(added.select("pos")), "pos", "left_anti"), "open"
+        )
+    out = decided[0]
+    for part in decided[1:]:
         out = out.unionByName(part)
     # a repeat of an added edge exists by then; a repeat of a refused one is refused again
     first = out.select(*cols, F.col("pos").alias("first_pos"), "decision")

@@ -22,15 +22,16 @@ def positioned(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows (job_id, task_id, output, ...) with tokens, set key and a global position.
 
     The range-partitioned sort gives every partition a contiguous slice, so increasing
-    ids follow the order; writing the table fixes them.
+    ids follow the order; writing the table fixes them. Tokens are made after the sort:
+    less is shuffled, and the work is spread however few files the input had.
     """
-    tokens = tx.token_set(F.col("output"))
-    keyed = rows.withColumn("tokens", tokens).withColumn("set_key", F.md5(F.array_join("tokens", " ")))
-    return cut(keyed.orderBy(*order).withColumn("pos", F.monotonically_increasing_id()), "positioned")
+    placed = rows.orderBy(*order).withColumn("pos", F.monotonically_increasing_id())
+    keyed = placed.withColumn("tokens", tx.token_set(F.col("output")))
+    return cut(keyed.withColumn("set_key", F.md5(F.array_join("tokens", " "))), "positioned")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row per job and distinct token set, with its first position."""
+    """One row per job and distinct token set. ``pos``, its first position, is its id."""
     return cut(
         rows.groupBy("job_id", "set_key").agg(
             F.min("pos").alias("pos"),
@@ -42,29 +43,32 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """Prefix of each set under the order rarest token first."""
-    n = F.size("tokens")
-    need = F.ceil(n * threshold - 1e-9)
-    tok = sets.select("job_id", "set_key", "pos", n.alias("n"), need.alias("need"), F.explode("tokens").alias("tok"))
+    """(job_id, tok, pos, n): prefix of each set under the order rarest token first."""
+    tok = sets.select("pos", "job_id", F.explode("tokens").alias("tok"))
     frequency = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
         tok.join(frequency, "tok")
-        .groupBy("job_id", "set_key", "pos", "n", "need")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ts"))
+        .groupBy("pos")
+        .agg(
+            F.any_value("job_id").alias("job_id"),
+            F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ts"),
+        )
+        .withColumn("n", F.size("ts"))
     )
-    prefix = F.slice("ts", F.lit(1), (F.col("n") - F.col("need") + 1).cast("int"))
-    return ranked.select("job_id", "set_key", "pos", "n", F.explode(prefix).alias("t")).select(
-        "job_id", "set_key", "pos", "n", F.col("t.tok").alias("tok")
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    prefix = F.slice("ts", F.lit(1), length.cast("int"))
+    return ranked.select("job_id", "pos", "n", F.explode(prefix).alias("t")).select(
+        "job_id", "pos", "n", F.col("t.tok").alias("tok")
     )
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, keep: Column) -> DataFrame:
-    body = sets.select("job_id", "set_key", "tokens")
-    left = body.withColumnsRenamed({"set_key": "a_key", "tokens": "a_tokens"})
-    right = body.withColumnsRenamed({"set_key": "b_key", "tokens": "b_tokens"})
+    """Pairs (a, b) of class ids whose true similarity passes."""
+    left = sets.select(F.col("pos").alias("a"), F.col("tokens").alias("a_tokens"), "job_id")
+    right = sets.select(F.col("pos").alias("b"), F.col("tokens").alias("b_tokens"))
     return (
-        pairs.join(left, ["job_id", "a_key"])
-        .join(right, ["job_id", "b_key"])
+        pairs.join(left, "a")
+        .join(right, "b")
         .withColumn("similarity", tx.jaccard(F.col("a_tokens"), F.col("b_tokens")))
         .drop("a_tokens", "b_tokens")
         .filter(keep)
@@ -72,19 +76,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, keep: Column) -> DataFrame:
 
 
 def _candidates(post: DataFrame, threshold: float) -> DataFrame:
-    a = post.select("job_id", "tok", F.col("set_key").alias("a_key"), F.col("pos").alias("a_pos"), F.col("n").alias("a_n"))
-    b = post.select("job_id", "tok", F.col("set_key").alias("b_key"), F.col("pos").alias("b_pos"), F.col("n").alias("b_n"))
-    sizes = (F.col("a_n") >= F.col("b_n") * threshold - 1e-9) & (F.col("b_n") >= F.col("a_n") * threshold - 1e-9)
-    return (
-        a.join(b, ["job_id", "tok"])
-        .filter((F.col("a_pos") < F.col("b_pos")) & sizes)
-        .select("job_id", "a_key", "b_key", "a_pos", "b_pos")
-        .distinct()
-    )
+    a = post.select("job_id", "tok", F.col("pos").alias("a"), F.col("n").alias("a_n"))
+    b = post.select("job_id", "tok", F.col("pos").alias("b"), F.col("n").alias("b_n"))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    met = a.join(b, ["job_id", "tok"]).filter((F.col("a") < F.col("b")) & (small >= large * threshold - 1e-9))
+    return met.select("a", "b").distinct()
 
 
 def similar_pairs(sets: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
-    """Pairs of classes at or above (strictly above) the threshold, earlier one first.
+    """(job_id, a, b, similarity): pairs of classes at or above (strictly above) the
+    threshold, the earlier one as ``a``.
 
     Copies are not paired with each other; ``copies`` of the classes tells how many
     row pairs a class pair stands for.
@@ -95,7 +96,7 @@ def similar_pairs(sets: DataFrame, threshold: float, strict: bool = False) -> Da
 
 
 def keep_first(sets: DataFrame, threshold: float) -> DataFrame:
-    """Classes kept when each is dropped iff an earlier *kept* one is similar to it.
+    """Ids of classes kept when each is dropped iff an earlier *kept* one is similar to it.
 
     Dense families are thinned first without pairing their members: the earliest class
     of a token bucket leads it; one that leads all its buckets has no earlier similar
@@ -105,7 +106,8 @@ def keep_first(sets: DataFrame, threshold: float) -> DataFrame:
     exact.
     """
     post = cut(postings(sets, threshold), "postings")
-    dropped = sets.select("job_id", "set_key").limit(0)
+    alike = F.col("similarity") >= threshold
+    dropped = sets.select("pos").limit(0)
     for _ in range(MAX_LEADER_ROUNDS):
         buckets = post.groupBy("job_id", "tok").agg(F.count(F.lit(1)).alias("f"))
         load = buckets.agg(
@@ -113,49 +115,30 @@ def keep_first(sets: DataFrame, threshold: float) -> DataFrame:
         ).first()
         if not load.rows or load.pairs <= PAIRS_PER_POSTING * load.rows:
             break
-        lead = post.groupBy("job_id", "tok").agg(
-            F.min_by("set_key", "pos").alias("a_key"), F.min("pos").alias("a_pos")
-        )
-        led = post.join(lead, ["job_id", "tok"])
-        leads_all = F.bool_and(F.col("pos") == F.col("a_pos"))
-        kept = cut(
-            led.groupBy("job_id", "set_key").agg(leads_all.alias("k")).filter("k").drop("k"), "kept"
-        )
+        led = post.join(post.groupBy("job_id", "tok").agg(F.min("pos").alias("a")), ["job_id", "tok"])
+        leads_all = F.bool_and(F.col("pos") == F.col("a"))
+        kept = cut(led.groupBy("pos").agg(leads_all.alias("k")).filter("k").select("pos"), "kept")
         met = (
-            led.filter("pos > a_pos")
-            .join(kept.withColumnRenamed("set_key", "a_key"), ["job_id", "a_key"], "left_semi")
-            .select("job_id", "a_key", F.col("set_key").alias("b_key"))
+            led.filter("pos > a")
+            .join(kept.withColumnRenamed("pos", "a"), "a", "left_semi")
+            .select("a", F.col("pos").alias("b"))
             .distinct()
         )
-        hit = _verify(met, sets, F.col("similarity") >= threshold)
-        lost = cut(hit.select("job_id", F.col("b_key").alias("set_key")).distinct(), "lost")
+        lost = cut(_verify(met, sets, alike).select(F.col("b").alias("pos")).distinct(), "lost")
         dropped = dropped.unionByName(lost)
-        before = post
-        post = cut(
-            post.join(kept.unionByName(lost), ["job_id", "set_key"], "left_anti"), "postings"
-        )
-        if post.count() > 0.9 * before.count():
+        before = load.rows
+        post = cut(post.join(kept.unionByName(lost), "pos", "left_anti"), "postings")
+        if post.count() > 0.9 * before:
             break
-    edges = cut(
-        _verify(_candidates(post, threshold), sets, F.col("similarity") >= threshold).select(
-            "job_id", "a_key", "b_key"
-        ),
-        "edges",
-    )
+    edges = cut(_verify(_candidates(post, threshold), sets, alike).select("a", "b"), "edges")
     while not edges.isEmpty():
-        later = edges.select("job_id", F.col("b_key").alias("a_key"))
-        free = edges.select("job_id", "a_key").distinct().join(later, ["job_id", "a_key"], "left_anti")
-        lost = cut(
-            edges.join(free, ["job_id", "a_key"], "left_semi")
-            .select("job_id", F.col("b_key").alias("set_key"))
-            .distinct(),
-            "lost",
-        )
+        free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        lost = cut(edges.join(free, "a", "left_semi").select(F.col("b").alias("pos")).distinct(), "lost")
         dropped = dropped.unionByName(lost)
-        for end in ("a_key", "b_key"):
-            edges = edges.join(lost.withColumnRenamed("set_key", end), ["job_id", end], "left_anti")
+        for end in ("a", "b"):
+            edges = edges.join(lost.withColumnRenamed("pos", end), end, "left_anti")
         edges = cut(edges, "edges")
-    return sets.join(dropped, ["job_id", "set_key"], "left_anti").select("job_id", "set_key", "pos")
+    return sets.select("pos").join(dropped, "pos", "left_anti")
 
 
 def drop_redundant(rows: DataFrame, threshold: float) -> DataFrame:
@@ -164,33 +147,42 @@ def drop_redundant(rows: DataFrame, threshold: float) -> DataFrame:
     A copy of a set always repeats its first row (kept, or dropped for the same
     reason), so only first rows of kept classes stay.
     """
-    return rows.join(keep_first(classes(rows), threshold), ["job_id", "set_key", "pos"], "left_semi")
+    return rows.join(keep_first(classes(rows), threshold), "pos", "left_semi")
 
 
 def row_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """(job_id, pos, earlier): for each row and each similar class, that class's latest
-    earlier row.
+    """(pos, earlier): for each row and each similar class, that class's latest earlier row.
 
     Later rows of a class are similar to everything its earlier rows are, so the latest
     one stands for all of them in a clustering, and links stay linear in the copies.
     """
     sets = classes(rows)
-    pairs = cut(similar_pairs(sets, threshold).select("job_id", "a_key", "b_key"), "pairs")
-    same = sets.filter("copies > 1").select("job_id", F.col("set_key").alias("a_key"), F.col("set_key").alias("b_key"))
-    both = pairs.unionByName(
-        pairs.select("job_id", F.col("b_key").alias("a_key"), F.col("a_key").alias("b_key"))
-    ).unionByName(same)
-    at = rows.select("job_id", "set_key", "pos")
-    seekers = both.join(at.withColumnRenamed("set_key", "a_key"), ["job_id", "a_key"])
-    targets = both.join(at.withColumnRenamed("set_key", "b_key"), ["job_id", "b_key"])
-    marks = cut(
-        seekers.withColumn("is_target", F.lit(0)).unionByName(targets.withColumn("is_target", F.lit(1))),
-        "marks",
+    pairs = cut(similar_pairs(sets, threshold).select("a", "b"), "pairs")
+    copied = cut(sets.filter("copies > 1").select("job_id", "set_key", F.col("pos").alias("class")), "copied")
+    if copied.isEmpty():
+        return pairs.select(F.col("b").alias("pos"), F.col("a").alias("earlier"))
+    members = rows.select("job_id", "set_key", "pos").join(copied, ["job_id", "set_key"]).select("class", "pos")
+    # classes of one row link directly; where copies are involved, find the latest earlier row
+    multi = copied.select("class").withColumn("m", F.lit(True))
+    marked = (
+        pairs.join(multi.withColumnsRenamed({"class": "a", "m": "am"}), "a", "left")
+        .join(multi.withColumnsRenamed({"class": "b", "m": "bm"}), "b", "left")
     )
-    seen = Ordered(marks, ["job_id", "a_key", "b_key"], "pos", ["is_target"]).running_max(
+    direct = marked.filter("am IS NULL AND bm IS NULL").select(F.col("b").alias("pos"), F.col("a").alias("earlier"))
+    wide = marked.filter("am OR bm").select("a", "b")
+    both = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
+        copied.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    )
+    singles = wide.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(multi, "class", "left_anti")
+    everyone = members.unionByName(singles.select("class", F.col("class").alias("pos")))
+    seekers = both.join(everyone.withColumnRenamed("class", "a"), "a").withColumn("is_target", F.lit(0))
+    targets = both.join(everyone.withColumnRenamed("class", "b"), "b").withColumn("is_target", F.lit(1))
+    marks = cut(seekers.unionByName(targets), "marks")
+    seen = Ordered(marks, ["a", "b"], "pos", ["is_target"]).running_max(
         F.when(F.col("is_target") == 1, F.col("pos")), "earlier"
     )
-    return seen.done().filter("is_target = 0 AND earlier IS NOT NULL").select("job_id", "pos", "earlier").distinct()
+    found = seen.done().filter("is_target = 0 AND earlier IS NOT NULL").select("pos", "earlier")
+    return direct.unionByName(found).distinct()
 
 
 def greedy_clusters(rows: DataFrame, threshold: float) -> DataFrame:
@@ -201,24 +193,19 @@ def greedy_clusters(rows: DataFrame, threshold: float) -> DataFrame:
     among linked earlier rows; following a label's own label halves the remaining way.
     """
     links = cut(row_links(rows, threshold), "links")
-    labels = cut(
-        rows.select("job_id", "pos", F.col("pos").alias("label")).join(
-            links.select("job_id", "pos").unionByName(links.select("job_id", F.col("earlier").alias("pos"))),
-            ["job_id", "pos"], "left_semi",
-        ),
-        "labels",
-    )
-    while True:
-        of = labels.withColumnsRenamed({"pos": "earlier", "label": "theirs"})
-        best = links.join(of, ["job_id", "earlier"]).groupBy("job_id", "pos").agg(F.min("theirs").alias("theirs"))
-        jump = labels.select("job_id", F.col("pos").alias("label"), F.col("label").alias("beyond"))
+    ends = links.select(F.explode(F.array("pos", "earlier")).alias("pos")).distinct()
+    labels = cut(ends.withColumn("label", F.col("pos")), "labels")
+    while not links.isEmpty():
+        theirs = labels.select(F.col("pos").alias("earlier"), F.col("label").alias("theirs"))
+        best = links.join(theirs, "earlier").groupBy("pos").agg(F.min("theirs").alias("theirs"))
+        jump = labels.select(F.col("pos").alias("label"), F.col("label").alias("beyond"))
         new = cut(
-            labels.join(best, ["job_id", "pos"], "left")
-            .join(jump, ["job_id", "label"], "left")
-            .select("job_id", "pos", F.col("label").alias("old"), F.least("label", "theirs", "beyond").alias("label")),
+            labels.join(best, "pos", "left")
+            .join(jump, "label", "left")
+            .select("pos", F.col("label").alias("old"), F.least("label", "theirs", "beyond").alias("label")),
             "labels",
         )
-        labels = new.select("job_id", "pos", "label")
+        labels = new.select("pos", "label")
         if new.filter("label < old").isEmpty():
             break
-    return rows.join(labels, ["job_id", "pos"], "left").withColumn("label", F.coalesce("label", "pos"))
+    return rows.join(labels, "pos", "left").withColumn("label", F.coalesce("label", "pos"))

@@ -65,10 +65,10 @@ def clustered(t):
 )
 def similar_pairs(t):
     rows = results(t)
-    ids = rows.select("job_id", "pos", "task_id")
+    ids = rows.select("pos", "task_id")
     pairs = sim.similar_pairs(sim.classes(rows), 0.5)
-    for side, name in (("a_pos", "left_task"), ("b_pos", "right_task")):
-        pairs = pairs.join(ids.withColumnsRenamed({"pos": side, "task_id": name}), ["job_id", side])
+    for side, name in (("a", "left_task"), ("b", "right_task")):
+        pairs = pairs.join(ids.withColumnsRenamed({"pos": side, "task_id": name}), side)
     return pairs.select("job_id", "left_task", "right_task", F.round("similarity", 6).alias("similarity"))
 
 

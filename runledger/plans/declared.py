@@ -138,7 +138,7 @@ def quota_breaches(t):
     "O-DCL8",
     with_views("v_attempts")
     + """SELECT node_id, at_us AS lost_us, nxt AS back_us FROM (SELECT agent_id AS node_id, at_us,
-    lead(at_us) OVER (PARTITION BY agent_id ORDER BY at_us) AS nxt FROM v_attempts) x WHERE nxt - at_us > 3 * 900000000""",
+    lead(at_us) OVER (PARTITION BY agent_id ORDER BY at_us) AS nxt FROM v_attempts) x WHERE nxt - at_us > 3 * 900000000::BIGINT""",
 )
 def heartbeat_losses(t):
     beats = t.v_attempts.select(F.col("agent_id").alias("node_id"), "at_us")

@@ -165,15 +165,16 @@ def edge_rollback(t):
     return op.without_edges(edges, undone.select("job_id", "child", "parent")).drop("job_id")
 
 
-_CHAIN = """c AS (SELECT s_nationkey AS job_id, s_suppkey AS child, s_acctbal,
-      lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS parent,
-      first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS root FROM supplier)"""
+_TREE = """n AS (SELECT s_nationkey AS job_id, s_suppkey AS child, s_acctbal,
+      row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier),
+  c AS (SELECT n.*, p.child AS parent, r.child AS root FROM n LEFT JOIN n p ON p.job_id = n.job_id AND p.rn = n.rn // 2
+    JOIN n r ON r.job_id = n.job_id AND r.rn = 1)"""
 
 
 @query(
     "edge_admission",
     "O-GRF8",
-    f"""WITH {_CHAIN}
+    f"""WITH {_TREE}
   SELECT job_id, child AS pos, parent AS child, child AS parent, 'cycle' AS decision FROM c
     WHERE parent IS NOT NULL AND s_acctbal < 2000
   UNION ALL SELECT job_id, child, child, root, CASE WHEN child = root THEN 'self' WHEN parent = root THEN 'exists'
@@ -182,15 +183,18 @@ _CHAIN = """c AS (SELECT s_nationkey AS job_id, s_suppkey AS child, s_acctbal,
 )
 def edge_admission(t):
     w = W.partitionBy("job_id").orderBy("child")
-    c = t.supplier.select(F.col("s_nationkey").alias("job_id"), F.col("s_suppkey").alias("child"), "s_acctbal")
-    c = c.withColumn("parent", F.lag("child").over(w)).withColumn("root", F.first("child").over(w))
+    n = t.supplier.select(F.col("s_nationkey").alias("job_id"), F.col("s_suppkey").alias("child"), "s_acctbal")
+    n = n.withColumn("rn", F.row_number().over(w))
+    up = n.select("job_id", F.col("child").alias("parent"), F.col("rn").alias("half"))
+    c = n.withColumn("half", F.floor(F.col("rn") / 2)).join(up, ["job_id", "half"], "left")
+    c = c.join(n.filter("rn = 1").select("job_id", F.col("child").alias("root")), "job_id")
     edges = c.filter("parent IS NOT NULL").select("job_id", "child", "parent")
+    back = F.col("s_acctbal") < 2000
     proposals = c.filter("parent IS NOT NULL OR s_acctbal >= 2000").select(
         "job_id",
         F.col("child").alias("pos"),
-        F.when(F.col("s_acctbal") < 2000, F.col("parent")).otherwise(F.col("child")).alias("child"),
-        F.when(F.col("s_acctbal") < 2000, F.col("child")).when(F.col("s_acctbal") < 8000, F.col("root"))
-        .otherwise(F.lit(-1)).alias("parent"),
+        F.when(back, F.col("parent")).otherwise(F.col("child")).alias("child"),
+        F.when(back, F.col("child")).when(F.col("s_acctbal") < 8000, F.col("root")).otherwise(F.lit(-1)).alias("parent"),
     )
     return op.admit_edges(c.select("job_id", F.col("child").alias("task_id")), edges, proposals)
 
