@@ -137,6 +137,7 @@ def causation_chains(messages: DataFrame) -> DataFrame:
         F.when(F.col("k"), 1).otherwise(0).cast("bigint").alias("depth"),
     )
     state = cut(state, "chain")
+    roots = state.filter("depth = 0").select("to")
     total = state.count()
     for _ in range(math.ceil(math.log2(total + 1)) if total else 0):
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
@@ -148,7 +149,6 @@ def causation_chains(messages: DataFrame) -> DataFrame:
         if state.filter("moved").isEmpty():
             break
         state = state.drop("moved")
-    roots = state.filter("id = to").select(F.col("id").alias("to"))
     return state.join(roots, "to", "left_semi").select("id", F.col("to").alias("root"), "depth")
 
 

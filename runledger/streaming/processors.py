@@ -57,13 +57,13 @@ class FoldProcessor(StatefulProcessor):
                 self.handle.registerTimer(at)
         return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
         yield self._run(batch)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.wake:
-            yield self._run(self.wake(key, expired.getExpiryTimeInMs() * 1000))
+            yield self._run(self.wake(key, expiredTimerInfo.getExpiryTimeInMs() * 1000))
 
     def close(self) -> None:
         pass

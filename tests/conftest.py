@@ -10,7 +10,7 @@ from runledger.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("runledger-tests", "8", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session("runledger-tests", "8", **{"spark.sql.shuffle.partitions": "2"})
     yield session
     session.stop()
 
