@@ -127,8 +127,7 @@ def causation_chains(messages: DataFrame) -> DataFrame:
     """Root cause and distance of every message (id, causation_id).
 
     Pointers double each round, so a chain of n messages takes log2(n) joins. A message
-    whose cause is unknown is a root. Pointers on a loop never reach a root: they are
-    left out once the walk is longer than the table.
+    whose cause is unknown is a root; one on or behind a loop has none and is left out.
     """
     known = messages.select(F.col("id").alias("causation_id"), F.lit(True).alias("k"))
     state = messages.join(known, "causation_id", "left").select(

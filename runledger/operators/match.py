@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
-from runledger.operators.ordered import Ordered, fold_by_key
+from runledger.operators.ordered import Ordered, scan_by_key
 
 
 def capability_sets(tasks: DataFrame, spark: SparkSession) -> DataFrame:
@@ -196,36 +197,43 @@ def adaptive_weights(outcomes: DataFrame, keys: list[str], rows: int | None = No
 def latency_ewma(attempts: DataFrame, rows: int | None = None) -> DataFrame:
     """Whole-number smoothed latency per agent: first value, then (4 * mean + x) div 5.
 
-    Rounding at each step makes this a true fold. The division forgets: two different
-    starts soon give the same mean, which ``smooth`` uses to fold only the last rows
-    of a batch when a low and a high start already agree there.
+    Rounding at each step makes this a true fold, but one that forgets: a block maps the
+    whole range of starting means to very few ends. That map, kept as runs of equal
+    ends, is all a block has to tell, so the blocks of a busy agent run side by side.
     """
-
-    def smooth(values: list[int], mean: int) -> int:
-        for x in values:
-            mean = x if mean == 0 else (4 * mean + x) // 5
-        return mean
+    need = attempts.select("agent_id", "pos", "latency_ms")
+    highest = need.agg(F.coalesce(F.max("latency_ms"), F.lit(0))).first()[0]
+
+    def smooth(means: np.ndarray, x: int) -> np.ndarray:
+        return np.where(means == 0, x, (4 * means + x) // 5)
+
+    def summarise(pdf: pd.DataFrame) -> dict:
+        starts = np.arange(int(highest) + 1, dtype=np.int64)
+        ends = starts
+        for x in pdf["latency_ms"].tolist():
+            ends = smooth(ends, x)
+            if len(ends) > 1:
+                new = np.concatenate(([True], ends[1:] != ends[:-1]))
+                starts, ends = starts[new], ends[new]
+        return {"starts": starts.tolist(), "ends": ends.tolist()}
+
+    def advance(block: dict, state: dict | None) -> dict:
+        mean = int(state["mean"]) if state else 0
+        i = int(np.searchsorted(np.asarray(block["starts"]), mean, "right")) - 1
+        return {"mean": int(block["ends"][i])}
 
     def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        values = [int(v) for v in pdf["latency_ms"]]
         mean = int(state["mean"]) if state else 0
-        tail = values[-512:]
-        if len(tail) < len(values) and min(values) > 4:
-            low, high = smooth(tail, 1), smooth(tail, max([*values, mean]))
-            if low == high:
-                mean = low
-            else:
-                mean = smooth(values, mean)
-        else:
-            mean = smooth(values, mean)
+        for x in pdf["latency_ms"].tolist():
+            mean = x if mean == 0 else (4 * mean + x) // 5
         out = pd.DataFrame(
-            {"agent_id": [pdf["agent_id"].iloc[0]], "average_latency_ms": [mean],
-             "upto": [int(pdf["pos"].iloc[-1])]}
+            {"agent_id": [pdf["agent_id"].iloc[0]], "average_latency_ms": [mean], "upto": [int(pdf["pos"].iloc[-1])]}
         )
         return out, {"mean": mean}
 
-    folded = fold_by_key(
-        attempts.select("agent_id", "pos", "latency_ms"), ["agent_id"], "pos", [], step,
-        "agent_id BIGINT, average_latency_ms BIGINT, upto BIGINT", "mean BIGINT", rows,
+    folded = scan_by_key(
+        need, ["agent_id"], "pos", step, summarise, advance,
+        "agent_id BIGINT, average_latency_ms BIGINT, upto BIGINT", "mean BIGINT",
+        "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>", rows,
     )
     return folded.groupBy("agent_id").agg(F.max_by("average_latency_ms", "upto").alias("average_latency_ms"))

@@ -231,3 +231,64 @@ def fold_by_key(
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def scan_by_key(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    step: Step,
+    summarise: Callable[[pd.DataFrame], dict],
+    advance: Callable[[dict, "dict | None"], dict],
+    out_ddl: str,
+    state_ddl: str,
+    summary_ddl: str,
+    rows: int | None = None,
+) -> DataFrame:
+    """``fold_by_key`` for folds whose blocks can be summed up without knowing the state
+    they start in, so that the blocks of a hot key run side by side.
+
+    ``summarise(rows)`` describes what a block does to any state; ``advance(summary,
+    state)`` applies that description. Three steps: summarise every (key, block); walk
+    the few summaries of a key to get the state at each block's start; run ``step`` on
+    every block from there.
+    """
+    keys = list(keys)
+    blocked, n = with_block(df, order, rows)
+    out_schema, state_schema = T.StructType.fromDDL(out_ddl), T.StructType.fromDDL(state_ddl)
+    out_names, state_names = out_schema.fieldNames(), state_schema.fieldNames()
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return step(pdf.sort_values(order, kind="stable").reset_index(drop=True), None)[0][out_names]
+
+    if n == 1:
+        return df.groupBy(*keys).applyInPandas(whole, out_schema)
+
+    part = [*keys, BLOCK]
+    blocked = cut(blocked, "blocked")
+    key_fields = [blocked.schema[k] for k in part]
+    summary_schema = T.StructType(key_fields + list(T.StructType.fromDDL(summary_ddl)))
+    entry_schema = T.StructType(key_fields + list(state_schema))
+
+    def sum_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        done = summarise(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+        row = dict(zip(part, key)) | done
+        return pd.DataFrame({name: [row[name]] for name in summary_schema.fieldNames()})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, found = None, []
+        for row in pdf.sort_values(BLOCK).to_dict("records"):
+            if state is not None:
+                found.append({k: row[k] for k in part} | {s: state[s] for s in state_names})
+            state = advance(row, state)
+        return pd.DataFrame(found, columns=entry_schema.fieldNames())
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=out_names)
+        state = {s: right[s].iloc[0] for s in state_names} if len(right) else None
+        return step(left.sort_values(order, kind="stable").reset_index(drop=True), state)[0][out_names]
+
+    summaries = blocked.groupBy(*part).applyInPandas(sum_up, summary_schema)
+    entries = summaries.groupBy(*keys).applyInPandas(walk, entry_schema)
+    return blocked.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(run, out_schema)

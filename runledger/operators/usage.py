@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
 from runledger.functions import text
-from runledger.operators.ordered import Ordered, fold_by_key
+from runledger.operators.ordered import Ordered, scan_by_key
 
 
 def latency_percentiles(
@@ -185,6 +185,57 @@ def peak_concurrency(
 
 BREAKER_OUT = "provider STRING, pos BIGINT, rejected BOOLEAN, opens BOOLEAN"
 BREAKER_STATE = "failures BIGINT, opened_us BIGINT"
+BREAKER_SUMMARY = """last_us BIGINT, closed_failures ARRAY<BIGINT>, closed_opened ARRAY<BIGINT>,
+  release_us ARRAY<BIGINT>, release_failures ARRAY<BIGINT>, release_opened ARRAY<BIGINT>"""
+
+
+class _Breaker:
+    """Breaker moves over an ordered batch of calls. ``opened`` is -1 while closed."""
+
+    def __init__(self, rows: pd.DataFrame, threshold: int, reset_us: int) -> None:
+        self.at, ok = rows["at_us"].to_numpy(), rows["ok"].to_numpy(dtype=bool)
+        self.n, self.threshold, self.reset = len(rows), threshold, reset_us
+        index = np.arange(self.n)
+        self.streak = index - np.maximum.accumulate(np.where(ok, index, -1))
+        self.long_enough = np.flatnonzero(self.streak >= threshold)
+        self.first_ok = int(np.argmax(ok)) if ok.any() else self.n
+
+    def resume(self, release_us: int) -> int:
+        """First call at or after a time."""
+        return int(np.searchsorted(self.at, release_us, "left"))
+
+    def trip(self, here: int, failures: int) -> int:
+        """Call that opens a breaker closed at ``here``; ``n`` if none does. Failures
+        carried in only exist at the start of the batch."""
+        if failures and self.first_ok >= self.threshold - failures:
+            return self.threshold - failures - 1
+        nth = int(np.searchsorted(self.long_enough, here + self.threshold - 1))
+        return int(self.long_enough[nth]) if nth < len(self.long_enough) else self.n
+
+    def left_closed(self, here: int, failures: int) -> int:
+        """Streak at the end of the batch when nothing opens from ``here`` on."""
+        if failures and self.first_ok == self.n:
+            return self.n + failures
+        return min(int(self.streak[-1]), self.n - here)
+
+    def exit(self, here: int, failures: int, memo: dict[int, tuple[int, int]]) -> tuple[int, int]:
+        """(failures, opened) at the end of the batch, from closed at ``here``."""
+        passed = []
+        while True:
+            trip = self.trip(here, failures)
+            if trip == self.n:
+                end = (self.left_closed(here, failures), -1)
+                break
+            if trip in memo:
+                end = memo[trip]
+                break
+            passed.append(trip)
+            here, failures = self.resume(int(self.at[trip]) + self.reset), 0
+            if here == self.n:
+                end = (0, int(self.at[trip]))
+                break
+        memo.update(dict.fromkeys(passed, end))
+        return end
 
 
 def breaker_calls(
@@ -196,46 +247,75 @@ def breaker_calls(
     """Replay the breaker of each provider over its calls (provider, pos, at_us, ok).
 
     A streak of ``threshold`` failures opens it; calls are rejected until ``reset_ms``
-    have passed; then the streak restarts from 0 with the next call. Inside a batch
-    the replay jumps from one opening to the next, it does not visit every call.
+    have passed; then the streak restarts from 0 with the next call. Providers are few
+    and busy, so their calls are cut into blocks that are summed up independently: the
+    outcome for each streak length it may start with, and, if it starts open, for each
+    call within one reset time that may be the first to pass. ``at_us`` must not
+    decrease with ``pos``.
     """
     reset = reset_ms * 1000
 
+    def summarise(pdf: pd.DataFrame) -> dict:
+        b, memo = _Breaker(pdf, threshold, reset), {}
+        closed = [b.exit(0, c, memo if not c else {}) for c in range(threshold)]
+        until, ends = [], []
+        for here in range(b.resume(int(b.at[0]) + reset) + 1):
+            if here == b.n:
+                break
+            end = b.exit(here, 0, memo)
+            if ends and ends[-1] == end:
+                until[-1] = int(b.at[here])
+            else:
+                until.append(int(b.at[here]))
+                ends.append(end)
+        return {
+            "last_us": int(b.at[-1]),
+            "closed_failures": [e[0] for e in closed],
+            "closed_opened": [e[1] for e in closed],
+            "release_us": until,
+            "release_failures": [e[0] for e in ends],
+            "release_opened": [e[1] for e in ends],
+        }
+
+    def advance(block: dict, state: dict | None) -> dict:
+        state = state or {"failures": 0, "opened_us": -1}
+        if state["opened_us"] < 0:
+            i = int(state["failures"])
+            return {"failures": block["closed_failures"][i], "opened_us": block["closed_opened"][i]}
+        release = state["opened_us"] + reset
+        if release > block["last_us"]:
+            return state
+        i = int(np.searchsorted(np.asarray(block["release_us"]), release, "left"))
+        return {"failures": block["release_failures"][i], "opened_us": block["release_opened"][i]}
+
     def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        at, ok = pdf["at_us"].to_numpy(), pdf["ok"].to_numpy(dtype=bool)
-        n = len(pdf)
-        rejected, opens = np.zeros(n, bool), np.zeros(n, bool)
+        b = _Breaker(pdf, threshold, reset)
+        rejected, opens = np.zeros(b.n, bool), np.zeros(b.n, bool)
         failures = int(state["failures"]) if state else 0
         opened = int(state["opened_us"]) if state else -1
-        index = np.arange(n)
-        streak = index - np.maximum.accumulate(np.where(ok, index, -1))
-        long_enough = np.flatnonzero(streak >= threshold)
-        first_ok = int(np.argmax(ok)) if ok.any() else n
         here = 0
-        while here < n:
+        while here < b.n:
             if opened >= 0:
-                resume = max(here, int(np.searchsorted(at, opened + reset, "left")))
+                resume = max(here, b.resume(opened + reset))
                 rejected[here:resume] = True
-                if resume == n:
+                if resume == b.n:
                     break
                 here, failures, opened = resume, 0, -1
-            if failures and first_ok >= threshold - failures:
-                trip = threshold - failures - 1
-            else:
-                nth = int(np.searchsorted(long_enough, here + threshold - 1))
-                trip = int(long_enough[nth]) if nth < len(long_enough) else n
-            if trip >= n:
-                failures = n + failures if first_ok == n and failures else min(int(streak[-1]), n - here)
+            trip = b.trip(here, failures)
+            if trip == b.n:
+                failures = b.left_closed(here, failures)
                 break
             opens[trip] = True
-            here, failures, opened = trip + 1, 0, int(at[trip])
+            here, failures, opened = trip + 1, 0, int(b.at[trip])
         out = pd.DataFrame(
             {"provider": pdf["provider"], "pos": pdf["pos"], "rejected": rejected, "opens": opens}
         )
         return out, {"failures": failures, "opened_us": opened}
 
     need = calls.select("provider", "pos", "at_us", "ok")
-    return fold_by_key(need, ["provider"], "pos", [], step, BREAKER_OUT, BREAKER_STATE, rows)
+    return scan_by_key(
+        need, ["provider"], "pos", step, summarise, advance, BREAKER_OUT, BREAKER_STATE, BREAKER_SUMMARY, rows
+    )
 
 
 def failure_streaks(calls: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:

@@ -205,7 +205,22 @@ def peak_concurrency(t):
 BREAKER_RESET_MS = 3_600_000
 
 
-@query("breaker_calls", "O-WIN10")
+@query(
+    "breaker_calls",
+    "O-WIN10",
+    with_views("v_attempts", recursive=True)
+    + f""", nx AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY pos) AS n FROM v_attempts),
+  st(provider, n, pos, rejected, opens, fails, opened) AS (
+    SELECT provider, 0::BIGINT, -1::BIGINT, false, false, 0, -1::BIGINT FROM (SELECT DISTINCT provider FROM v_attempts) p
+    UNION ALL
+    SELECT provider, n, pos, rej, trips, f, CASE WHEN trips THEN at_us WHEN rej THEN opened ELSE -1 END FROM (
+      SELECT *, NOT rej AND NOT ok AND f >= 2 AS trips FROM (
+        SELECT *, CASE WHEN rej THEN fails WHEN ok THEN 0 WHEN opened >= 0 THEN 1 ELSE fails + 1 END AS f FROM (
+          SELECT st.provider, nx.n, nx.pos, nx.ok, nx.at_us, st.fails, st.opened,
+            st.opened >= 0 AND nx.at_us < st.opened + {3_600_000 * 1000}::BIGINT AS rej
+          FROM st JOIN nx ON nx.provider = st.provider AND nx.n = st.n + 1) a) b) c)
+  SELECT provider, pos, rejected, opens FROM st WHERE n > 0""",
+)
 def breaker_calls(t):
     calls = t.v_attempts.select("provider", "pos", "at_us", "ok")
     return op.breaker_calls(calls, threshold=2, reset_ms=BREAKER_RESET_MS)
