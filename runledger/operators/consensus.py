@@ -133,9 +133,8 @@ def summaries(jobs: DataFrame, kept: DataFrame, agreement: DataFrame, results: D
 
     Winners are looked up by task, so no text is carried through the votes.
     """
-    concluding = kept.filter(F.col("kind").isin(fixed.CONCLUDING_KINDS)).groupBy("job_id").agg(
-        F.max_by("output", "pos").alias("concluded")
-    )
+    last = kept.filter(F.col("kind").isin(fixed.CONCLUDING_KINDS)).groupBy("job_id").agg(F.max("pos").alias("pos"))
+    concluding = kept.join(last.select("pos"), "pos").select("job_id", F.col("output").alias("concluded"))
     spoken = agreement.join(
         results.select("job_id", F.col("task_id").alias("winning_task"), "output"), ["job_id", "winning_task"]
     )

@@ -70,13 +70,11 @@ def route_models(requests: DataFrame, providers: DataFrame) -> DataFrame:
 
     ``providers`` (provider, ord, model) is a dimension; a null model serves all.
     """
-    catch_all = providers.filter("model IS NULL").agg(F.min(F.struct("ord", "provider")).alias("any"))
-    named = providers.filter("model IS NOT NULL").groupBy("model").agg(F.min(F.struct("ord", "provider")).alias("own"))
-    out = requests.join(F.broadcast(named), "model", "left").withColumn("_one", F.lit(1))
-    out = out.join(F.broadcast(catch_all.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
-    pick = F.when(F.col("own").isNull(), F.col("any")).when(F.col("any").isNull(), F.col("own")).otherwise(
-        F.least("own", "any")
-    )
+    first = F.min(F.struct("ord", "provider"))
+    named = providers.filter("model IS NOT NULL").groupBy("model").agg(first.alias("own"))
+    any_ = providers.filter("model IS NULL").agg(first.alias("any")).scalar()
+    out = requests.join(F.broadcast(named), "model", "left").withColumn("any", any_)
+    pick = F.least("own", "any")  # skips nulls
     error = F.concat(F.lit("no provider serves model `"), "model", F.lit("`"))
     return out.withColumn("provider", pick["provider"]).withColumn(
         "error", F.when(F.col("provider").isNull(), error).otherwise("")

@@ -36,23 +36,27 @@ def latest_state(transitions: DataFrame, as_of_us: int | None = None) -> DataFra
 
     ``resume_state`` is what a task restarts from: a terminal state stays, anything
     else was in flight and goes back to ``created``. Spent attempts keep counting.
-    The fold is one partially aggregated ``max_by``; no task's log is collected.
+    The fold is one partially aggregated ``max_by``; no task's log is collected. State
+    and attempt travel in one number, so the aggregate hashes and need not sort. A state
+    that does not exist fails the read.
     """
     if as_of_us is not None:
         transitions = transitions.filter(F.col("at_us") <= as_of_us)
-    last = F.max_by(F.struct("to_state", "attempt"), "pos").alias("last")
-    state = F.col("last.to_state")
-    return (
-        transitions.groupBy("job_id", "task_id")
-        .agg(last)
-        .select(
-            "job_id",
-            "task_id",
-            state.alias("state"),
-            F.col("last.attempt").alias("attempt"),
-            F.when(is_terminal(state), state).otherwise("created").alias("resume_state"),
-        )
+    states = F.array(*[F.lit(name) for name in fixed.TASK_STATES])
+    code = F.array_position(states, F.col("to_state"))
+    known = F.when(code > 0, code).otherwise(
+        F.raise_error(F.concat(F.lit("unknown task state "), "to_state")).cast("bigint")
     )
+    packed = F.shiftleft(known, 32) + F.coalesce("attempt", F.lit(0))
+    last = transitions.groupBy("job_id", "task_id").agg(F.max_by(packed, "pos").alias("last"))
+    named = last.select(
+        "job_id",
+        "task_id",
+        F.element_at(states, F.shiftright("last", 32).cast("int")).alias("state"),
+        F.col("last").bitwiseAND(2**32 - 1).cast("int").alias("attempt"),
+    )
+    state = F.col("state")
+    return named.withColumn("resume_state", F.when(is_terminal(state), state).otherwise("created"))
 
 
 def job_status(changes: DataFrame, planned: DataFrame, resumed: DataFrame) -> DataFrame:

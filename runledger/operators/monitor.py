@@ -66,11 +66,11 @@ def cluster_view(jobs: DataFrame, queue: DataFrame, usage: DataFrame, agents: Da
     """One row for the whole cluster; each input is a one-row aggregate by then."""
     n_jobs = jobs.agg(F.count_if(active(F.col("status"))).alias("jobs_active"), F.count(F.lit(1)).alias("jobs_total"))
     n_agents = agents.agg(F.count(F.lit(1)).alias("cluster_agents"))
-    one = F.lit(1).alias("_one")
-    out = n_jobs.select("*", one)
-    for part in (queue, usage, n_agents):
-        out = out.join(part.select("*", one), "_one")
-    return out.drop("_one")
+    parts = [n_jobs, queue, usage, n_agents]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for part in parts for c in part.columns])
 
 
 def event_gaps(events: DataFrame, rows: int | None = None) -> DataFrame:

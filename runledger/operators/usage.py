@@ -124,12 +124,18 @@ def usage_rollup(calls: DataFrame, levels: list[str]) -> DataFrame:
 
 
 def conversation_rollup(messages: DataFrame) -> DataFrame:
-    """Prompt tokens (whitespace words of all messages) and the last user message."""
+    """Prompt tokens (whitespace words of all messages) and the last user message.
+
+    Only its turn goes through the aggregate; the text is looked up afterwards.
+    """
     words = text.word_count(F.col("content"))
     user = F.when(F.col("role") == "user", F.col("turn"))
-    return messages.groupBy("request_id").agg(
-        F.sum(words).cast("bigint").alias("prompt_tokens"),
-        F.coalesce(F.max_by("content", user), F.lit("")).alias("last_user_message"),
+    per = messages.groupBy("request_id").agg(
+        F.sum(words).cast("bigint").alias("prompt_tokens"), F.max(user).alias("turn")
+    )
+    said = messages.select("request_id", "turn", F.col("content").alias("last_user_message"))
+    return per.join(said, ["request_id", "turn"], "left").select(
+        "request_id", "prompt_tokens", F.coalesce("last_user_message", F.lit("")).alias("last_user_message")
     )
 
 
