@@ -80,7 +80,9 @@ def _candidates(post: DataFrame, threshold: float) -> DataFrame:
     b = post.select("job_id", "tok", F.col("pos").alias("b"), F.col("n").alias("b_n"))
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     met = a.join(b, ["job_id", "tok"]).filter((F.col("a") < F.col("b")) & (small >= large * threshold - 1e-9))
-    return met.select("a", "b").distinct()
+    # pairs are a few bytes but costly to verify: keep them spread, not merged by size
+    spread = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.select("a", "b").repartition(spread, "a", "b").distinct()
 
 
 def similar_pairs(sets: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
