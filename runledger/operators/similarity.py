@@ -42,35 +42,38 @@ def classes(rows: DataFrame) -> DataFrame:
     )
 
 
-def postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(job_id, tok, pos, n): prefix of each set under the order rarest token first."""
-    tok = sets.select("pos", "job_id", F.explode("tokens").alias("tok"))
+def encode(sets: DataFrame) -> DataFrame:
+    """(job_id, pos, ids): each class's tokens as numbers, rarest first.
+
+    Numbers are given in order of frequency over all classes, so sorting them puts rare
+    tokens in front. They are exact stand-ins for the words, and cheaper to shuffle and
+    intersect. Empty sets are like nothing else and drop out.
+    """
+    tok = sets.select("pos", F.explode("tokens").alias("tok"))
     frequency = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (
-        tok.join(frequency, "tok")
-        .groupBy("pos")
-        .agg(
-            F.any_value("job_id").alias("job_id"),
-            F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ts"),
-        )
-        .withColumn("n", F.size("ts"))
-    )
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = F.slice("ts", F.lit(1), length.cast("int"))
-    return ranked.select("job_id", "pos", "n", F.explode(prefix).alias("t")).select(
-        "job_id", "pos", "n", F.col("t.tok").alias("tok")
-    )
+    numbered = frequency.orderBy("df", "tok").withColumn("id", F.monotonically_increasing_id())
+    numbered = cut(numbered.select("tok", "id"), "vocabulary")
+    coded = tok.join(numbered, "tok").groupBy("pos").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return cut(coded.join(sets.select("pos", "job_id"), "pos"), "encoded")
+
+
+def postings(coded: DataFrame, threshold: float) -> DataFrame:
+    """(job_id, tok, pos, n): prefix of each set under the order rarest token first."""
+    n = F.size("ids")
+    length = n - F.ceil(n * threshold - 1e-9) + 1
+    prefix = F.slice("ids", F.lit(1), length.cast("int"))
+    return coded.select("job_id", "pos", n.alias("n"), F.explode(prefix).alias("tok"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, keep: Column) -> DataFrame:
+def _verify(pairs: DataFrame, coded: DataFrame, keep: Column) -> DataFrame:
     """Pairs (a, b) of class ids whose true similarity passes."""
-    left = sets.select(F.col("pos").alias("a"), F.col("tokens").alias("a_tokens"), "job_id")
-    right = sets.select(F.col("pos").alias("b"), F.col("tokens").alias("b_tokens"))
+    left = coded.select(F.col("pos").alias("a"), F.col("ids").alias("a_ids"), "job_id")
+    right = coded.select(F.col("pos").alias("b"), F.col("ids").alias("b_ids"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .withColumn("similarity", tx.jaccard(F.col("a_tokens"), F.col("b_tokens")))
-        .drop("a_tokens", "b_tokens")
+        .withColumn("similarity", tx.jaccard(F.col("a_ids"), F.col("b_ids")))
+        .drop("a_ids", "b_ids")
         .filter(keep)
     )
 
@@ -94,7 +97,8 @@ def similar_pairs(sets: DataFrame, threshold: float, strict: bool = False) -> Da
     """
     similarity = F.col("similarity")
     keep = similarity > threshold if strict else similarity >= threshold
-    return _verify(_candidates(postings(sets, threshold), threshold), sets, keep)
+    coded = encode(sets)
+    return _verify(_candidates(postings(coded, threshold), threshold), coded, keep)
 
 
 def keep_first(sets: DataFrame, threshold: float) -> DataFrame:
@@ -107,7 +111,8 @@ def keep_first(sets: DataFrame, threshold: float) -> DataFrame:
     rounds stop helping, the rest is decided on the full pair relation. Both ways are
     exact.
     """
-    post = cut(postings(sets, threshold), "postings")
+    coded = encode(sets)
+    post = cut(postings(coded, threshold), "postings")
     alike = F.col("similarity") >= threshold
     dropped = sets.select("pos").limit(0)
     for _ in range(MAX_LEADER_ROUNDS):
@@ -126,13 +131,13 @@ def keep_first(sets: DataFrame, threshold: float) -> DataFrame:
             .select("a", F.col("pos").alias("b"))
             .distinct()
         )
-        lost = cut(_verify(met, sets, alike).select(F.col("b").alias("pos")).distinct(), "lost")
+        lost = cut(_verify(met, coded, alike).select(F.col("b").alias("pos")).distinct(), "lost")
         dropped = dropped.unionByName(lost)
         before = load.rows
         post = cut(post.join(kept.unionByName(lost), "pos", "left_anti"), "postings")
         if post.count() > 0.9 * before:
             break
-    edges = cut(_verify(_candidates(post, threshold), sets, alike).select("a", "b"), "edges")
+    edges = cut(_verify(_candidates(post, threshold), coded, alike).select("a", "b"), "edges")
     while not edges.isEmpty():
         free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
         lost = cut(edges.join(free, "a", "left_semi").select(F.col("b").alias("pos")).distinct(), "lost")

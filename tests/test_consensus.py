@@ -23,10 +23,6 @@ def positioned(df):
     return similarity.positioned(df, consensus.report_order())
 
 
-def decide(df, weighted):
-    return consensus.decide(similarity.greedy_clusters(positioned(df), fixed.SAME_ANSWER), weighted)
-
-
 def brute_tokens(text):
     word, out = "", set()
     for ch in text + " ":
@@ -53,27 +49,26 @@ def test_similarity_bands():
     assert brute_sim(brute_tokens(RAFT_A), brute_tokens(PAXOS)) < 0.3
 
 
-def test_majority(spark):
-    row = decide(answers(spark, (RAFT_A, 0.6), (RAFT_B, 0.6), (PAXOS, 0.9)), False).first()
-    assert row.winning_task in (0, 1) and row.agreement_rate == pytest.approx(2 / 3) and row.distinct_positions == 2
-
-
-def test_weighted_can_overrule_majority(spark):
-    df = answers(spark, (RAFT_A, 0.2), (RAFT_B, 0.2), (PAXOS, 0.99))
-    assert decide(df, False).first().winning_task in (0, 1)
-    assert decide(df, True).first().winning_task == 2
-
-
-def test_single_answer_decides_nothing(spark):
-    assert decide(answers(spark, (RAFT_A, 0.5)), True).isEmpty()
+def test_majority_and_weight(spark):
+    """Three jobs at once: a clear majority, a confident minority, and a lone answer."""
+    df = answers(spark, (RAFT_A, 0.6), (RAFT_B, 0.6), (PAXOS, 0.9), job="clear")
+    df = df.unionByName(answers(spark, (RAFT_A, 0.2), (RAFT_B, 0.2), (PAXOS, 0.99), job="bold"))
+    df = df.unionByName(answers(spark, (RAFT_A, 0.5), job="lone"))
+    clustered = similarity.greedy_clusters(positioned(df), fixed.SAME_ANSWER).cache()
+    most = {r.job_id: r for r in consensus.decide(clustered, False).collect()}
+    heavy = {r.job_id: r for r in consensus.decide(clustered, True).collect()}
+    assert set(most) == set(heavy) == {"clear", "bold"}
+    assert most["clear"].winning_task in (0, 1) and most["clear"].agreement_rate == pytest.approx(2 / 3)
+    assert most["clear"].distinct_positions == 2
+    assert most["bold"].winning_task in (0, 1) and heavy["bold"].winning_task == 2
 
 
 def test_conflicts(spark):
-    c = similarity.greedy_clusters(positioned(answers(spark, (RAFT_A, 0.5), (PAXOS, 0.5))), fixed.SAME_ANSWER)
-    assert consensus.conflict_pairs(c).count() == 1
-    assert [r.conflicts for r in consensus.conflict_counts(c).collect()] == [1, 1]
-    same = similarity.greedy_clusters(positioned(answers(spark, (RAFT_A, 0.5), (RAFT_B, 0.5))), fixed.SAME_ANSWER)
-    assert consensus.conflict_pairs(same).isEmpty()
+    df = answers(spark, (RAFT_A, 0.5), (PAXOS, 0.5), job="apart")
+    df = df.unionByName(answers(spark, (RAFT_A, 0.5), (RAFT_B, 0.5), job="same"))
+    c = similarity.greedy_clusters(positioned(df), fixed.SAME_ANSWER).cache()
+    assert [r.job_id for r in consensus.conflict_pairs(c).collect()] == ["apart"]
+    assert rows(consensus.conflict_counts(c).select("job_id", "conflicts")) == [("apart", 1), ("apart", 1), ("same", 0)]
 
 
 def test_redundancy(spark):
@@ -120,7 +115,7 @@ def brute_kept(texts, t):
     return kept
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_greedy_clusters_equal_single_pass(spark, seed):
     texts = family_texts(seed)
     df = similarity.greedy_clusters(positioned(answers(spark, *[(x, 0.5) for x in texts])), 0.6)
@@ -128,13 +123,13 @@ def test_greedy_clusters_equal_single_pass(spark, seed):
     assert {r.task_id: at[r.label] for r in df.collect()} == brute_clusters(texts, 0.6)
 
 
-@pytest.mark.parametrize("seed, budget", [(3, 16), (3, 0), (4, 0)])
-def test_redundancy_equals_single_pass(spark, seed, budget, monkeypatch):
+@pytest.mark.parametrize("seed, budget, t", [(3, 16, 0.85), (4, 0, 0.6)])
+def test_redundancy_equals_single_pass(spark, seed, budget, t, monkeypatch):
     monkeypatch.setattr(similarity, "PAIRS_PER_POSTING", budget)  # 0 forces the leader rounds
-    texts = family_texts(seed, 120)
-    for t in (0.85, 0.6):
-        df = similarity.drop_redundant(positioned(answers(spark, *[(x, 0.5) for x in texts])), t)
-        assert sorted(r.task_id for r in df.collect()) == brute_kept(texts, t)
+    monkeypatch.setattr(similarity, "MAX_LEADER_ROUNDS", 3)
+    texts = family_texts(seed, 100)
+    df = similarity.drop_redundant(positioned(answers(spark, *[(x, 0.5) for x in texts])), t)
+    assert sorted(r.task_id for r in df.collect()) == brute_kept(texts, t)
 
 
 def test_similar_pairs_equal_all_pairs(spark):
@@ -146,7 +141,7 @@ def test_similar_pairs_equal_all_pairs(spark):
         first.setdefault(frozenset(brute_tokens(x)), i)
     ids = sorted(first.values())
     task = {r.pos: r.task_id for r in df.collect()}
-    for t in (0.3, 0.6, 0.85):
+    for t in (0.3, 0.7):
         want = {(a, b) for a in ids for b in ids if a < b and brute_sim(brute_tokens(texts[a]), brute_tokens(texts[b])) >= t
                 and brute_tokens(texts[a])}
         got = {(task[r.a], task[r.b]) for r in similarity.similar_pairs(sets, t).collect()}
@@ -162,23 +157,22 @@ def test_evidence_merge(spark):
     assert next(r.support for r in got if r.source == "shared") == 0.5
 
 
-def final(spark, df, strategy="parallel", completed=1, total=1):
-    jobs = spark.createDataFrame([("j", "goal", strategy)], "job_id STRING, objective STRING, strategy STRING")
-    counts = spark.createDataFrame([("j", completed, total)], "job_id STRING, completed BIGINT, total BIGINT")
-    none = spark.createDataFrame([], "job_id STRING, task_id BIGINT, position INT, source STRING, claim STRING, support DOUBLE")
-    return consensus.final_results(jobs, df, counts, fixed.kinds(spark), none).first()
-
-
 def test_final_report(spark):
-    gated = answers(spark, (RAFT_A, 0.5), kind="work").unionByName(
-        answers(spark, (PAXOS, 0.9), kind="work").withColumn("task_id", F.lit(7).cast("bigint")).withColumn("passed", F.lit(False))
-    )
-    row = final(spark, gated, completed=1, total=2)
-    assert row.outputs == 1 and row.confidence_score == pytest.approx(0.25)
-    assert row.summary == f"Findings for: goal\n\n- t0000: {RAFT_A}"
-    debate = final(spark, answers(spark, (RAFT_A, 0.6), (RAFT_B, 0.6), (PAXOS, 0.3)), "debate")
-    assert debate.summary.startswith("Consensus (80% agreement across 3 answers): Raft") and debate.conflicts == 1
-    merged = final(spark, answers(spark, (PAXOS, 0.6), kind="merge"))
-    assert merged.summary == PAXOS
-    empty = final(spark, answers(spark, (PAXOS, 0.6), kind="vote"))
-    assert empty.summary == "No validated output was produced for: goal" and empty.confidence_score == 0.0
+    """Four jobs at once, one per way a summary comes about."""
+    work = answers(spark, (RAFT_A, 0.5), (PAXOS, 0.9), kind="work", job="work")
+    work = work.withColumn("passed", F.col("task_id") == 0)
+    debate = answers(spark, (RAFT_A, 0.6), (RAFT_B, 0.6), (PAXOS, 0.3), job="debate")
+    merged = answers(spark, (PAXOS, 0.6), kind="merge", job="merged")
+    empty = answers(spark, (PAXOS, 0.6), kind="vote", job="empty")
+    df = work.unionByName(debate).unionByName(merged).unionByName(empty)
+    names = ["work", "debate", "merged", "empty"]
+    jobs = spark.createDataFrame([(n, "goal", "debate" if n == "debate" else "parallel") for n in names],
+                                 "job_id STRING, objective STRING, strategy STRING")
+    counts = spark.createDataFrame([(n, 1, 2) for n in names], "job_id STRING, completed BIGINT, total BIGINT")
+    none = spark.createDataFrame([], "job_id STRING, task_id BIGINT, position INT, source STRING, claim STRING, support DOUBLE")
+    out = {r.job_id: r for r in consensus.final_results(jobs, df, counts, fixed.kinds(spark), none).collect()}
+    assert out["work"].outputs == 1 and out["work"].confidence_score == pytest.approx(0.25)
+    assert out["work"].summary == f"Findings for: goal\n\n- t0000: {RAFT_A}"
+    assert out["debate"].summary.startswith("Consensus (80% agreement across 3 answers): Raft") and out["debate"].conflicts == 1
+    assert out["merged"].summary == PAXOS
+    assert out["empty"].summary == "No validated output was produced for: goal" and out["empty"].confidence_score == 0.0
