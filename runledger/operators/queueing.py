@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
 
+PUSHED_LIMIT = 1000
+SALTS = 256
+
 
 def is_visible(as_of_us: int) -> Column:
     return F.col("available_us") <= as_of_us
@@ -108,15 +111,22 @@ def top_k(
     """The ``k`` entries per queue to hand out next.
 
     Filters come before the ranking; ``rank <= k`` is pushed below the shuffle, so
-    each task forwards at most ``k`` rows per queue.
+    each task forwards at most ``k`` rows per queue. Spark does that for limits up to
+    1000 only; for larger ones each of ``SALTS`` parts of a queue is cut to its best
+    ``k`` first, which loses nothing and keeps a long queue out of a single sort.
     """
     seen = entries.filter(is_visible(as_of_us))
     if queues:
         seen = seen.filter(F.col("queue").isin(queues))
     if offered:
         seen = seen.filter(F.col("required").isin(offered))
-    order = W.partitionBy("queue").orderBy(F.desc("priority"), F.asc("enqueued_us"), F.asc("task_id"))
-    return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = [F.desc("priority"), F.asc("enqueued_us"), F.asc("task_id")]
+    if k > PUSHED_LIMIT:
+        part = W.partitionBy("queue", "_salt").orderBy(*order)
+        seen = seen.withColumn("_salt", F.pmod(F.xxhash64("task_id"), F.lit(SALTS)))
+        seen = seen.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k).drop("_salt")
+    ranked = seen.withColumn("rank", F.row_number().over(W.partitionBy("queue").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def pair_with_workers(entries: DataFrame, workers: DataFrame, as_of_us: int) -> DataFrame:

@@ -94,6 +94,13 @@ def test_queue_order_delay_and_dedup(spark):
     assert queueing.top_k(q, 9, 10, offered=["coding"]).isEmpty()
 
 
+def test_large_limits_are_cut_by_parts(spark, monkeypatch):
+    q = queue(spark, *[(i * 7 % 4, i * 13 % 50, 1) for i in range(300)]).cache()
+    want = rows(queueing.top_k(q, 40, 10).select("task_id", "rank"))
+    monkeypatch.setattr(queueing, "PUSHED_LIMIT", 10)
+    assert rows(queueing.top_k(q, 40, 10).select("task_id", "rank")) == want
+
+
 def test_capability_predicate(spark):
     def take(need, offer):
         return one(spark, queueing.may_take(F.array(*map(F.lit, need)), F.array(*map(F.lit, offer)).cast("array<string>")))
