@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import exact, language, packing, simhash, sql, token_file, tokens
+from runledger.llm import exact, language, packing, simhash, sql, substring, token_file, tokens
 from runledger.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir), window=50)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_file.write_token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_file.read_token_files(manifest)
@@ -37,6 +41,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_token_files": op3_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
