@@ -27,6 +27,8 @@ from runledger.llm.tokens import spaced_encoder
 from runledger.session import cut
 
 MAGIC, BLOCK, FIT = b"PFOR0001", 256, 0.9
+#: Bytes of one bit of all values of a block; a block's packed part holds these bit by bit.
+PLANE = BLOCK // 8
 FLUSH_IDS, READ_BLOCKS, DOC_ROWS = 1 << 20, 4096, 10_000
 TAIL, TAIL_BYTES = "<QQQ8s", 32
 
@@ -46,16 +48,14 @@ def pack_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, n
     over[width >= 32] = 0
     spilled = (over > 0).sum(axis=1).astype(np.uint16)
     payloads: list[bytes] = [b""] * len(rows)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        if w:
-            shifts = np.arange(w, dtype=np.uint32)
-            bits = ((rest[at][:, :, None] >> shifts) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
-        else:
-            packed = np.zeros((len(at), 0), dtype=np.uint8)
-        for i, row in zip(at.tolist(), packed, strict=True):
-            payloads[i] = row.tobytes()
+        values, packed = rest[at], np.zeros((len(at), w * PLANE), dtype=np.uint8)
+        for b in range(w):
+            packed[:, b * PLANE : (b + 1) * PLANE] = np.packbits((values & np.uint32(1 << b)).astype(bool), axis=1, bitorder="little")
+        data = packed.tobytes()
+        for k, i in enumerate(at.tolist()):
+            payloads[i] = data[k * w * PLANE : (k + 1) * w * PLANE]
     for i in np.flatnonzero(spilled).tolist():
         places = np.flatnonzero(over[i])
         payloads[i] += places.astype("<u1").tobytes() + over[i][places].astype("<u4").tobytes()
@@ -66,13 +66,13 @@ def unpack_blocks(data: bytes, start: np.ndarray, low: np.ndarray, width: np.nda
     """The ids of consecutive blocks; ``start`` counts from the first byte of ``data``."""
     raw = np.frombuffer(data, dtype=np.uint8)
     out = np.zeros((len(start), BLOCK), dtype=np.uint32)
-    for w in np.unique(width[width > 0]):
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        size = BLOCK * int(w) // 8
-        bits = np.unpackbits(raw[start[at].astype(np.int64)[:, None] + np.arange(size)], axis=1, bitorder="little")
-        bits = bits.reshape(len(at), BLOCK, int(w))
-        for b in range(int(w)):
-            out[at] |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+        first = start[at].astype(np.int64)[:, None] + np.arange(PLANE)
+        values = np.zeros((len(at), BLOCK), dtype=np.uint32)
+        for b in range(w):
+            values |= np.unpackbits(raw[first + b * PLANE], axis=1, bitorder="little").astype(np.uint32) << np.uint32(b)
+        out[at] = values
     for i in np.flatnonzero(spilled).tolist():
         a, n, w = int(start[i]) + BLOCK * int(width[i]) // 8, int(spilled[i]), np.uint32(width[i])
         out[i, raw[a : a + n]] |= np.frombuffer(data, "<u4", n, a + n) << w

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,13 @@ from pyspark.sql import DataFrame
 from runledger.llm.common import CHUNK_BYTES, batch_of, chunks, column, per_process, strings
 
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-#: Longest word that stays in the word table, and how many words it holds before it starts anew.
-CACHED_CHARS, CACHED_WORDS = 64, 500_000
+#: Longest part that stays in the table of parts, and how many it holds before it starts anew.
+CACHED_CHARS, CACHED_PARTS = 64, 1_200_000
+#: Characters below U+0130 lower-case one to one and have no combining marks; their letters.
+NOT_PLAIN = r"[^\x00-\u012f]"
+LETTERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f"
+PARTS = rf"[{LETTERS}]+|[^{LETTERS} \n\r\t]+"
+QUOTED_PARTS = rf"[^' \n\r\t]*'[^ \n\r\t]*|{PARTS}"
 #: Texts longer than this are split at safe places before they are counted.
 PIECE_CHARS = 1 << 16
 
@@ -31,32 +37,39 @@ def tokenizer(path: str):
 
 
 class SpacedEncoder:
-    """Ids by a tokenizer that drops white space, with a word table.
+    """Ids by a lower-casing tokenizer that drops white space, with a table of parts.
 
-    Such a tokenizer never joins what stands on both sides of a space, so the ids of a text
-    are those of its space-separated parts in order. A part is encoded once and then looked
-    up; the table is emptied when it has ``CACHED_WORDS`` entries, which bounds memory.
+    Such a tokenizer cuts at white space and wherever letters meet other characters, but
+    for apostrophes; no token and no rule reaches across. So a text's ids are those of its
+    parts in order, and a part is encoded once and then looked up. Words with an apostrophe
+    stay whole; texts with special strings or characters beyond ``PLAIN`` go to the library
+    as they are. The table is emptied at ``CACHED_PARTS`` entries, which bounds memory.
     """
 
     def __init__(self, path: str):
         self._tokenizer = tokenizer(path)
-        self._ids: dict[str, bytes] = {"": b""}
+        self._ids: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*parts)
-        if len(self._ids) > CACHED_WORDS:
-            self._ids = {"": b""}
-        fresh = list(wanted.difference(self._ids))
-        for word, found in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self._ids[word] = np.array(found.ids, dtype="<u4").tobytes()
+        parts = [self._parts(t) for t in texts]
+        if len(self._ids) > CACHED_PARTS:
+            self._ids = {}
+        fresh = list(set().union(*parts).difference(self._ids))
+        for part, found in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self._ids[part] = np.array(found.ids, dtype="<u4").tobytes()
         ids = [b"".join(map(self._ids.__getitem__, p)) for p in parts]
-        for word in fresh:
-            if len(word) > CACHED_CHARS:
-                del self._ids[word]
+        for part in fresh:
+            if len(part) > CACHED_CHARS:
+                del self._ids[part]
         return ids
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        if "<|" in text or re.search(NOT_PLAIN, text):
+            return [text]
+        return re.findall(QUOTED_PARTS if "'" in text else PARTS, text.lower())
+
 
 def spaced_encoder(path: str) -> SpacedEncoder:
     loaded = per_process("spaced encoders")
