@@ -58,6 +58,10 @@ class Model:
     slices: np.ndarray
     false_rate: np.ndarray
 
+    def parts(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Plain values for a broadcast, which workers without this package can read."""
+        return self.langs, self.slices, self.false_rate
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score. ``und`` and 0 without a letter, or if nothing was learned.
 
@@ -152,12 +156,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only ``text`` is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB per 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # 8 MB per 64 languages
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Model(*shared.value)
         for batch in batches:
-            found = [shared.value.predict(t) for t in column(batch, "text").to_pylist()]
+            found = [chosen.predict(t) for t in column(batch, "text").to_pylist()]
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
@@ -179,11 +184,12 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 def drop_unidentified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of ``docs`` that have a language, with all their columns; ``und`` rows go."""
     model = train(held_out(docs.select("doc_id", "text", "lang")).filter("not coalesce(held_out, false)"), train_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Model(*shared.value)
         for batch in batches:
-            known = [shared.value.predict(t)[0] != UNDECIDED for t in column(batch, "text").to_pylist()]
+            known = [chosen.predict(t)[0] != UNDECIDED for t in column(batch, "text").to_pylist()]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

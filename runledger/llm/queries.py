@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import exact, language, packing, simhash, sql, substring, token_file, tokens
+from runledger.llm import contamination, exact, language, license_scan, packing, secret_scan, simhash, sql, substring, token_file, tokens
 from runledger.llm.common import documents
 
 
@@ -15,15 +15,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir), window=50)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_file.write_token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_file.read_token_files(manifest)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -42,8 +54,11 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
