@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from runledger.llm.common import CHUNK_BYTES, batch_of, chunks, column, per_process, strings
 
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-#: Longest part that stays in the table of parts, and how many it holds before it starts anew.
-CACHED_CHARS, CACHED_PARTS = 64, 1_200_000
+#: Longest part that stays in the table of parts, and how many a generation of it holds.
+CACHED_CHARS, CACHED_PARTS = 64, 400_000
+#: Characters that the encoder takes at a time.
+ENCODED_CHARS = 4 << 20
+#: How the tokens that end a word are written in the vocabulary.
+WORD_END = "</w>"
 #: Characters below U+0130 lower-case one to one and have no combining marks; their letters.
 NOT_PLAIN = r"[^\x00-\u012f]"
 LETTERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f"
@@ -42,28 +46,55 @@ class SpacedEncoder:
     Such a tokenizer cuts at white space and wherever letters meet other characters, but
     for apostrophes; no token and no rule reaches across. So a text's ids are those of its
     parts in order, and a part is encoded once and then looked up. Words with an apostrophe
-    stay whole; texts with special strings or characters beyond ``PLAIN`` go to the library
-    as they are. The table is emptied at ``CACHED_PARTS`` entries, which bounds memory.
+    stay whole; texts with special strings or characters that are ``NOT_PLAIN`` go to the library
+    as they are. The table has two generations of ``CACHED_PARTS`` entries: when the young
+    one is full it becomes the old one, whose parts come back as they are met. That bounds
+    memory and keeps frequent parts.
     """
 
     def __init__(self, path: str):
         self._tokenizer = tokenizer(path)
-        self._ids: dict[str, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [self._parts(t) for t in texts]
-        if len(self._ids) > CACHED_PARTS:
-            self._ids = {}
-        fresh = list(set().union(*parts).difference(self._ids))
-        for part, found in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self._ids[part] = np.array(found.ids, dtype="<u4").tobytes()
-        ids = [b"".join(map(self._ids.__getitem__, p)) for p in parts]
+        if len(self._young) > CACHED_PARTS:
+            self._young, self._old = {}, self._young
+        young, old, fresh = self._young, self._old, []
+        for part in set().union(*parts).difference(young):
+            if part in old:
+                young[part] = old[part]
+            else:
+                fresh.append(part)
+        self._encode(fresh)
+        ids = [b"".join(map(young.__getitem__, p)) for p in parts]
         for part in fresh:
             if len(part) > CACHED_CHARS:
-                del self._ids[part]
+                del young[part]
         return ids
 
+    def _encode(self, fresh: list[str]) -> None:
+        """Put new parts into the table. Runs of letters go to the library as one text of
+        spaced words, each of which ends with a token that ends a word; should their number
+        not agree, and for all other parts, each is a text of its own.
+        """
+        runs = [p for p in fresh if p.isalpha() and not re.search(NOT_PLAIN, p)]
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self._ends_word[ids]) + 1
+        if len(ends) == len(runs):
+            data, start = ids.tobytes(), 0
+            for part, end in zip(runs, (4 * ends).tolist(), strict=True):
+                self._young[part] = data[start:end]
+                start = end
+        rest = [p for p in fresh if p not in self._young]
+        for part, found in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self._young[part] = np.array(found.ids, dtype="<u4").tobytes()
+
     @staticmethod
     def _parts(text: str) -> list[str]:
         if "<|" in text or re.search(NOT_PLAIN, text):
