@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.common import batch_of, chunks, column, strings
-from runledger.llm.tokens import spaced_encoder
+from runledger.llm.tokens import ENCODED_CHARS, spaced_encoder
 from runledger.session import cut
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 #: Pieces that one task packs; a bin below this fill is packed again with those of other groups.
 GROUP_PIECES, FULL_ENOUGH = 50_000, 0.98
-#: Bins that the local search tries to empty, from the emptiest on, before it gives up.
-TRIES = 12
+#: Bins that the local search fails to empty before it gives up, and steps it takes for one.
+TRIES, STEPS = 12, 300
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
         encode = spaced_encoder(tokenizer_path)
         for batch in batches:
             texts, doc_ids, rows = strings(batch), column(batch, "doc_id").to_pylist(), []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, ENCODED_CHARS):
                 for doc_id, ids in zip(doc_ids[a:b], encode(texts[a:b]), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -77,10 +77,10 @@ class Swaps:
     """Local search over bins: moves and swaps that raise the sum of squared fills.
 
     The emptiest bin is the victim. Its items move into bins with room, or one or two of
-    them change places with a smaller item there; each step fills the other bin further and
-    leaves the victim with less, until it is empty. A step is taken only if the other bin
-    ends up fuller than the victim was, so squared fill grows; a victim that cannot be
-    emptied is put back as it was.
+    them change places with a smaller item there, until it is empty. When none of that is
+    left, the bin with most room gives to other bins in the same ways, which gathers room
+    in one place. A step is taken only if squared fill grows, so the search ends; a victim
+    that cannot be emptied within ``STEPS`` is put back as it was.
     """
 
     def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
@@ -92,8 +92,7 @@ class Swaps:
 
     def run(self, tries: int = TRIES) -> list[list[int]]:
         failed = 0
-        order = [int(b) for b in np.argsort(self.fill, kind="stable")]
-        for victim in order:
+        for victim in np.argsort(self.fill, kind="stable").tolist():
             room = int(self.capacity * np.count_nonzero(self.fill) - self.fill.sum())
             if room < self.capacity or failed >= tries:
                 break
@@ -107,45 +106,48 @@ class Swaps:
         return list(packed.values())
 
     def _empty(self, victim: int) -> bool:
-        while self.fill[victim]:
-            if not self._step(victim):
+        for _ in range(STEPS):
+            if not self.fill[victim]:
+                return True
+            if self._step(victim, victim):
+                continue
+            room = np.where(self.fill > 0, self.capacity - self.fill, 0)
+            room[victim] = 0
+            if not self._step(int(np.argmax(room)), victim):
                 return False
-        return True
+        return not self.fill[victim]
 
-    def _step(self, victim: int) -> bool:
-        mine = np.flatnonzero(self.bin_of == victim)
+    def _step(self, donor: int, victim: int) -> bool:
+        """One move or swap that takes from ``donor`` and gives to a bin other than ``victim``."""
+        mine = np.flatnonzero(self.bin_of == donor)
         mine = mine[np.argsort(-self.sizes[mine], kind="stable")]
-        space = self.capacity - self.fill
-        space[victim] = 0
-        space[self.fill == 0] = 0
+        space = np.where(self.fill > 0, self.capacity - self.fill, 0)
+        space[[donor, victim]] = 0
         for item in mine.tolist():  # move
             size = self.sizes[item]
-            fits = np.flatnonzero(space >= size)
+            fits = np.flatnonzero((space >= size) & (self.fill + size > self.fill[donor]))
             if len(fits):
                 self._put(item, int(fits[np.argmin(space[fits])]))
                 return True
         others = np.flatnonzero(space[self.bin_of] > 0)
         theirs, room = self.sizes[others], space[self.bin_of[others]]
         for item in mine.tolist():  # one for one
-            if self._swap((item,), others, theirs, room, victim):
+            if self._swap((item,), others, theirs, room, donor):
                 return True
-        for i in range(min(len(mine), 8)):  # two for one
-            for j in range(i + 1, min(len(mine), 8)):
-                if self._swap((int(mine[i]), int(mine[j])), others, theirs, room, victim):
-                    return True
-        return False
+        few = mine[:8].tolist()
+        return any(self._swap((x, y), others, theirs, room, donor) for i, x in enumerate(few) for y in few[i + 1 :])  # two for one
 
-    def _swap(self, given: tuple[int, ...], others: np.ndarray, theirs: np.ndarray, room: np.ndarray, victim: int) -> bool:
+    def _swap(self, given: tuple[int, ...], others: np.ndarray, theirs: np.ndarray, room: np.ndarray, donor: int) -> bool:
         size = int(self.sizes[list(given)].sum())
         gain = size - theirs
-        good = (gain > 0) & (gain <= room) & (self.fill[self.bin_of[others]] + gain > self.fill[victim])
+        good = (gain > 0) & (gain <= room) & (self.fill[self.bin_of[others]] + gain > self.fill[donor])
         if not good.any():
             return False
         best = int(np.argmax(np.where(good, gain, -1)))
         back, target = int(others[best]), int(self.bin_of[others[best]])
         for item in given:
             self._put(item, target)
-        self._put(back, victim)
+        self._put(back, donor)
         return True
 
     def _put(self, item: int, target: int) -> None:

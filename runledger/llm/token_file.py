@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.common import batch_of, chunks, column, shared_uri, strings
-from runledger.llm.tokens import spaced_encoder
+from runledger.llm.tokens import ENCODED_CHARS, spaced_encoder
 from runledger.session import cut
 
 MAGIC, BLOCK, FIT = b"PFOR0001", 256, 0.9
@@ -52,7 +52,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, n
         at = np.flatnonzero(width == w)
         values, packed = rest[at], np.zeros((len(at), w * PLANE), dtype=np.uint8)
         for b in range(w):
-            packed[:, b * PLANE : (b + 1) * PLANE] = np.packbits((values & np.uint32(1 << b)).astype(bool), axis=1, bitorder="little")
+            if b % 8 == 0:
+                octet = (values >> np.uint32(b)).astype(np.uint8)
+            packed[:, b * PLANE : (b + 1) * PLANE] = np.packbits(octet & np.uint8(1 << b % 8), axis=1, bitorder="little")
         data = packed.tobytes()
         for k, i in enumerate(at.tolist()):
             payloads[i] = data[k * w * PLANE : (k + 1) * w * PLANE]
@@ -70,8 +72,11 @@ def unpack_blocks(data: bytes, start: np.ndarray, low: np.ndarray, width: np.nda
         at = np.flatnonzero(width == w)
         first = start[at].astype(np.int64)[:, None] + np.arange(PLANE)
         values = np.zeros((len(at), BLOCK), dtype=np.uint32)
-        for b in range(w):
-            values |= np.unpackbits(raw[first + b * PLANE], axis=1, bitorder="little").astype(np.uint32) << np.uint32(b)
+        for low_bit in range(0, w, 8):
+            octet = np.zeros((len(at), BLOCK), dtype=np.uint8)
+            for b in range(low_bit, min(w, low_bit + 8)):
+                octet |= np.unpackbits(raw[first + b * PLANE], axis=1, bitorder="little") << np.uint8(b - low_bit)
+            values |= octet.astype(np.uint32) << np.uint32(low_bit)
         out[at] = values
     for i in np.flatnonzero(spilled).tolist():
         a, n, w = int(start[i]) + BLOCK * int(width[i]) // 8, int(spilled[i]), np.uint32(width[i])
@@ -212,7 +217,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> Data
             if out is None and texts:
                 uri, first = f"{folder}/{uuid.uuid4().hex}.pfor", ids[0]
                 out = Writer(uri)
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, ENCODED_CHARS):
                 for doc_id, found in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     out.add(doc_id, found + end)
         if out is not None:
