@@ -21,12 +21,12 @@ def vote_rounds(votes: DataFrame, rounds: DataFrame) -> DataFrame:
     """
     tally = votes.groupBy("round_id", "answer").agg(F.sum("weight").alias("w"))
     top = tally.groupBy("round_id").agg(
-        F.max(F.struct("w", (-F.col("answer")).alias("low"))).alias("t"), F.sum("w").alias("total"),
+        F.min(F.struct((-F.col("w")).alias("minus"), "w", "answer")).alias("t"), F.sum("w").alias("total"),
         F.count(F.lit(1)).alias("positions"),
     )
     return top.join(rounds, "round_id").select(
         "round_id",
-        (-F.col("t.low")).alias("decision"),
+        F.col("t.answer").alias("decision"),
         (F.col("t.w") / F.col("total")).alias("agreement_rate"),
         "positions",
         F.when(F.col("t.w") >= F.col("quorum"), "decided").otherwise("open").alias("status"),

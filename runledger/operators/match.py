@@ -194,31 +194,62 @@ def adaptive_weights(outcomes: DataFrame, keys: list[str], rows: int | None = No
     )
 
 
+#: Calls over which a mean forgets where it started, but for a few values.
+SHORT_BLOCK = 64
+
+
 def latency_ewma(attempts: DataFrame, rows: int | None = None) -> DataFrame:
     """Whole-number smoothed latency per agent: first value, then (4 * mean + x) div 5.
 
     Rounding at each step makes this a true fold, but one that forgets: a block maps the
-    whole range of starting means to very few ends. That map, kept as runs of equal
-    ends, is all a block has to tell, so the blocks of a busy agent run side by side.
+    whole range of starting means to very few ends, in rising order. That map, kept as
+    runs of equal ends and found by halving the ranges whose ends differ, is all a block
+    has to tell, so the blocks of a busy agent run side by side. A block too short to
+    forget tells its values instead.
     """
     need = attempts.select("agent_id", "pos", "latency_ms")
-    highest = need.agg(F.coalesce(F.max("latency_ms"), F.lit(0))).first()[0]
-
-    def smooth(means: np.ndarray, x: int) -> np.ndarray:
-        return np.where(means == 0, x, (4 * means + x) // 5)
+    highest = int(need.agg(F.coalesce(F.max("latency_ms"), F.lit(0))).first()[0])
+
+    def fold(means: np.ndarray, values: list[int]) -> np.ndarray:
+        for x in values:
+            means = np.where(means == 0, x, (4 * means + x) // 5)
+        return means
+
+    def trace(means: np.ndarray, values: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Where means end, and when they first are zero. A lower start is zero no later, and
+        starts that are zero at the same time go on alike; the others keep their order."""
+        zero = np.full(len(means), len(values))
+        for i, x in enumerate(values):
+            means = np.where(means == 0, x, (4 * means + x) // 5)
+            zero = np.where(means == 0, np.minimum(zero, i), zero)
+        return means, zero
 
     def summarise(pdf: pd.DataFrame) -> dict:
-        starts = np.arange(int(highest) + 1, dtype=np.int64)
-        ends = starts
-        for x in pdf["latency_ms"].tolist():
-            ends = smooth(ends, x)
-            if len(ends) > 1:
-                new = np.concatenate(([True], ends[1:] != ends[:-1]))
-                starts, ends = starts[new], ends[new]
-        return {"starts": starts.tolist(), "ends": ends.tolist()}
+        values = pdf["latency_ms"].tolist()
+        if len(values) <= SHORT_BLOCK:
+            return {"starts": [], "ends": [], "values": values}
+        low, high = np.array([min(1, highest)]), np.array([highest])
+        (at, at_zero), (end, end_zero) = trace(low, values), trace(high, values)
+        starts, found = [0, *low.tolist()], [*fold(np.zeros(1, dtype=np.int64), values).tolist(), *at.tolist()]
+        while len(low):
+            differ = (at != end) | (at_zero != end_zero)
+            low, high, at, end, at_zero, end_zero = (v[differ] for v in (low, high, at, end, at_zero, end_zero))
+            close = high - low <= 1
+            starts += high[close].tolist()
+            found += end[close].tolist()
+            low, high, at, end, at_zero, end_zero = (v[~close] for v in (low, high, at, end, at_zero, end_zero))
+            middle = (low + high) // 2
+            half, half_zero = trace(middle, values)
+            low, high = np.concatenate([low, middle]), np.concatenate([middle, high])
+            at, end = np.concatenate([at, half]), np.concatenate([half, end])
+            at_zero, end_zero = np.concatenate([at_zero, half_zero]), np.concatenate([half_zero, end_zero])
+        runs = sorted(zip(starts, found))
+        return {"starts": [s for s, _ in runs], "ends": [e for _, e in runs], "values": []}
 
     def advance(block: dict, state: dict | None) -> dict:
         mean = int(state["mean"]) if state else 0
+        if len(block["values"]):
+            return {"mean": int(fold(np.array([mean]), list(block["values"]))[0])}
         i = int(np.searchsorted(np.asarray(block["starts"]), mean, "right")) - 1
         return {"mean": int(block["ends"][i])}
 
@@ -234,6 +265,6 @@ def latency_ewma(attempts: DataFrame, rows: int | None = None) -> DataFrame:
     folded = scan_by_key(
         need, ["agent_id"], "pos", step, summarise, advance,
         "agent_id BIGINT, average_latency_ms BIGINT, upto BIGINT", "mean BIGINT",
-        "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>", rows,
+        "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>, values ARRAY<BIGINT>", rows,
     )
     return folded.groupBy("agent_id").agg(F.max_by("average_latency_ms", "upto").alias("average_latency_ms"))

@@ -23,13 +23,15 @@ from runledger.session import block_rows, cut
 
 BLOCK = "_block"
 MAX_BLOCKS = 4096
+NULL_BLOCK = -1.0
 
 
 def with_block(df: DataFrame, order: str, rows: int | None = None) -> tuple[DataFrame, int]:
     """Add ``_block``, the slice of the global order a row falls in.
 
     One pass over the order column yields the row count and the cut points; only
-    these few numbers reach the driver. Equal order values share a block.
+    these few numbers reach the driver. Equal order values share a block; null order
+    values, which sort below all others, have a block of their own.
     """
     rows = rows or block_rows(df.sparkSession)
     total = df.select(order).count()
@@ -40,10 +42,11 @@ def with_block(df: DataFrame, order: str, rows: int | None = None) -> tuple[Data
     found = df.select(
         F.percentile_approx(F.col(order).cast("double"), share, 20 * MAX_BLOCKS)
     ).first()[0]
-    cuts = sorted(set(found))
+    cuts = sorted(set(found or ()))
     out = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol="_order", outputCol=BLOCK
-    ).transform(df.withColumn("_order", F.col(order).cast("double")))
+    ).transform(df.withColumn("_order", F.coalesce(F.col(order).cast("double"), F.lit(-math.inf))))
+    out = out.withColumn(BLOCK, F.when(F.col(order).isNull(), NULL_BLOCK).otherwise(F.col(BLOCK)))
     return out.drop("_order"), len(cuts) + 1
 
 
@@ -118,11 +121,12 @@ class Ordered:
                 .withColumn("_offset", F.sum("_sum").over(before))
                 .drop("_sum")
             )
+            # either part is null while it has met no value; the sum is null only if both are
             df = df.join(sums, [*self.keys, BLOCK], "left").withColumn(
-                out, F.col(out) + F.coalesce("_offset", F.lit(0))
+                out, F.coalesce(F.col(out) + F.col("_offset"), out, "_offset")
             )
         if not inclusive:
-            df = df.withColumn(out, F.col(out) - F.col("_value"))
+            df = df.withColumn(out, F.col(out) - F.coalesce("_value", F.lit(0)))
         return self._keep(df.drop("_value", "_offset"))
 
     def running_max(self, value: Column, out: str) -> Ordered:

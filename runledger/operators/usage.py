@@ -161,11 +161,13 @@ def budget_cutoff(calls: DataFrame, keys: list[str], budget: int, rows: int | No
 def cache_hits(calls: DataFrame) -> DataFrame:
     """Mark calls whose fingerprint was already answered and which did not bypass the cache.
 
-    The first answer per fingerprint is a partial aggregate joined back, not a window,
-    so one very popular fingerprint is not sorted in one task.
+    Only a call of status ok stores an answer. The first per fingerprint is a partial
+    aggregate joined back, not a window, so one very popular fingerprint is not sorted
+    in one task.
     """
-    first = calls.groupBy("fingerprint").agg(F.min("pos").alias("first_pos"))
-    hit = (F.col("pos") > F.col("first_pos")) & ~F.col("bypass_cache")
+    stored = F.when(F.col("status") == "ok", F.col("pos"))
+    first = calls.groupBy("fingerprint").agg(F.min(stored).alias("first_pos"))
+    hit = F.coalesce(F.col("pos") > F.col("first_pos"), F.lit(False)) & ~F.col("bypass_cache")
     return calls.join(first, "fingerprint").withColumn("cache_hit", hit).drop("first_pos")
 
 

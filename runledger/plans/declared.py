@@ -27,7 +27,23 @@ def vote_rounds(t):
     return op.vote_rounds(votes, rounds)
 
 
-@query("ranked_choice", "O-DCL2")
+def _ranked_choice_sql(choices: int) -> str:
+    """The elimination rounds written out, as many as there can be choices."""
+    steps = ["""b AS (SELECT user_id % 5 AS round_id, user_id AS ballot, event_type AS choice, count(*) AS n FROM events GROUP BY 1, 2, 3),
+  a0 AS (SELECT DISTINCT round_id, choice FROM b)"""]
+    for k in range(choices):
+        steps.append(f"""f{k} AS (SELECT round_id, choice, count(*) AS n FROM (SELECT b.round_id, b.choice, row_number() OVER
+    (PARTITION BY b.round_id, ballot ORDER BY n DESC, b.choice) AS rn FROM b JOIN a{k} a ON a.round_id = b.round_id AND a.choice = b.choice) x
+    WHERE rn = 1 GROUP BY 1, 2),
+  t{k} AS (SELECT round_id, choice, n, sum(n) OVER (PARTITION BY round_id) AS total, count(*) OVER (PARTITION BY round_id) AS remain,
+    row_number() OVER (PARTITION BY round_id ORDER BY n DESC, choice DESC) AS best, row_number() OVER (PARTITION BY round_id ORDER BY n, choice DESC) AS worst
+    FROM (SELECT a.round_id, a.choice, coalesce(n, 0) AS n FROM a{k} a LEFT JOIN f{k} f ON a.round_id = f.round_id AND a.choice = f.choice) y),
+  w{k} AS (SELECT round_id, choice AS winner, {k} AS eliminations FROM t{k} WHERE best = 1 AND (n * 2 > total OR remain = 1)),
+  a{k + 1} AS (SELECT round_id, choice FROM t{k} WHERE worst > 1 AND round_id NOT IN (SELECT round_id FROM w{k}))""")
+    return "WITH " + ", ".join(steps) + " UNION ALL ".join(f" SELECT * FROM w{k}" for k in range(choices))
+
+
+@query("ranked_choice", "O-DCL2", _ranked_choice_sql(5))
 def ranked_choice(t):
     share = t.events.groupBy((F.col("user_id") % 5).alias("round_id"), F.col("user_id").alias("ballot"),
                              F.col("event_type").alias("choice")).agg(F.count(F.lit(1)).alias("n"))

@@ -106,13 +106,15 @@ def stranded_tasks(t):
 @query(
     "stranded_cancelled",
     "O-GRF6",
-    TE_REC + STRANDED + f"""SELECT CASE WHEN r.task_id IS NOT NULL AND state NOT IN {_TERMINAL} THEN 'cancelled' ELSE state END
-    AS new_state, count(*) AS n FROM v_dag_tasks t LEFT JOIN r ON r.task_id = t.task_id GROUP BY 1""",
+    TE_REC + STRANDED + f"""SELECT 0 AS job_id, CASE WHEN r.task_id IS NOT NULL AND state NOT IN {_TERMINAL} THEN 'cancelled' ELSE state END
+    AS new_state, count(*) AS n FROM v_dag_tasks t LEFT JOIN r ON r.task_id = t.task_id GROUP BY 2
+    UNION ALL SELECT 1, state, count(*) FROM v_dag_tasks GROUP BY 2""",
 )
 def stranded_cancelled(t):
-    tasks, edges = dag(t)
-    depth = tasks.filter("state = 'no such state'").groupBy("job_id").agg(F.count(F.lit(1)).alias("depth"))
-    return op.cancel_stranded(tasks, edges, depth).groupBy("new_state").agg(F.count(F.lit(1)).alias("n"))
+    # the same graph as two jobs, of which one still has its queued tasks in the queue
+    tasks, edges = (df.withColumn("job_id", F.explode(F.array(F.lit(0), F.lit(1)))) for df in dag(t))
+    depth = tasks.filter("state = 'queued' AND job_id = 1").groupBy("job_id").agg(F.count(F.lit(1)).alias("depth"))
+    return op.cancel_stranded(tasks, edges, depth).groupBy("job_id", "new_state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

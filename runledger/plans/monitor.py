@@ -215,7 +215,7 @@ def batch_inference(t):
     requests = t.documents.select(
         F.col("doc_id").alias("request_id"), F.col("text").alias("prompt"), F.md5("text").alias("fingerprint")
     )
-    answered = inference.answer_batch(requests, _answer, calls_at_once=8)
+    answered = inference.answer_batch(requests, _answer)
     counted = answered.withColumn("tokens_in", tx.word_count(F.col("prompt")).cast("bigint")).withColumn(
         "tokens_out", tx.word_count(F.col("answer")).cast("bigint")
     )

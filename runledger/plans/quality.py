@@ -42,10 +42,10 @@ RAW = """CASE doc_id % 4 WHEN 0 THEN text
   ELSE '[1, 2]' END"""
 
 
-def raw_outputs(t):
+def raw_outputs(t, *more):
     return t.documents.select(
         F.col("doc_id").alias("task_id"), "lang", F.expr(RAW).alias("raw"),
-        F.expr("CASE doc_id % 3 WHEN 0 THEN 'work' WHEN 1 THEN 'vote' ELSE 'plan' END").alias("kind"),
+        F.expr("CASE doc_id % 3 WHEN 0 THEN 'work' WHEN 1 THEN 'vote' ELSE 'plan' END").alias("kind"), *more,
     )
 
 
@@ -105,9 +105,7 @@ _RULES = [
 )
 def rule_table_gate(t):
     rules = fixed.values_table(t.spark, "kind, position, rule, min_words, needle, keys", _RULES)
-    rows = raw_outputs(t).drop("raw").join(
-        t.documents.select(F.col("doc_id").alias("task_id"), F.col("text").alias("output")), "task_id"
-    )
+    rows = raw_outputs(t, F.col("text").alias("output")).drop("raw")
     return op.rule_gate(rows, rules)
 
 

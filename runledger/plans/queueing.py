@@ -204,15 +204,12 @@ def after_purge(t):
     "leasable_deliveries",
     "O-JN11",
     with_views("v_lease_events", "v_transitions")
-    + """, s AS (SELECT task_id, arg_max(to_state, pos) AS state FROM v_transitions
-      WHERE pos % 2 = 0 GROUP BY task_id)
+    + """, s AS (SELECT task_id, arg_max(to_state, pos) AS state FROM v_transitions GROUP BY task_id)
   SELECT task_id, pos, op FROM v_lease_events WHERE task_id IN (
     SELECT task_id FROM s WHERE state IN ('queued', 'retry_scheduled'))""",
 )
 def leasable_deliveries(t):
-    states = t.v_transitions.filter("pos % 2 = 0").groupBy("task_id").agg(
-        F.max_by("to_state", "pos").alias("state")
-    )
+    states = t.v_transitions.groupBy("task_id").agg(F.max_by("to_state", "pos").alias("state"))
     return op.leasable(t.v_lease_events, states).select("task_id", "pos", "op")
 
 

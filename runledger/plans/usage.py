@@ -176,9 +176,9 @@ def budget_cutoff(t):
     "cache_hits",
     "O-WIN12",
     with_views("v_model_calls")
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY pos) AS rn
-      FROM v_model_calls)
-  SELECT model, count(*) AS calls, count(*) FILTER (WHERE rn > 1 AND NOT bypass_cache) AS hits
+    + """, r AS (SELECT *, max(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM v_model_calls)
+  SELECT model, count(*) AS calls, count(*) FILTER (WHERE stored = 1 AND NOT bypass_cache) AS hits
   FROM r GROUP BY model""",
 )
 def cache_hits(t):

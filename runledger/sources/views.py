@@ -7,7 +7,6 @@ queries and the SQL they are checked against.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable
 
@@ -18,7 +17,8 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
-LONG_TEXTS = ("documents", "pages")
+#: Files of a stream that one micro-batch takes in.
+FILES_PER_TRIGGER = 64
 
 _SPARK_MACROS = {
     "us": r"unix_micros(cast(\1 as timestamp))",
@@ -202,17 +202,13 @@ class Tables:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        # a lone local file of one row group is one task; long texts deserve more
-        if name in LONG_TEXTS and os.path.isfile(path):
-            df = df.repartition(self.spark.sparkContext.defaultParallelism)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream over its files."""
         schema = self.table(name).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}*.parquet")
+        source = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+        return source.parquet(f"{self.sf_dir}/{name}*.parquet")
 
     def stream_view(self, name: str) -> DataFrame:
         return self._view(name, self.stream)

@@ -33,6 +33,37 @@ def test_shift(hot, back):
     assert rows(got.select("k", "pos", "v", "p")) == rows(want)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("size", [17, 40, 10_000])
+def test_nulls_do_not_depend_on_blocks(hot, descending, size):
+    """Null order values, null values, and both at once."""
+    odd = hot.select(
+        "k", "pos", F.when(F.col("pos") % 7 != 0, F.col("pos")).alias("o"),
+        F.when((F.col("pos") % 3 != 0) & ((F.col("k") > 2) | (F.col("pos") > 300)), F.col("v")).alias("v"),
+    )
+    way = F.desc if descending else F.asc
+    order = W.partitionBy("k").orderBy(way("o"), way("pos"))
+    w = order.rowsBetween(W.unboundedPreceding, 0)
+    want = odd.select(
+        "k", "pos", F.sum("v").over(w).alias("s"), (F.sum("v").over(w) - F.coalesce("v", F.lit(0))).alias("e"),
+        F.max("v").over(w).alias("m"), F.row_number().over(order).cast("bigint").alias("n"), F.lag("v").over(order).alias("p"),
+    )
+    got = Ordered(odd, ["k"], "o", ["pos"], descending=descending, rows=size)
+    got = got.running_sum(F.col("v"), "s").running_sum(F.col("v"), "e", inclusive=False).running_max(F.col("v"), "m")
+    assert rows(got.row_number("n").shift({"p": "v"}).done().select("k", "pos", "s", "e", "m", "n", "p")) == rows(want)
+
+
+@pytest.mark.parametrize("size", [100, 250])
+def test_latency_ewma_with_zeros(spark, size):
+    rng = random.Random(11)
+    data = [(1, i, rng.choice([0, 0, 1, 2, 5, 40, 100_000]) if i % 90 > 20 else 0) for i in range(700)]
+    mean = 0
+    for _, _, x in data:
+        mean = x if mean == 0 else (4 * mean + x) // 5
+    df = spark.createDataFrame(data, "agent_id BIGINT, pos BIGINT, latency_ms BIGINT")
+    assert [tuple(r) for r in match.latency_ewma(df, rows=size).collect()] == [(1, mean)]
+
+
 @pytest.mark.parametrize("descending", [True, False])
 def test_running(hot, descending):
     order = F.desc("pos") if descending else F.asc("pos")

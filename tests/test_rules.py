@@ -221,3 +221,17 @@ def test_ranked_choice(spark):
 def test_causation_loop_has_no_root(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (8, 9), (9, 8)], "id INT, causation_id INT")
     assert rows(declared.causation_chains(df)) == [(1, 1, 0), (2, 1, 1), (3, 1, 2)]
+
+
+def test_only_answers_fill_the_cache(spark):
+    data = [("f", 1, "error", False), ("f", 2, "circuit_open", False), ("f", 3, "ok", False), ("f", 4, "ok", False), ("f", 5, "error", True),
+            ("g", 6, "error", False), ("g", 7, "error", False)]
+    df = spark.createDataFrame(data, "fingerprint STRING, pos BIGINT, status STRING, bypass_cache BOOLEAN")
+    assert {r.pos for r in usage.cache_hits(df).filter("cache_hit").collect()} == {4}
+
+
+def test_votes_for_text_answers(spark):
+    votes = spark.createDataFrame([("r", "raft", 2), ("r", "paxos", 2), ("r", "none", 1), ("s", "x", 1)], "round_id STRING, answer STRING, weight INT")
+    rounds = spark.createDataFrame([("r", 3), ("s", 1)], "round_id STRING, quorum INT")
+    got = {r.round_id: (r.decision, r.agreement_rate, r.positions, r.status) for r in declared.vote_rounds(votes, rounds).collect()}
+    assert got == {"r": ("paxos", 0.4, 3, "open"), "s": ("x", 1.0, 1, "decided")}
