@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.functions import fixed_values as fixed
-from runledger.operators import kv, leases, lifecycle
-from runledger.plans.registry import query, with_views
+from runledger.operators import graph, kv, leases, lifecycle, usage
+from runledger.plans import graph as _graph_queries  # noqa: F401  (registered first)
+from runledger.plans import usage as _usage_queries  # noqa: F401
+from runledger.plans.registry import SQL, query, with_views
 from runledger.session import cut, scratch_path
 from runledger.sources import journal, tables
 
@@ -164,7 +166,7 @@ def journal_records(t):
     """Journal lines derived from the tables: transitions, plans, status changes,
     results and failures."""
     moves = t.v_transitions.select(
-        F.lit("task_transitioned").alias("record"), F.col("job_id").cast("string").alias("job_id"),
+        F.lit("task_transitioned").alias("record"), (F.col("pos") * 2).alias("seq"), F.col("job_id").cast("string").alias("job_id"),
         F.col("task_id").cast("string").alias("task_id"), "attempt",
         F.struct(
             F.lit("task").alias("entity"), F.col("from_state").alias("from"), F.col("to_state").alias("to"),
@@ -177,7 +179,7 @@ def journal_records(t):
         F.struct("id", F.lit("planning").alias("status"), F.struct(F.lit("parallel").alias("execution_strategy")).alias("request")).alias("job"),
     )
     changes = t.v_transitions.filter("pos % 50 = 0").select(
-        F.lit("job_status_changed").alias("record"), F.col("job_id").cast("string").alias("job_id"),
+        F.lit("job_status_changed").alias("record"), (F.col("pos") * 2 + 1).alias("seq"), F.col("job_id").cast("string").alias("job_id"),
         F.when(F.col("to_state") == "completed", "completed").otherwise("running").alias("status"), _micros("at_us").alias("at"),
     )
     done = t.v_results.select(
@@ -226,7 +228,7 @@ def journal_kinds(t):
 def journal_replay(t):
     moves = written_journal(t).filter("kind = 'task_transitioned'").select(
         "job_id", "task_id", F.col("transition.to").alias("to_state"), "attempt",
-        F.struct("transition.at", "file", "split_start", "line_order").alias("pos"),
+        F.col("seq").alias("pos"),
     )
     return lifecycle.latest_state(moves)
 
@@ -250,15 +252,59 @@ def journal_jobs(t):
     records = written_journal(t)
     last = lifecycle.latest_state(
         records.filter("kind = 'task_transitioned'").select(
-            "job_id", "task_id", F.col("transition.to").alias("to_state"), "attempt", F.col("transition.at").alias("pos")
+            "job_id", "task_id", F.col("transition.to").alias("to_state"), "attempt", F.col("seq").alias("pos")
         )
     )
     resumed = last.groupBy("job_id").agg(F.count_if(~lifecycle.is_terminal(F.col("state"))).alias("n"))
-    changes = records.filter("kind = 'job_status_changed'").select("job_id", "status", F.col("at").alias("pos"))
+    changes = records.filter("kind = 'job_status_changed'").select("job_id", "status", F.col("seq").alias("pos"))
     planned = records.filter("kind = 'job_planned'").select("job_id", "job.status")
     return lifecycle.job_status(changes, planned, resumed)
 
 
+PLAN_TASKS = 500
+
+
+def plan_records(tasks, edges=None):
+    """Plan records of at most ``PLAN_TASKS`` tasks each, so that no line holds a whole large job."""
+    rows = tasks.select(
+        F.col("job_id").cast("string").alias("job_id"), F.floor(F.col("task_id") / PLAN_TASKS).alias("part"), "task_id", "title", "kind", "stage", "state"
+    )
+    if edges is None:
+        rows = rows.withColumn("dependencies", F.array().cast("array<string>"))
+    else:
+        parents = edges.groupBy(F.col("child").alias("task_id")).agg(F.collect_list(F.col("parent").cast("string")).alias("dependencies"))
+        rows = rows.join(parents, "task_id", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
+    task = F.struct(F.col("task_id").cast("string").alias("id"), "title", "kind", "stage", "state", "dependencies")
+    return rows.groupBy("job_id", "part").agg(F.collect_list(task).alias("tasks")).select(
+        F.lit("job_planned").alias("record"), F.struct(F.col("job_id").alias("id"), F.lit("planning").alias("status")).alias("job"), "tasks"
+    )
+
+
+@query(
+    "journal_graph",
+    "O-GRF10 O-GRF4 O-SRC1",
+    SQL["ready_tasks"].replace("SELECT stage, task_id, title FROM", "SELECT stage, cast(task_id AS string) AS task_id, title FROM"),
+)
+def journal_graph(t):
+    """The graph of a job rebuilt from its plan records alone, and what is ready in it."""
+    path = scratch_path(t.spark, "journal")
+    journal.append_journal(plan_records(t.v_dag_tasks, t.v_edges), path)
+    tasks = cut(journal.planned_tasks(journal.read_journal(t.spark, path)), "planned")
+    return graph.ready(tasks.drop("dependencies"), journal.planned_edges(tasks)).select("stage", "task_id", "title")
+
+
+@query("journal_statistics", "O-AGG4 O-GRF10 O-SRC1", SQL["execution_statistics"])
+def journal_statistics(t):
+    """The statistics of all jobs from plan, result and failure records alone."""
+    path = scratch_path(t.spark, "journal")
+    for part in [plan_records(t.v_tasks), *journal_records(t)[3:]]:
+        journal.append_journal(part, path)
+    records = journal.read_journal(t.spark, path)
+    results = records.filter("kind = 'task_completed'").select("job_id", "result.*")
+    failures = records.filter("kind = 'task_failed'").select("job_id", "failure.*")
+    return usage.execution_statistics(results, failures, journal.planned_tasks(records))
+
+
 @query(
     "typed_scan",
     "O-SRC4",

@@ -168,3 +168,35 @@ def test_lease_timer_sweeps(spark, tmp_path):
     timed = stream.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", "1 minute")
     got = processors.drain(processors.lease_stream_with_expiry(timed), "leases").filter("task_id = 1")
     assert sorted((r.outcome, r.cause) for r in got.collect()) == [("granted", ""), ("requeued", "lease expired")]
+
+
+def test_wrongly_typed_or_missing_fields_are_corrupt(spark, tmp_path):
+    typed = '{"record": "task_transitioned", "seq": 1, "job_id": "j", "task_id": "t", "attempt": "two", "transition": {"to": "queued"}}'
+    missing = '{"record": "task_completed", "job_id": "j", "result": {"title": "x"}}'
+    for bad in (typed, missing):
+        path = journal_file(tmp_path, GOOD, bad, GOOD)
+        with pytest.raises(Exception, match="corrupt"):
+            journal.read_journal(spark, path).collect()
+        assert journal.read_journal(spark, path, on_corrupt="report").count() == 1
+
+
+def test_seq_orders_records_of_several_appends(spark, tmp_path):
+    path = str(tmp_path / "many.journal")
+    for seq, status in ((3, "completed"), (1, "planning"), (2, "running")):
+        df = spark.createDataFrame([("job_status_changed", seq, "j", status)], "record STRING, seq BIGINT, job_id STRING, status STRING")
+        journal.append_journal(df, path)
+    found = journal.read_journal(spark, path)
+    assert [r.status for r in found.orderBy("seq").collect()] == ["planning", "running", "completed"]
+
+
+def test_plan_records_give_the_graph_back(spark, tmp_path):
+    from runledger.plans.records import plan_records
+
+    tasks = spark.createDataFrame([(0, i, f"t{i}", "work", i % 3, "created") for i in range(1200)], "job_id INT, task_id BIGINT, title STRING, kind STRING, stage INT, state STRING")
+    edges = spark.createDataFrame([(0, i, i - 1) for i in range(1, 1200)], "job_id INT, child BIGINT, parent BIGINT")
+    path = str(tmp_path / "plan.journal")
+    journal.append_journal(plan_records(tasks, edges), path)
+    records = journal.read_journal(spark, path)
+    back = journal.planned_tasks(records)
+    assert records.count() == 3 and back.count() == 1200
+    assert sorted((int(r.child), int(r.parent)) for r in journal.planned_edges(back).collect()) == [(i, i - 1) for i in range(1, 1200)]
