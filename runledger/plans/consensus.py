@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from runledger.functions import fixed_values as fixed
 from runledger.operators import consensus as op
 from runledger.operators import lifecycle
+from runledger.operators import quality as quality_op
 from runledger.operators import similarity as sim
 from runledger.operators.ordered import Ordered
+from runledger.plans import quality
 from runledger.plans.lifecycle import COUNTS, group_case
 from runledger.plans.quality import headline_sql
-from runledger.plans.registry import query, with_views
+from runledger.plans.registry import SQL, query, with_views
 from runledger.session import cut
 
 TOKENS = r"""list_distinct(list_transform(list_filter(regexp_split_to_array(output, '[^\p{L}\p{N}]'),
@@ -166,16 +168,14 @@ def report_order(t):
     return Ordered(placed, ["job_id"], "pos").row_number("position").done().select("job_id", "task_id", "position")
 
 
-_EVIDENCE = """SELECT source AS job_id, doc_id AS task_id, 0 AS position, 's' || cast(doc_id % 9 AS string) AS source,
-    'c' || cast(n_chars % 5 AS string) AS claim, cast(n_chars % 97 AS double) / 97 AS support FROM {documents}
-  UNION ALL SELECT source, doc_id, 1, 'shared', 'x', cast(doc_id % 10 AS double) / 10 FROM {documents}"""
-
-
 def evidence(t):
-    return t.spark.sql(_EVIDENCE, documents=t.documents)
+    """Evidence items that the outputs themselves carry."""
+    jobs = t.documents.select(F.col("doc_id").alias("task_id"), F.col("source").alias("job_id"))
+    return quality_op.evidence_rows(quality.raw_outputs(t)).join(jobs, "task_id")
 
 
-MERGED = f""", ev AS ({_EVIDENCE.replace('{documents}', 'documents')}),
+MERGED = f""", ev AS (SELECT d.source AS job_id, i.task_id, i.position, i.source, i.claim, i.support
+      FROM ({SQL["evidence_rows"]}) i JOIN documents d ON d.doc_id = i.task_id),
   e1 AS (SELECT ev.job_id, source, claim, support, pos, position, row_number() OVER (PARTITION BY ev.job_id, source, claim
       ORDER BY pos, position) AS rn FROM ev JOIN k ON ev.job_id = k.job_id AND ev.task_id = k.task_id),
   me AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY support DESC, pos, position) AS rank
@@ -196,13 +196,13 @@ def merged_evidence(t):
 @query(
     "top_findings",
     "O-SRT2",
-    with_views("v_results")
-    + """SELECT job_id, task_id, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id
-    ORDER BY confidence DESC, stage, title, task_id) AS rank FROM v_results) x WHERE rank <= 3""",
+    rows_sql("true") + KEPT
+    + """ SELECT job_id, task_id, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id
+    ORDER BY confidence DESC, pos) AS rank FROM k) x WHERE rank <= 3""",
 )
 def top_findings(t):
-    ordered = t.v_results.withColumn("pos", F.struct("stage", "title", "task_id"))
-    return op.top_findings(ordered).select("job_id", "task_id", "rank")
+    kept = sim.drop_redundant(results(t), fixed.REDUNDANT)
+    return op.top_findings(kept).select("job_id", "task_id", "rank")
 
 
 _FINAL = (
