@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from runledger.session import scratch_path
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1000
 #: Spaces of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` parts at the same six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -21,6 +23,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold at most ``ARROW_ROWS`` rows.
+
+    Whole texts are wide: at the default of 10,000 rows a batch takes tens of megabytes in
+    the executor and again in its Python worker, and with long texts far more.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > ARROW_ROWS:
+        conf.set(name, ARROW_ROWS)
+    return docs
+
+
 def shared_uri(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` as a URI that Python workers can open too."""
     path = scratch_path(spark, label)
@@ -83,10 +97,3 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
-
-
-def one_by_one(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows each."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)

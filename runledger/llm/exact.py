@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, column
+from runledger.llm.common import batch_of, column, small_batches
 from runledger.session import cut
 
 #: A bucket above this many bytes of text is split; the directory has 2^MAX_DEPTH cells at most.
 BUCKET_BYTES, MAX_DEPTH = 16 << 20, 12
 #: Texts that a task holds while it joins equal ones before the shuffle.
-COLLAPSE_BYTES = 64 << 20
+COLLAPSE_BYTES = 16 << 20
 
 KEYS = "doc_id bigint, hash_key bigint, text_sha256 binary, n_bytes bigint"
 ENTRIES = "bucket bigint, hash_key bigint, body binary, text_sha256 binary, keep_id bigint, group_size bigint"
@@ -87,7 +87,7 @@ def text_keys(docs: DataFrame) -> DataFrame:
                 n_bytes=[len(b) for b in bodies],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(keys, KEYS)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(keys, KEYS)
 
 
 def entries(docs: DataFrame, depth: int, directory: list[int]) -> DataFrame:
@@ -132,7 +132,7 @@ def entries(docs: DataFrame, depth: int, directory: list[int]) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(collapse, ENTRIES)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(collapse, ENTRIES)
 
 
 def owned(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import batch_of, column
+from runledger.llm.common import batch_of, column, small_batches
 
 GRAM, SLOT_BITS, HASHES = 4, 20, 2
 #: Odd multipliers of the hash functions.
@@ -106,7 +106,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     Counting and the filters' slots are Spark aggregates; the driver gets one row per
     language and one per slot (``2**SLOT_BITS`` at most).
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    labelled = small_batches(docs).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(found)
     if not langs:
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -192,4 +192,4 @@ def drop_unidentified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFram
             known = [chosen.predict(t)[0] != UNDECIDED for t in column(batch, "text").to_pylist()]
             yield batch.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

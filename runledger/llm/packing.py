@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, chunks, column, strings
+from runledger.llm.common import batch_of, chunks, column, small_batches, strings
 from runledger.llm.tokens import ENCODED_CHARS, spaced_encoder
 from runledger.session import cut
 
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             names = schema.names
             yield batch_of(schema, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))) if rows else batch_of(schema, **{n: [] for n in names})
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(pieces, PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, column, ranges
+from runledger.llm.common import batch_of, column, ranges, small_batches
 from runledger.llm.fm_index import FMIndex
 from runledger.session import cut
 
@@ -114,7 +114,7 @@ def document_segments(docs: DataFrame, window: int, anchors: tuple[int, ...], ho
                 segments=pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind),
             )
 
-    return docs.select("doc_id", "text").mapInArrow(segmented, f"doc_id bigint, body_sha binary, n_words bigint, segments array<struct<{SEGMENT}>>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(segmented, f"doc_id bigint, body_sha binary, n_words bigint, segments array<struct<{SEGMENT}>>")
 
 
 def anchored(docs: DataFrame, window: int, anchors: tuple[int, ...], hot_segments: int) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, chunks, column, shared_uri, strings
+from runledger.llm.common import batch_of, chunks, column, shared_uri, small_batches, strings
 from runledger.llm.tokens import ENCODED_CHARS, spaced_encoder
 from runledger.session import cut
 
@@ -224,7 +224,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> Data
             n_docs, n_ids, n_bytes = out.close()
             yield batch_of(schema, path=[uri], first_doc=[first], n_docs=[n_docs], n_ids=[n_ids], n_bytes=[n_bytes])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 

@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from runledger.llm.common import CHUNK_BYTES, batch_of, chunks, column, per_process, strings
+from runledger.llm.common import CHUNK_BYTES, batch_of, chunks, column, per_process, small_batches, strings
 
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Longest part that stays in the table of parts, and how many a generation of it holds.
-CACHED_CHARS, CACHED_PARTS = 64, 400_000
-#: Characters that the encoder takes at a time.
-ENCODED_CHARS = 4 << 20
+CACHED_CHARS, CACHED_PARTS = 64, 120_000
+#: Characters that the encoder takes at a time, and new parts that go to the library at a time.
+ENCODED_CHARS, ENCODED_PARTS = 1 << 20, 4096
 #: How the tokens that end a word are written in the vocabulary.
 WORD_END = "</w>"
 #: Characters below U+0130 lower-case one to one and have no combining marks; their letters.
@@ -84,16 +84,18 @@ class SpacedEncoder:
         not agree, and for all other parts, each is a text of its own.
         """
         runs = [p for p in fresh if p.isalpha() and not re.search(NOT_PLAIN, p)]
-        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self._ends_word[ids]) + 1
-        if len(ends) == len(runs):
-            data, start = ids.tobytes(), 0
-            for part, end in zip(runs, (4 * ends).tolist(), strict=True):
-                self._young[part] = data[start:end]
-                start = end
-        rest = [p for p in fresh if p not in self._young]
-        for part, found in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self._young[part] = np.array(found.ids, dtype="<u4").tobytes()
+        for at in range(0, len(runs), ENCODED_PARTS):
+            some = runs[at : at + ENCODED_PARTS]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(ends) == len(some):
+                data, start = ids.tobytes(), 0
+                for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                    self._young[part] = data[start:end]
+                    start = end
+        for part in fresh:
+            if part not in self._young:
+                self._young[part] = np.array(self._tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -165,4 +167,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
                 over_limit=tokens > limit,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(count, COUNT_SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(count, COUNT_SCHEMA)
