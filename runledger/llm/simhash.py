@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, column, strings
+from runledger.llm.common import batch_of, column, small_batches, strings
 from runledger.llm.components import components
 from runledger.session import cut
 
@@ -19,6 +20,8 @@ SHINGLE, SEED, BITS, MAX_BITS = 3, 42, 64, 3
 HOT_ROWS = 100_000
 #: Node pairs with at most this many leaf pairs are compared outright.
 LEAF_PAIRS = 64
+#: Word fingerprints of a document where links are checked afterwards.
+SKETCHES = 8
 #: Fingerprints of whole groups that are joined in one go.
 JOINED_ROWS = 200_000
 
@@ -50,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint_of(t) for t in strings(batch)], dtype=np.uint64)
             yield batch_of(schema, doc_id=column(batch, "doc_id"), fp=prints.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id bigint, fp bigint")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(hashed, "doc_id bigint, fp bigint")
 
 
 def trie_pairs(prints: np.ndarray, groups: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,7 @@ def signed(mask: int) -> int:
 
 
 def block_rows(prints: DataFrame, max_bits: int, hot_rows: int) -> DataFrame:
-    """``block, fp``: fingerprints that may be near each other share a block.
+    """``space, fp, block``: fingerprints of one space that may be near share a block.
 
     Cut into ``max_bits + 1`` blocks, two near fingerprints are equal in one of them at
     least. A block value that over ``hot_rows`` fingerprints share is cut again: of its
@@ -138,14 +141,14 @@ def block_rows(prints: DataFrame, max_bits: int, hot_rows: int) -> DataFrame:
     hash; two blocks that meet by chance are compared in vain, no more.
     """
     parts = max_bits + 1
-    levels = [(prints.select("fp", F.lit(0).cast("bigint").alias("block")), (1 << BITS) - 1)]
+    levels = [(prints.select("space", "fp", F.xxhash64("space").alias("block")), (1 << BITS) - 1)]
     done: list[DataFrame] = []
     for depth in range(3):
         hot_levels = []
         for rows, open_bits in levels:
             for k, mask in enumerate(shares(open_bits, parts)):
                 value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-                keyed = rows.select("fp", F.xxhash64("block", F.lit(depth), F.lit(k), value).alias("block"))
+                keyed = rows.select("space", "fp", F.xxhash64("block", F.lit(depth), F.lit(k), value).alias("block"))
                 hot_levels.append((keyed, open_bits & ~mask))
         if depth == 2:
             done += [rows for rows, _ in hot_levels]
@@ -157,48 +160,62 @@ def block_rows(prints: DataFrame, max_bits: int, hot_rows: int) -> DataFrame:
         if not hot.head(1):
             done.append(every)
             break
-        done.append(every.join(hot, "block", "left_anti").select("fp", "block"))
-        levels = [(rows.join(hot, "block", "left_semi").select("fp", "block"), left) for rows, left in hot_levels]
+        done.append(every.join(hot, "block", "left_anti").select("space", "fp", "block"))
+        levels = [(rows.join(hot, "block", "left_semi").select("space", "fp", "block"), left) for rows, left in hot_levels]
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
     return result
 
 
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Links ``a, b`` that join all different fingerprints within ``max_bits`` bits.
+def closest(n: int, a: np.ndarray, b: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row that has pairs, the partner with the fewest differing bits."""
+    one, other = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((other, np.bitwise_count(prints[one] ^ prints[other]), one))
+    first = order[np.concatenate([[True], one[order][1:] != one[order][:-1]])] if len(order) else order
+    return one[first], other[first]
+
+
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS, with_closest: bool = False) -> DataFrame:
+    """Links ``space, a, b`` that join all fingerprints of a space within ``max_bits`` bits.
 
     Tries of whole blocks are joined in tasks that hold about ``JOINED_ROWS`` fingerprints;
     of each trie the links of a spanning forest come out, which keep every fingerprint's
-    class and grow with the fingerprints instead of the pairs.
+    class and grow with the fingerprints instead of the pairs. ``with_closest`` adds the
+    link of each fingerprint to the one nearest to it, for callers that check links.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("space", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def join(blocks: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    def join(blocks: np.ndarray, prints: np.ndarray, spaces: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((prints.view(np.uint64), blocks))
-        blocks, prints = blocks[order], prints[order].view(np.uint64)
+        blocks, prints, spaces = blocks[order], prints[order].view(np.uint64), spaces[order]
         a, b = trie_pairs(prints, blocks, max_bits)
         root = spanning(len(prints), a, b)
-        moved = np.flatnonzero(root != np.arange(len(prints)))
-        return batch_of(schema, a=prints[moved].view(np.int64), b=prints[root[moved]].view(np.int64))
+        left = np.flatnonzero(root != np.arange(len(prints)))
+        right = root[left]
+        if with_closest:
+            one, other = closest(len(prints), a, b, prints)
+            left, right = np.concatenate([left, one]), np.concatenate([right, other])
+        return batch_of(schema, space=spaces[left], a=prints[left].view(np.int64), b=prints[right].view(np.int64))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            held.append((column(batch, "block").to_numpy(), column(batch, "fp").to_numpy()))
+            held.append(tuple(column(batch, name).to_numpy() for name in ("block", "fp", "space")))
             size += batch.num_rows
             if size >= JOINED_ROWS:
-                blocks, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-                whole = int(np.flatnonzero(blocks != blocks[-1])[-1]) + 1 if (blocks != blocks[-1]).any() else 0
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                other = np.flatnonzero(rows[0] != rows[0][-1])
+                whole = int(other[-1]) + 1 if len(other) else 0
                 if whole:
-                    yield join(blocks[:whole], prints[:whole])
-                held, size = [(blocks[whole:], prints[whole:])], 0 if whole else size // 2
+                    yield join(*(x[:whole] for x in rows))
+                held, size = [tuple(x[whole:] for x in rows)], 0 if whole else size // 2
         if held:
             yield join(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     blocks = block_rows(prints, max_bits, hot_rows)
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(joined, "a bigint, b bigint")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(joined, "space int, a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -212,20 +229,97 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_R
     """
     prints = cut(fingerprints(docs), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(near_links(least.select("fp"), max_bits, hot_rows))
+    roots = components(near_links(least.select(F.lit(0).alias("space"), "fp"), max_bits, hot_rows))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its class, with all their columns.
+def sketches(docs: DataFrame, count: int) -> DataFrame:
+    """``doc_id, space, fp``: ``count`` fingerprints of the different words of each document.
+
+    An edit changes one word but up to as many shingles as a shingle has words, so word
+    fingerprints of near copies differ in few bits; more of them, each from other hashes of
+    the words, leave little to chance. Rows without words or ``doc_id`` have none.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("space", pa.int32()), ("fp", pa.int64())])
+    multipliers = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(count)], dtype=np.uint64)
+
+    def of(words: set[bytes]) -> np.ndarray:
+        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)[:, None] * multipliers
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        bits = np.unpackbits((hashes ^ (hashes >> np.uint64(29))).view(np.uint8).reshape(len(words), -1), axis=1)
+        return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, prints = [], []
+            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), strings(batch), strict=True):
+                words = set(text.encode().lower().split())
+                if words and doc_id is not None:
+                    ids.append(doc_id)
+                    prints.append(of(words))
+            flat = np.concatenate(prints) if prints else np.zeros(0, dtype=np.int64)
+            yield batch_of(schema, doc_id=np.repeat(np.array(ids, dtype=np.int64), count), space=np.tile(np.arange(count, dtype=np.int32), len(ids)), fp=flat)
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, space int, fp bigint")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, shingles``: 32-bit hashes of the different word runs of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in strings(batch):
+                words = text.encode().lower().split()
+                runs = {zlib.crc32(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+                found.append(np.array(sorted(runs), dtype=np.uint32).view(np.int32))
+            yield batch_of(schema, doc_id=column(batch, "doc_id"), shingles=found)
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<int>")
+
 
-    The document with the smallest ``doc_id`` stays; of rows that repeat it, one.
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, count: int = SKETCHES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``node, root`` of documents in classes of near copies, by checked links.
+
+    The trie self-join runs over ``count`` word fingerprints of each document. Documents
+    with an equal fingerprint are paired with the first of them, and linked or closest
+    fingerprints by their first documents; each such pair is a link if its shingle sets
+    have at least ``similarity`` in common. Pairs grow with the documents, not with the
+    square of a family.
+    """
+    rows = cut(sketches(docs, count), "sketches")
+    first = rows.groupBy("space", "fp").agg(F.min("doc_id").alias("first"))
+    links = near_links(first, MAX_BITS, hot_rows, with_closest=True)
+    one = first.select("space", F.col("fp").alias("a"), F.col("first").alias("x"))
+    two = first.select("space", F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = links.join(one, ["space", "a"]).join(two, ["space", "b"])
+    within = rows.join(first, ["space", "fp"]).select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    pairs = cut(pairs.filter("a <> b").distinct(), "near-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), shingle)
+    # rows that repeat an id are one document
+    sets = cut(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")), "shingle-sets")
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    checked = pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("of_a") + F.size("of_b") - both))
+    return components(checked.select("a", "b"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns.
+
+    Of a class of documents (``similar_groups``) the one with the smallest ``doc_id`` stays.
+    Rows without words or ``doc_id`` stay; of rows that repeat a ``doc_id`` one stays.
     """
-    kept = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    gone = similar_groups(docs, similarity).filter("node <> root").select(F.col("node").alias("__gone_id"))
     names = docs.columns
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    left = docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    known = left.filter(F.col("doc_id").isNotNull())
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(n).cast("string") for n in names]))
-    return left.withColumn("__copy_no", F.row_number().over(first)).filter("__copy_no = 1").select(*names)
+    one = known.withColumn("__copy_no", F.row_number().over(first)).filter("__copy_no = 1").select(*names)
+    return one.unionByName(left.filter(F.col("doc_id").isNull()))

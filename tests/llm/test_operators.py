@@ -248,20 +248,60 @@ def test_near_links_with_split_blocks(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(48) for _ in range(60)]  # one value in the highest block
     prints = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) for b in base for _ in range(4)})
-    df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
-    roots = {r.node: r.root for r in components(simhash.near_links(df, hot_rows=2)).collect()}
+    df = spark.createDataFrame([(0, simhash.signed(p)) for p in prints], "space int, fp long")
+    roots = {r.node: r.root for r in components(simhash.near_links(df, hot_rows=2).select("a", "b")).collect()}
     classes = {}
     for p, root in zip(prints, linked(prints)):
         classes.setdefault(root, set()).add(roots.get(simhash.signed(p), simhash.signed(p)))
     assert all(len(c) == 1 for c in classes.values()) and len({min(c) for c in classes.values()}) == len(classes)
 
 
+def near_families(seed=12):
+    """Documents, some with few words changed, and the five-word similarity of every pair."""
+    rng = random.Random(seed)
+    words = [f"x{i}" for i in range(3000)]
+    rows = []
+    for d in range(60):
+        body = [rng.choice(words) for _ in range(rng.choice([8, 60, 300]))]
+        rows.append((2 * d, " ".join(body)))
+        for copy in range(rng.choice([0, 0, 1, 3])):
+            changed = list(body)
+            for _ in range(max(1, len(body) // 120)):
+                changed[rng.randrange(len(body))] = rng.choice(words)
+            rows.append((1000 + 10 * d + copy, " ".join(changed)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    return rows, near
+
+
+@pytest.mark.parametrize("hot_rows", [simhash.HOT_ROWS, 5])
+def test_similar_groups(spark, none, hot_rows):
+    rows, near = near_families()
+    df = spark.createDataFrame(rows + [(5000, None), (5001, ""), (None, rows[0][1])], "doc_id long, text string").withColumn("space", F.lit(1))
+    root = {d: d for d, _ in rows}
+    for _ in range(5):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in simhash.similar_groups(df, hot_rows=hot_rows).collect()}
+    assert len(near) > 30
+    assert all(root[d] == root[r] for d, r in got.items())  # no link below the bar
+    caught = [d for d in root if root[d] != d and got.get(d, d) != d]
+    assert len(caught) >= 0.95 * sum(root[d] != d for d in root)
+    assert simhash.similar_groups(none).count() == 0
+
+
 def test_drop_near_copies(spark, odd, none):
     rows, df = odd
     got = simhash.drop_near_copies(df)
-    groups = {r.component_id for r in simhash.near_groups(df).collect()}
-    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(groups)
-    assert simhash.drop_near_copies(none).count() == 0
+    assert got.columns == df.columns and simhash.drop_near_copies(none).count() == 0
+    ids = [r.doc_id for r in got.collect()]
+    known = [d for d in ids if d is not None]
+    assert len(ids) - len(known) == 2 and len(set(known)) == len(known)
+    assert {140, 141, 142} <= set(known) and not {144, 130} & set(known) and {143, 3} <= set(known)
+    families, near = near_families()
+    left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(families, "doc_id long, text string")).collect()}
+    alone = {d for d, _ in families} - {x for pair in near for x in pair}
+    assert alone <= left
 
 
 def test_components(spark):
