@@ -3,7 +3,6 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import xxhash
@@ -70,6 +69,26 @@ def linked(prints, max_bits=3):
     return [find(i) for i in range(len(prints))]
 
 
+def similar_roots(texts, share=0.8):
+    """The smallest id that each text reaches over pairs with that much of their five-word runs in common."""
+    sets, root, holders = {}, {d: d for d in texts}, {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[d]:
+            holders.setdefault(s, []).append(d)
+    pairs = {(a, b) for found in holders.values() for a in found for b in found if a < b}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
 def shingle_set(text):
     w = re.findall(r"[^\W_]+", (text or "").lower())
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set())
@@ -110,6 +129,3 @@ def packing_is_valid(rows, capacity=2048):
         assert at <= capacity
     return len(bins)
 
-
-def counts(values):
-    return Counter(values)

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import fingerprint, ids_of, linked, packing_is_valid, pieces
+from brute import fingerprint, ids_of, linked, packing_is_valid, pieces, similar_roots
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -83,9 +83,8 @@ def test_pipeline_against_brute_force(spark, docs, duck):
     for d, t in left.items():
         keep[exact.normalised(t)] = max(d, keep.get(exact.normalised(t), d))
     left = {d: left[d] for d in sorted(keep.values())}
-    ids = list(left)
-    roots = linked([fingerprint(left[d]) for d in ids])
-    left = {d: left[d] for i, d in enumerate(ids) if roots[i] == i}
+    low = similar_roots(left)
+    left = {d: t for d, t in left.items() if low[d] == d}
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     from brute import contained
 
