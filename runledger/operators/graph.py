@@ -35,35 +35,29 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns (job_id, task_id, wave) of all removed nodes, where the wave is the length
     of the longest dependency chain, and the nodes left over: those on a cycle or
-    behind one. A round touches the out-edges of the last wave and the open nodes.
+    behind one. A round joins the last wave to its out-edges and writes only the nodes
+    that these reach, with how many of their dependencies are met so far.
     """
-    edges = cut(edges.select("job_id", "child", "parent").distinct(), "edges")
-    need = _ends(edges, "child").groupBy(*NODE).agg(F.count(F.lit(1)).alias("pending"))
-    state = cut(
-        nodes.select(*NODE).join(need, NODE, "left").na.fill(0, ["pending"]), "wave"
-    )
-    waves, number = [], 0
-    while True:
-        front = state.filter("pending = 0").select(*NODE)
-        if front.isEmpty():
-            break
-        waves.append(front.withColumn("wave", F.lit(number)))
+    ends = edges.select("job_id", "child", "parent").distinct()
+    ends = ends.join(nodes.select("job_id", F.col("task_id").alias("child")), ["job_id", "child"], "left_semi")
+    need = ends.groupBy("job_id", "child").agg(F.count(F.lit(1)).alias("need"))
+    ends = cut(ends.join(need, ["job_id", "child"]), "edges")
+    front = cut(nodes.select(*NODE).distinct().join(_ends(ends, "child"), NODE, "left_anti"), "wave")
+    part = ends.limit(0).select("job_id", F.col("child").alias("task_id"), "need", F.col("need").alias("met"))
+    done = front.limit(0).withColumn("wave", F.lit(0))
+    number = 0
+    while not front.isEmpty():
+        done = done.unionByName(front.withColumn("wave", F.lit(number)))
         met = (
-            edges.join(front.withColumnRenamed("task_id", "parent"), ["job_id", "parent"])
-            .groupBy("job_id", F.col("child").alias("task_id"))
+            ends.join(front.withColumnRenamed("task_id", "parent"), ["job_id", "parent"])
+            .groupBy("job_id", F.col("child").alias("task_id"), "need")
             .agg(F.count(F.lit(1)).alias("met"))
         )
-        state = cut(
-            state.filter("pending > 0")
-            .join(met, NODE, "left")
-            .select(*NODE, (F.col("pending") - F.coalesce("met", F.lit(0))).alias("pending")),
-            "wave",
-        )
+        reached = cut(part.unionByName(met).groupBy(*NODE, "need").agg(F.sum("met").alias("met")), "wave")
+        front = reached.filter("met = need").select(*NODE)
+        part = reached.filter("met < need")
         number += 1
-    done = nodes.select(*NODE).limit(0).withColumn("wave", F.lit(0))
-    for wave in waves:
-        done = done.unionByName(wave)
-    return done, state.select(*NODE)
+    return done, nodes.select(*NODE).distinct().join(done, NODE, "left_anti")
 
 
 def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,6 +96,7 @@ def cycle_members(stuck: DataFrame, edges: DataFrame) -> DataFrame:
         hop = cut(
             hop.join(onward, ["job_id", "to"]).select("job_id", "task_id", F.col("next").alias("to")),
             "hop",
+            replaces=hop,
         )
     return hop.groupBy("job_id").agg(F.min("to").alias("cyclic_task"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -47,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     named = tempfile.mkdtemp(prefix="runledger-")
+    atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, named)
     return named
 
@@ -55,15 +58,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
+def cut(df: DataFrame, label: str = "step", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used by loops and wherever a result is consumed twice. Parquet in place of
-    ``checkpoint()`` gives the next plan true sizes and column pruning.
+    ``checkpoint()`` gives the next plan true sizes and column pruning. ``replaces`` is a
+    table of an earlier ``cut`` that nothing needs any more once this one is written.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        drop_cut(replaces)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop_cut(table: DataFrame) -> None:
+    """Delete the files of a ``cut`` table; any other DataFrame is left alone."""
+    path = getattr(table, "_cut_path", None)
+    if path is not None:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def block_rows(spark: SparkSession) -> int:
