@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        state = cut(_small_star(_large_star(state)), "links")
+        state = cut(_small_star(_large_star(state)), "links", replaces=state)
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))

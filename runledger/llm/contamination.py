@@ -17,7 +17,7 @@ from runledger.session import cut
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 24
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Item signatures are broadcast up to so many rows (16 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

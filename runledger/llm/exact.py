@@ -14,7 +14,7 @@ from runledger.llm.common import batch_of, column, small_batches
 from runledger.session import cut
 
 #: A bucket above this many bytes of text is split; the directory has 2^MAX_DEPTH cells at most.
-BUCKET_BYTES, MAX_DEPTH = 16 << 20, 12
+BUCKET_BYTES, MAX_DEPTH = 8 << 20, 16
 #: Texts that a task holds while it joins equal ones before the shuffle.
 COLLAPSE_BYTES = 16 << 20
 

@@ -18,6 +18,8 @@ GRAM, SLOT_BITS, HASHES = 4, 20, 2
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Texts learned from per language (expected number; those with the smallest hashes of their id).
 TRAIN_DOCS = 4_000
+#: Languages that a model has at most.
+MAX_LANGS = 1024
 #: A gram counts for a language if seen there so often, at this share at least of its best frequency.
 LEAST_SEEN, SHARE = 3, 0.5
 UNDECIDED = "und"
@@ -102,12 +104,13 @@ def held_out(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows given.
 
-    About ``train_docs`` whole texts per language are read, chosen by a hash of ``doc_id``.
+    Of more than ``MAX_LANGS`` languages the most frequent are learned. About ``train_docs`` whole texts per language are read, chosen by a hash of ``doc_id``.
     Counting and the filters' slots are Spark aggregates; the driver gets one row per
     language and one per slot (``2**SLOT_BITS`` at most).
     """
     labelled = small_batches(docs).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    found = {r["lang"]: r["n"] for r in sizes.collect()}
     langs = sorted(found)
     if not langs:
         return Model([], np.zeros((0, 1 << SLOT_BITS), dtype=np.uint64), np.zeros(0))
