@@ -14,7 +14,7 @@ from runledger.llm.common import CHUNK_BYTES, batch_of, chunks, column, per_proc
 
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Longest part that stays in the table of parts, and how many a generation of it holds.
-CACHED_CHARS, CACHED_PARTS = 64, 120_000
+CACHED_CHARS, CACHED_PARTS = 64, 200_000
 #: Characters that the encoder takes at a time, and new parts that go to the library at a time.
 ENCODED_CHARS, ENCODED_PARTS = 1 << 20, 4096
 #: How the tokens that end a word are written in the vocabulary.
