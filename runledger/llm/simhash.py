@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ SHINGLE, SEED, BITS, MAX_BITS = 3, 42, 64, 3
 HOT_ROWS = 100_000
 #: Node pairs with at most this many leaf pairs are compared outright.
 LEAF_PAIRS = 64
-#: Word fingerprints of a document where links are checked afterwards.
-SKETCHES = 8
+#: Shingle minima in a band, and the share of pairs at the similarity asked for that no band may miss.
+BAND_ROWS, MISSED = 4, 1e-4
 #: Fingerprints of whole groups that are joined in one go.
 JOINED_ROWS = 200_000
 
@@ -168,21 +169,12 @@ def block_rows(prints: DataFrame, max_bits: int, hot_rows: int) -> DataFrame:
     return result
 
 
-def closest(n: int, a: np.ndarray, b: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row that has pairs, the partner with the fewest differing bits."""
-    one, other = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort((other, np.bitwise_count(prints[one] ^ prints[other]), one))
-    first = order[np.concatenate([[True], one[order][1:] != one[order][:-1]])] if len(order) else order
-    return one[first], other[first]
-
-
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS, with_closest: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links ``space, a, b`` that join all fingerprints of a space within ``max_bits`` bits.
 
     Tries of whole blocks are joined in tasks that hold about ``JOINED_ROWS`` fingerprints;
     of each trie the links of a spanning forest come out, which keep every fingerprint's
-    class and grow with the fingerprints instead of the pairs. ``with_closest`` adds the
-    link of each fingerprint to the one nearest to it, for callers that check links.
+    class and grow with the fingerprints instead of the pairs.
     """
     schema = pa.schema([("space", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -193,9 +185,6 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_
         root = spanning(len(prints), a, b)
         left = np.flatnonzero(root != np.arange(len(prints)))
         right = root[left]
-        if with_closest:
-            one, other = closest(len(prints), a, b, prints)
-            left, right = np.concatenate([left, one]), np.concatenate([right, other])
         return batch_of(schema, space=spaces[left], a=prints[left].view(np.int64), b=prints[right].view(np.int64))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,30 +225,51 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_R
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketches(docs: DataFrame, count: int) -> DataFrame:
-    """``doc_id, space, fp``: ``count`` fingerprints of the different words of each document.
+def shingles_of(text: str, shingle: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the different word runs of a text; none without words."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint32)
+    return np.array(sorted({zlib.crc32(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}), dtype=np.uint32)
+
+
+def bands_for(similarity: float, rows: int = BAND_ROWS, missed: float = MISSED) -> int:
+    """Bands of ``rows`` minima after which at most ``missed`` of the pairs of that similarity share none."""
+    met = similarity**rows
+    return 1 if met >= 1 else max(1, math.ceil(math.log(missed) / math.log1p(-met)))
 
-    An edit changes one word but up to as many shingles as a shingle has words, so word
-    fingerprints of near copies differ in few bits; more of them, each from other hashes of
-    the words, leave little to chance. Rows without words or ``doc_id`` have none.
+
+def bands(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``doc_id, space, fp``: fingerprints of the word runs of each document, one per band.
+
+    The least of the run hashes under one mixing is the same in two documents with a chance
+    equal to their similarity, whatever the kind of edit; a band joins ``BAND_ROWS`` of them.
+    Rows without words or ``doc_id`` have none.
     """
+    count, width = bands_for(similarity), BAND_ROWS
     schema = pa.schema([("doc_id", pa.int64()), ("space", pa.int32()), ("fp", pa.int64())])
-    multipliers = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(count)], dtype=np.uint64)
-
-    def of(words: set[bytes]) -> np.ndarray:
-        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)[:, None] * multipliers
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        bits = np.unpackbits((hashes ^ (hashes >> np.uint64(29))).view(np.uint8).reshape(len(words), -1), axis=1)
-        return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(np.int64)
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, count * width), dtype=np.uint64)
+    factors, shifts = drawn[0] | np.uint64(1), drawn[1]
+
+    def of(runs: np.ndarray) -> np.ndarray:
+        h = (runs.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        least = np.full(count * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for at in range(0, len(h), 1 << 12):
+            least = np.minimum(least, (h[at : at + (1 << 12), None] * factors + shifts).min(axis=0))
+        rows = least.reshape(count, width).astype("<u8")
+        return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in rows], dtype=np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, prints = [], []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), strings(batch), strict=True):
-                words = set(text.encode().lower().split())
-                if words and doc_id is not None:
+                runs = shingles_of(text, shingle)
+                if len(runs) and doc_id is not None:
                     ids.append(doc_id)
-                    prints.append(of(words))
+                    prints.append(of(runs))
             flat = np.concatenate(prints) if prints else np.zeros(0, dtype=np.int64)
             yield batch_of(schema, doc_id=np.repeat(np.array(ids, dtype=np.int64), count), space=np.tile(np.arange(count, dtype=np.int32), len(ids)), fp=flat)
 
@@ -272,38 +282,28 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in strings(batch):
-                words = text.encode().lower().split()
-                runs = {zlib.crc32(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-                found.append(np.array(sorted(runs), dtype=np.uint32).view(np.int32))
-            yield batch_of(schema, doc_id=column(batch, "doc_id"), shingles=found)
+            yield batch_of(schema, doc_id=column(batch, "doc_id"), shingles=[shingles_of(text, shingle).view(np.int32) for text in strings(batch)])
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<int>")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, count: int = SKETCHES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``node, root`` of documents in classes of near copies, by checked links.
 
-    The trie self-join runs over ``count`` word fingerprints of each document. Documents
-    with an equal fingerprint are paired with the first of them, and linked or closest
-    fingerprints by their first documents; each such pair is a link if its shingle sets
-    have at least ``similarity`` in common. Pairs grow with the documents, not with the
-    square of a family.
+    Documents that share a fingerprint of ``bands`` are candidates; a pair is a link if the
+    shingle sets have at least ``similarity`` in common. Each bucket's head, the document with
+    the most candidates, is compared with the bucket.
     """
-    rows = cut(sketches(docs, count), "sketches")
-    first = rows.groupBy("space", "fp").agg(F.min("doc_id").alias("first"))
-    links = near_links(first, MAX_BITS, hot_rows, with_closest=True)
-    one = first.select("space", F.col("fp").alias("a"), F.col("first").alias("x"))
-    two = first.select("space", F.col("fp").alias("b"), F.col("first").alias("y"))
-    across = links.join(one, ["space", "a"]).join(two, ["space", "b"])
-    within = rows.join(first, ["space", "fp"]).select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    pairs = cut(pairs.filter("a <> b").distinct(), "near-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), shingle)
+    prints = cut(bands(docs, similarity, shingle), "bands")
+    shared = prints.groupBy("space", "fp").agg(F.count("*").alias("mates")).filter("mates > 1")
+    rows = cut(prints.join(shared, ["space", "fp"]), "buckets", replaces=prints)
+    degrees = rows.groupBy("doc_id").agg(F.sum("mates").alias("degree"))
+    heads = rows.join(degrees, "doc_id").groupBy("space", "fp").agg((-F.max(F.struct("degree", -F.col("doc_id")))["col2"]).alias("head"))
+    rows = cut(rows.join(heads, ["space", "fp"]).select("doc_id", "space", "fp", "head").distinct(), "headed", replaces=rows)
+    pairs = cut(rows.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).filter("a <> b").distinct(), "near-pairs")
+    sets = shingle_sets(docs.select("doc_id", "text").join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), shingle)
     # rows that repeat an id are one document
-    sets = cut(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")), "shingle-sets")
+    sets = cut(sets.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles")), "shingle-sets")
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     checked = pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("of_a") + F.size("of_b") - both))

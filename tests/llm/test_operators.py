@@ -5,7 +5,7 @@ import random
 
 import public_tokenizers
 import pytest
-from brute import base_secrets, contained, fingerprint, ids_of, linked, packing_is_valid, pieces, repeats
+from brute import base_secrets, contained, fingerprint, ids_of, linked, packing_is_valid, pieces, repeats, similar_roots
 from pyspark.sql import functions as F
 
 from runledger.llm import contamination, exact, language, license_scan, packing, secret_scan, simhash, substring, token_file, tokens
@@ -304,6 +304,28 @@ def test_drop_near_copies(spark, odd, none):
     assert alone <= left
 
 
+def edited_pairs(seed=23):
+    """Pairs ``(2k, 2k + 1)`` of a text and an appended, trimmed or inserted-into copy of it, 0.8 to 0.97 alike."""
+    rng = random.Random(seed)
+    words = [f"z{i}" for i in range(4000)]
+    rows = {}
+    for k in range(120):
+        body = rng.choices(words, weights=[1 / (i + 1) for i in range(4000)], k=rng.choice([100, 300, 1000]))
+        n, extra = len(body), rng.choices(words, k=int(len(body) * rng.uniform(0.03, 0.19)))
+        at = rng.randrange(n)
+        copy = (body + extra, body[: n - len(extra)], body[:at] + extra + body[at:])[k % 3]
+        rows[2 * k], rows[2 * k + 1] = " ".join(body), " ".join(copy)
+    return rows
+
+
+def test_appended_trimmed_and_inserted_copies_are_found(spark):
+    texts = edited_pairs()
+    want = similar_roots(texts)
+    assert sum(want[d] != d for d in texts) >= 100
+    got = {r.node: r.root for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d: got.get(d, d) for d in texts} == want
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100)] + [(200, x) for x in range(201, 260)] + [(300 + rng.randrange(50), 300 + rng.randrange(50)) for _ in range(40)]
