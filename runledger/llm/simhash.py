@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, column, small_batches, strings
+from runledger.llm.common import batch_of, column, ranges, small_batches, strings
 from runledger.llm.components import components
 from runledger.session import cut
 
@@ -23,6 +23,8 @@ HOT_ROWS = 100_000
 LEAF_PAIRS = 64
 #: Shingle minima in a band, and the share of pairs at the similarity asked for that no band may miss.
 BAND_ROWS, MISSED = 4, 1e-4
+#: Documents of a bucket that one task holds; a larger bucket is dealt to parts, every two of which meet in a task.
+TILE_ROWS = 4_000
 #: Fingerprints of whole groups that are joined in one go.
 JOINED_ROWS = 200_000
 
@@ -287,12 +289,76 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<int>")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def links_across(ids: np.ndarray, roots: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join documents as all pairs of ``similarity`` or more would, given their classes.
+
+    Classes are walked: each document reached is compared with all that no class has reached
+    yet, and one that is near brings its whole class along. What is never compared is in one
+    class already, so a family around one text costs a pass or two and not all of its pairs.
+    """
+    _, codes = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    _, classes = np.unique(roots, return_inverse=True)
+    of_class = np.split(np.argsort(classes, kind="stable"), np.cumsum(np.bincount(classes))[:-1])
+    marks = np.zeros(int(codes.max()) + 1 if len(codes) else 1, dtype=bool)
+    left = np.ones(len(ids), dtype=bool)
+    rows = np.arange(len(ids))
+    held, at = codes, starts
+    links: list[tuple[int, int]] = []
+    for first in range(len(ids)):
+        if not left[first]:
+            continue
+        queue = of_class[classes[first]].tolist()
+        left[queue] = False
+        while queue:
+            x = queue.pop()
+            if 2 * np.count_nonzero(left[rows]) < len(rows):
+                rows = rows[left[rows]]
+                held = codes[ranges(starts[rows], sizes[rows])]
+                at = np.cumsum(sizes[rows]) - sizes[rows]
+            if not len(rows):
+                return links
+            mine = codes[starts[x] : starts[x] + sizes[x]]
+            marks[mine] = True
+            both = np.add.reduceat(marks[held], at, dtype=np.int64)
+            marks[mine] = False
+            near = rows[left[rows] & (both >= similarity * (sizes[x] + sizes[rows] - both))]
+            for y in near.tolist():
+                if left[y]:
+                    links.append((int(ids[x]), int(ids[y])))
+                    more = of_class[classes[y]]
+                    left[more] = False
+                    queue += more.tolist()
+    return links
+
+
+def open_members(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``space, fp, doc_id, root, n`` of the documents in buckets where a pair is still unchecked.
+
+    The head of a bucket was compared with all of it, so it and its equals are left out, as
+    are repeats of one set in one class, buckets of one class, and buckets that hold just
+    the documents of another one.
+    """
+    labelled = rows.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").join(sets.select("doc_id", F.xxhash64("shingles").alias("key")), "doc_id")
+    heads = labelled.filter("doc_id = head").select("space", "fp", F.col("key").alias("head_key"))
+    rest = labelled.join(heads, ["space", "fp"]).filter("key <> head_key")
+    rest = rest.groupBy("space", "fp", F.coalesce("root", "doc_id").alias("root"), "key").agg(F.min("doc_id").alias("doc_id"))
+    rest = cut(rest.select("space", "fp", "doc_id", "root"), "bucket-rest")
+    found = rest.groupBy("space", "fp").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("mark"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("least")
+    )
+    open_ones = found.filter("low <> high").groupBy("n", "mark", "least").agg(F.min(F.struct("space", "fp")).alias("one")).select("one.space", "one.fp", "n")
+    return rest.join(open_ones, ["space", "fp"])
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot_rows: int = TILE_ROWS) -> DataFrame:
     """``node, root`` of documents in classes of near copies, by checked links.
 
     Documents that share a fingerprint of ``bands`` are candidates; a pair is a link if the
-    shingle sets have at least ``similarity`` in common. Each bucket's head, the document with
-    the most candidates, is compared with the bucket.
+    shingle sets have at least ``similarity`` in common, and all candidates count. First each
+    bucket's head, the document with the most candidates, is compared with the bucket. Where
+    a bucket then still has several classes, they are walked in one task (``links_across``),
+    or, of over ``hot_rows`` documents, in a task for every two of its parts.
     """
     prints = cut(bands(docs, similarity, shingle), "bands")
     shared = prints.groupBy("space", "fp").agg(F.count("*").alias("mates")).filter("mates > 1")
@@ -307,7 +373,25 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, h
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     checked = pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("of_a") + F.size("of_b") - both))
-    return components(checked.select("a", "b"))
+    roots = cut(components(checked.select("a", "b")), "roots")
+
+    members = cut(open_members(rows, roots, sets), "open-buckets", replaces=rows)
+    if not members.head(1):
+        return roots
+    parts = F.ceil(F.col("n") / F.lit(hot_rows)).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part"))))
+    tiled = members.withColumn("parts", parts).withColumn("part", mine).select("space", "fp", "doc_id", "root", "part", other.alias("other"))
+    tiled = tiled.select("space", "fp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "root").join(sets, "doc_id")
+
+    def walked(table: pa.Table) -> pa.Table:
+        lists = table["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        found = links_across(table["doc_id"].to_numpy(), table["root"].to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    links = tiled.groupBy("space", "fp", "i", "j").applyInArrow(walked, "a bigint, b bigint")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import base_secrets, contained, fingerprint, ids_of, linked, packing_is_valid, pieces, repeats, similar_roots
@@ -304,6 +305,56 @@ def test_drop_near_copies(spark, odd, none):
     assert alone <= left
 
 
+def roots_of(texts):
+    """The smallest id that each text reaches, all pairs compared."""
+    ids, codes = sorted(texts), {}
+    sets = [{codes.setdefault(tuple(w[i : i + 5]), len(codes)) for i in range(len(w) - 4)} for w in (texts[d].split() for d in ids)]
+    table = np.zeros((len(ids), len(codes)), dtype=np.float32)
+    for row, found in zip(table, sets):
+        row[list(found)] = 1
+    both, size = table @ table.T, table.sum(axis=1)
+    a, b = np.nonzero(both >= 0.8 * (size[:, None] + size - both) - 1e-3)
+    return {d: ids[r] for d, r in zip(ids, simhash.spanning(len(ids), a, b).tolist())}
+
+
+@pytest.mark.parametrize("hot_rows", [simhash.TILE_ROWS, 150])
+def test_large_families_keep_one(spark, hot_rows):
+    """Copies near their base but not near each other; other orders of one set of words, with true copies."""
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+    texts = {500: " ".join(base)}
+    for d in [*range(500), *range(501, 1000)]:
+        body = list(base)
+        for at in rng.sample(range(300), 5):
+            body[at] = f"c{rng.randrange(10**6)}"
+        texts[d] = " ".join(body)
+    for k in range(20):
+        body = rng.sample(base, len(base))
+        texts[2000 + k] = " ".join(body)
+        texts[3000 + k] = " ".join(body[:-4])
+    want = roots_of(texts)
+    assert {want[d] for d in range(1000)} == {0} and all(want[3000 + k] == 2000 + k for k in range(20))
+    got = {r.node: r.root for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot_rows=hot_rows).collect()}
+    assert {d: got.get(d, d) for d in texts} == want
+
+
+def test_unlike_members_of_a_bucket_are_all_compared():
+    """Against all pairs, with random classes given."""
+    rng = random.Random(22)
+    for _ in range(30):
+        core = [rng.sample(range(200), 20) for _ in range(6)]
+        sets = [sorted(set(rng.choice(core)[: rng.randint(14, 20)]) | {rng.randrange(200) for _ in range(3)}) for _ in range(40)]
+        near = [(a, b) for a in range(40) for b in range(a) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+        given = [e for e in near if rng.random() < 0.3]
+        def classes(edges):
+            a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+            return simhash.spanning(40, a, b)
+
+        links = simhash.links_across(np.arange(40), classes(given), np.concatenate(sets), np.array([len(s) for s in sets]), 0.8)
+        assert set(map(frozenset, links)) <= set(map(frozenset, near))
+        assert (classes(given + links) == classes(near)).all() and len(links) < 40
+
+
 def edited_pairs(seed=23):
     """Pairs ``(2k, 2k + 1)`` of a text and an appended, trimmed or inserted-into copy of it, 0.8 to 0.97 alike."""
     rng = random.Random(seed)
