@@ -1,7 +1,7 @@
 """Licences in texts, by their sentences (operator 2).
 
 Only DataFrame functions run here. A text is split into sentences, each is normalised to its
-lower-case words and looked up among known licence sentences; the identifiers found, in their
+lower-case words and searched for known licence sentences; the identifiers found, in their
 order, are then matched against rules, each an ordered run of identifiers.
 """
 
@@ -67,6 +67,8 @@ RULES = [
 #: Every known sentence has one of these; a text without any is not split.
 CUES = ["licens", "permission", "copyright", "warrant", "liable", "redistribut", "free software"]
 SENTENCE_END = r"[.!?;:]+[ \t\r\n]+"
+#: A unit of the scan ends there or at a blank line, but not in "v. 2.0".
+UNIT_END = r"(?<![ \t\n][vV])[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n\s*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -77,19 +79,20 @@ def normalised(sentence: Column) -> Column:
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in their order.
 
-    Each sentence is looked up as a whole, its line breaks taken as spaces, and line by line,
-    as a licence line often stands between lines that have no full stop.
+    A known sentence is found as a run of whole words inside a unit, so words before or after
+    it, such as a title or a line without full stop, and line breaks within it do not hide it.
+    Of known sentences that start together the longest counts; a unit that repeats one counts
+    it once.
     """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    run = "(?<![^ ])(?:" + "|".join(sorted(sentences, key=len, reverse=True)) + ")(?![^ ])"
 
-    def of(sentence: Column) -> Column:
-        lines = F.transform(F.split(sentence, r"\n"), normalised)
-        return F.array_distinct(F.concat(F.array(normalised(sentence)), lines))
+    def of(unit: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(normalised(unit), F.lit(run), F.lit(0)))
 
-    units = F.flatten(F.transform(F.split(text, SENTENCE_END, -1), of))
+    found = F.flatten(F.transform(F.split(text, UNIT_END, -1), of))
     cues = F.lower(text).rlike("|".join(CUES))
-    found = F.filter(F.transform(units, lambda u: F.try_element_at(known, u)), lambda i: i.isNotNull())
-    return F.when(cues, found).otherwise(F.array().cast("array<string>"))
+    return F.when(cues, F.transform(found, lambda s: F.element_at(known, s))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:

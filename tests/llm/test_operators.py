@@ -85,6 +85,95 @@ def test_licences(spark, none):
     assert {i for _, run in license_scan.RULES for i in run} <= set(license_scan.SENTENCES.values())
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2024 A. Author
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD3 = """Copyright (c) 2024, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+GPL2 = """    Copyright (C) 2024  A. Author
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+STANDARD = {
+    "MIT": (MIT, "mit-grant,mit-notice,mit-warranty,mit-liability"),
+    "Apache-2.0": (APACHE, "apache-ref,apache-comply,apache-copy,apache-asis,apache-see"),
+    "BSD-3-Clause": (BSD3, "bsd-grant,bsd-source,bsd-binary,bsd-names"),
+    "BSD-2-Clause": (BSD3[: BSD3.index("3. ")] + BSD3[BSD3.index("THIS") :], "bsd-grant,bsd-source,bsd-binary"),
+    "GPL-2.0-or-later": (GPL2, "gpl-free,gpl-terms,gpl2-later,gpl-warranty,gpl-details"),
+    "MPL-2.0": (MPL2, "mpl2-ref"),
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_standard_licence_texts(spark, mark):
+    """As files, and as comments at the head of code."""
+    texts = ["".join(f"{mark}{line}\n" for line in text.split("\n")) + "\nimport os\n" for text, _ in STANDARD.values()]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.sentence_ids, r.licences) for r in got] == [(ids, name) for name, (_, ids) in STANDARD.items()]
+
+
 def test_token_files(spark, odd, none):
     rows, df = odd
     got = token_file.read_token_files(token_file.write_token_files(df, WORD, 2)).collect()
