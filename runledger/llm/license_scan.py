@@ -29,6 +29,7 @@ SENTENCES = {
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
     "this program is free software": "gpl-free",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-terms",
     "either version 2 of the license or at your option any later version": "gpl2-later",
     "either version 3 of the license or at your option any later version": "gpl3-later",
     "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
@@ -41,6 +42,7 @@ SENTENCES = {
     "licensed under cc by sa 4 0": "cc-by-sa-ref",
     "licensed under cc by nc 4 0": "cc-by-nc-ref",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-ref",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-ref",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-ref",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-ref",
 }
@@ -51,6 +53,7 @@ RULES = [
     ("Apache-2.0", ["apache-ref", "apache-comply", "apache-copy", "apache-asis", "apache-see"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl2-later"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl3-later"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice"]),

@@ -152,6 +152,22 @@ GPL2 = """    Copyright (C) 2024  A. Author
     MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
     GNU General Public License for more details.
 """
+GPL3 = """    Copyright (C) 2024  A. Author
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+CC = "This work is licensed under a Creative Commons Attribution%s 4.0\nInternational License. To view a copy of this license, visit the site."
 MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.
@@ -162,7 +178,13 @@ STANDARD = {
     "BSD-3-Clause": (BSD3, "bsd-grant,bsd-source,bsd-binary,bsd-names"),
     "BSD-2-Clause": (BSD3[: BSD3.index("3. ")] + BSD3[BSD3.index("THIS") :], "bsd-grant,bsd-source,bsd-binary"),
     "GPL-2.0-or-later": (GPL2, "gpl-free,gpl-terms,gpl2-later,gpl-warranty,gpl-details"),
+    "GPL-3.0-or-later": (GPL3, "gpl-free,gpl3-terms,gpl-warranty,gpl-details"),
     "MPL-2.0": (MPL2, "mpl2-ref"),
+    "CC-BY-4.0": (CC % "", "cc-by-ref"),
+    "CC-BY-SA-4.0": (CC % "-ShareAlike", "cc-by-sa-ref"),
+    "CC-BY-NC-4.0": (CC % "-NonCommercial", "cc-by-nc-ref"),
+    "GPL-2.0-only": ("This work is licensed under the GNU General Public License, version 2.", "gpl2-ref"),
+    "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.", "gpl3-ref"),
 }
 
 
@@ -172,6 +194,7 @@ def test_standard_licence_texts(spark, mark):
     texts = ["".join(f"{mark}{line}\n" for line in text.split("\n")) + "\nimport os\n" for text, _ in STANDARD.values()]
     got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.sentence_ids, r.licences) for r in got] == [(ids, name) for name, (_, ids) in STANDARD.items()]
+    assert set(STANDARD) == {name for name, _ in license_scan.RULES}
 
 
 def test_token_files(spark, odd, none):
