@@ -185,14 +185,19 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns; ``und`` rows go."""
+    """The rows of ``docs`` that have a language, with all their columns; ``und`` rows go.
+
+    If no language was learned, as no row outside the held-out quarter has a ``lang``, nothing
+    is known against a text with letters: only null and letterless texts go.
+    """
     model = train(held_out(docs.select("doc_id", "text", "lang")).filter("not coalesce(held_out, false)"), train_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = Model(*shared.value)
         for batch in batches:
-            known = [chosen.predict(t)[0] != UNDECIDED for t in column(batch, "text").to_pylist()]
+            texts = column(batch, "text").to_pylist()
+            known = [chosen.predict(t)[0] != UNDECIDED if chosen.langs else has_letter(t) for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return small_batches(docs).mapInArrow(keep, docs.schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -312,6 +313,14 @@ def test_language(spark, odd, none):
     assert kept.columns == df.columns and kept.count() == len(rows) - len(und)
 
 
+def test_without_any_language_texts_with_letters_stay(spark, odd):
+    rows, df = odd
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 4 == 2)
+    for lang in (F.lit(None).cast("string"), F.when(F.col("doc_id") == held, "aa")):
+        kept = language.drop_unidentified(df.withColumn("lang", lang))
+        assert kept.count() == sum(language.has_letter(t) for _, t in rows) > 0
+
+
 def test_packing(spark, odd, none):
     rows, df = odd
     known = [(d, t) for d, t in rows if d is not None and d != 150]
