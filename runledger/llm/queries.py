@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import contamination, exact, language, license_scan, packing, secret_scan, simhash, sql, substring, token_file, tokens
+from runledger.llm import contamination, conversation, exact, language, license_scan, packing, secret_scan, simhash, sql, substring, token_file, tokens
 from runledger.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -63,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_groups": op10_simhash_groups,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 SQL: dict[str, str] = dict(sql.SQL)

@@ -129,3 +129,67 @@ def packing_is_valid(rows, capacity=2048):
         assert at <= capacity
     return len(bins)
 
+
+
+def damaged_rows(rows):
+    """Conversations after the damage, each as rows in order."""
+    out = {c: [] for c, *_ in rows}
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = re.sub("[.!?]", "", text)
+        elif kind == 4:
+            role = "user"
+        out[conv] += [(turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return {c: sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())) for c, x in out.items()}
+
+
+def conversation(rows):
+    """What operator 13 returns for one conversation, by dynamic programming over whole audits."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(" \t\n\v\f\r")
+        faults.append("b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    # (cost, audit, repaired) of the cheapest way to have put out roles that leave each state
+    order = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    names = {"u": "user", "a": "assistant"}
+
+    def spread(best):
+        """Insertions, until nothing gets better."""
+        changed = True
+        while changed:
+            changed = False
+            for (state, to), then in order.items():
+                if state in best and to in names:
+                    cost, audit, put = best[state]
+                    new = (cost + 5, audit + "I", (*put, f"{names[to]}:"))
+                    if then not in best or new[:2] < best[then][:2]:
+                        best[then], changed = new, True
+        return best
+
+    best = spread({"": (0, "", ())})
+    for (_, role, text), fault in zip(rows, faults):
+        after = {}
+        for state, (cost, audit, put) in best.items():
+            late = 5 if fault == "t" else 0
+            ways = [(state, (cost + 2, audit + "D", put))]
+            if fault not in ("b", "d"):
+                if (state, role[:1]) in order:
+                    ways.append((order[state, role[:1]], (cost + late, audit + "K", (*put, f"{role}:{text}"))))
+                for to, name in names.items():
+                    if (state, to) in order:
+                        ways.append((order[state, to], (cost + 1 + late, audit + "R", (*put, f"{name}:{text}"))))
+            for to, way in ways:
+                if to not in after or way[:2] < after[to][:2]:
+                    after[to] = way
+        best = spread(after)
+    cost, audit, put = min((best[s] for s in ("", "a") if s in best), key=lambda x: x[:2])
+    turns = {t for t, *_ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    initials = [role[:1] for _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    return gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, hashlib.sha256("\n".join(put).encode()).hexdigest()
