@@ -16,6 +16,8 @@ from runledger.session import cut
 
 #: Rows of a conversation whose letters make one string; a longer one has several.
 BLOCK_ROWS = 1 << 14
+#: Rows whose edits one task looks for.
+TASK_ROWS = 20_000
 SPACES = r"' \t\n\u000b\f\r'"
 KEY = ["known", "conv"]
 REPAIRED = (
@@ -154,6 +156,8 @@ def edits_of(codes: DataFrame) -> DataFrame:
         return table.drop_columns(["leads"]).append_column("entry", pa.array(out, pa.int32()))
 
     place = "known boolean, conv bigint, block bigint, last bigint"
+    rows = codes.agg(F.sum(F.length("code"))).first()[0] or 0
+    codes = codes.repartition(-(-rows // TASK_ROWS) or 1, *KEY, "block")  # letters are few bytes, but take long
     nothing = F.lit(None).cast("array<double>")
     short = codes.filter("last = 0").select(*KEY, "block", "last", "code", nothing.alias("after"), F.lit(es.START).alias("entry"))
     long = codes.filter("last > 0")
