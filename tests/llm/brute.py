@@ -193,3 +193,47 @@ def conversation(rows):
     initials = [role[:1] for _, role, _ in rows]
     illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
     return gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, hashlib.sha256("\n".join(put).encode()).hexdigest()
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over the bytes of words, by class, from its definition."""
+
+    def __init__(self, rows, order=5, shared=2, discount=0.75):
+        self.order, self.discount, self.full, self.sums = order, discount, {k: {} for k in range(1, order + 1)}, {}
+        for text, toxic in rows:
+            for w in self.words(text):
+                for g in self.grams(w):
+                    self.full[len(g)].setdefault(g, [0, 0])[toxic] += 1
+        for k in range(order - 1, 0, -1):
+            for g, n in self.full[k + 1].items():
+                adjusted = self.full[k].setdefault(g[1:], [0, 0])
+                for c in (0, 1):
+                    adjusted[c] += n[c] > 0
+        for k in range(1, order + 1):
+            for g, n in self.full[k].items():
+                if k <= shared:
+                    n[:] = [sum(n)] * 2
+                total = self.sums.setdefault((k, g[:-1]), [[0, 0], [0, 0]])
+                for c in (0, 1):
+                    total[c][0] += n[c]
+                    total[c][1] += n[c] > 0
+
+    @staticmethod
+    def words(text):
+        return bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode()).split()
+
+    def grams(self, word):
+        body = b"\x02" + word + b"\x03"
+        return [body[max(0, i - self.order + 1) : i + 1] for i in range(1, len(body))]
+
+    def chance(self, gram, c):
+        if not gram:
+            return 1 / 256
+        shorter = self.chance(gram[1:], c)
+        total, kinds = self.sums.get((len(gram), gram[:-1]), [[0, 0], [0, 0]])[c]
+        if not total:
+            return shorter
+        return max(self.full[len(gram)].get(gram, [0, 0])[c] - self.discount, 0) / total + self.discount * kinds / total * shorter
+
+    def ratio(self, text):
+        return sum(np.log(self.chance(g, 1) / self.chance(g, 0)) for w in self.words(text) for g in self.grams(w))
