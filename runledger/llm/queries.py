@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import contamination, conversation, exact, language, license_scan, packing, secret_scan, simhash, sql, substring, token_file, tokens, toxicity
+from runledger.llm import collocation, contamination, conversation, exact, language, license_scan, packing, secret_scan, simhash, sql, substring, token_file, tokens, toxicity
 from runledger.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.phrases(documents(spark, sf_dir), least=30, top=2000)
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_phrases": op11_phrases,
     "op12_toxicity": op12_toxicity,
     "op13_conversation_repair": op13_conversation_repair,
 }

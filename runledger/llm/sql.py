@@ -149,10 +149,50 @@ FROM t LEFT JOIN g USING (doc_id)
 """
 
 
+def phrase_query(least: int = 30, top: int = 2000) -> str:
+    """Phrases by counting every run of up to four words."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), runs AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM runs, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), sizes AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND f >= {least}
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.w, c.k, j AS cut FROM cand c, (VALUES (1), (2), (3)) s(j) WHERE j < c.k
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.w, c.k, c.cut, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+  FROM cuts c
+  JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, a AS longer, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM cand, (VALUES (2), (3)) s(m), (VALUES (1), (2), (3)) p(i) WHERE m < k AND i + m - 1 <= k
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM inside x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100::HUGEINT * x.longer >= 80::HUGEINT * b.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, s.n, r.score FROM ranked r JOIN sizes s USING (lang) WHERE r.rank <= {top}
+"""
+
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_license_scan": license_query(),
     "op4_secret_scan": secret_query(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_decontamination": decontamination(),
+    "op11_phrases": phrase_query(),
 }

@@ -237,3 +237,31 @@ class KneserNey:
 
     def ratio(self, text):
         return sum(np.log(self.chance(g, 1) / self.chance(g, 0)) for w in self.words(text) for g in self.grams(w))
+
+
+def phrase_rows(docs, least=30, top=2000):
+    """Operator 11 by counting every run of up to four words."""
+    counts = {}
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        mine = counts.setdefault(lang, {})
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().lower()):
+            w = [x for x in re.split(rb"[\x20\x09]+", piece) if x]
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    key = tuple(w[i : i + k])
+                    mine[key] = mine.get(key, 0) + 1
+    out = []
+    for lang, f in counts.items():
+        n = sum(x for p, x in f.items() if len(p) == 1)
+        rows, covered = [], {}
+        for p, a in f.items():
+            if len(p) >= 2 and a >= least:
+                score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((p, a, f[p[:k]], f[p[k:]], score))
+                for m in range(2, len(p)):
+                    for i in range(len(p) - m + 1):
+                        covered[p[i : i + m]] = max(covered.get(p[i : i + m], 0), a)
+        rows = sorted((r for r in rows if 100 * covered.get(r[0], 0) < 80 * r[1] or r[0] not in covered), key=lambda r: (-r[4], -r[1], b" ".join(r[0])))
+        out += [(lang, i, b" ".join(p).decode(), a, left, right, n, score) for i, (p, a, left, right, score) in enumerate(rows[:top], 1)]
+    return sorted(out)
