@@ -156,10 +156,16 @@ def phrase_query(least: int = 30, top: int = 2000) -> str:
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), runs AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces
+  SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), placed AS (
+  SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM runs
+), windows AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4 FROM placed WINDOW p AS (PARTITION BY piece ORDER BY i)
 ), grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS phrase
-  FROM runs, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k
+  SELECT lang, 1 AS k, w1 AS phrase FROM windows
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM windows WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM windows WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM windows WHERE w4 IS NOT NULL
 ), counts AS (
   SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
 ), sizes AS (
