@@ -65,9 +65,13 @@ def held_out(docs: DataFrame) -> DataFrame:
 
 
 def labelled(marked: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic`` of training rows; of several labels of a document the highest counts."""
+    """``text, toxic`` of training rows; of several labels of a document the highest counts.
+
+    Both sides are sorted and merged whatever the size of ``labels``, which grows with the
+    documents: sent to every task while small, it would give way to another plan later.
+    """
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
-    return marked.filter("not held_out").join(marks, "doc_id").select("text", "toxic")
+    return marked.filter("not held_out").join(marks.hint("merge"), "doc_id").select("text", "toxic")
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
