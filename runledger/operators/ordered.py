@@ -148,6 +148,11 @@ class Ordered:
         return self.running_sum(F.lit(1).cast("bigint"), out)
 
 
+def in_order(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """Rows in the order of ``by``, nulls first, as Spark's windows and ``_block`` have it."""
+    return pdf.sort_values(by, kind="stable", na_position="first").reset_index(drop=True)
+
+
 Step = Callable[[pd.DataFrame, "dict | None"], "tuple[pd.DataFrame, dict]"]
 
 
@@ -177,7 +182,7 @@ def fold_by_key(
     hot_keys = cut(hot, "hot-keys")
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = step(pdf.sort_values(by, kind="stable").reset_index(drop=True), None)
+        out, _ = step(in_order(pdf, by), None)
         return out[out_schema.fieldNames()]
 
     if hot_keys.isEmpty():
@@ -199,7 +204,7 @@ def fold_by_key(
         if len(right):
             state = {name: right[name].iloc[0] for name in state_names}
         if len(left):
-            left = left.sort_values(by, kind="stable").reset_index(drop=True)
+            left = in_order(left, by)
             out, state = step(left, state)
             out = out[out_schema.fieldNames()].add_prefix("o_")
             out["_is_state"] = False
@@ -214,7 +219,7 @@ def fold_by_key(
         [], T.StructType([df.schema[k] for k in keys] + list(state_schema))
     )
     parts = [cold]
-    for block in range(n):
+    for block in [NULL_BLOCK, *range(n)]:
         mixed = cut(
             wide.filter(F.col(BLOCK) == block)
             .groupBy(*keys)
@@ -263,7 +268,7 @@ def scan_by_key(
     out_names, state_names = out_schema.fieldNames(), state_schema.fieldNames()
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values(order, kind="stable").reset_index(drop=True), None)[0][out_names]
+        return step(in_order(pdf, [order]), None)[0][out_names]
 
     if n == 1:
         return df.groupBy(*keys).applyInPandas(whole, out_schema)
@@ -275,7 +280,7 @@ def scan_by_key(
     entry_schema = T.StructType(key_fields + list(state_schema))
 
     def sum_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        done = summarise(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+        done = summarise(in_order(pdf, [order]))
         row = dict(zip(part, key)) | done
         return pd.DataFrame({name: [row[name]] for name in summary_schema.fieldNames()})
 
@@ -291,7 +296,7 @@ def scan_by_key(
         if not len(left):
             return pd.DataFrame(columns=out_names)
         state = {s: right[s].iloc[0] for s in state_names} if len(right) else None
-        return step(left.sort_values(order, kind="stable").reset_index(drop=True), state)[0][out_names]
+        return step(in_order(left, [order]), state)[0][out_names]
 
     summaries = blocked.groupBy(*part).applyInPandas(sum_up, summary_schema)
     entries = summaries.groupBy(*keys).applyInPandas(walk, entry_schema)

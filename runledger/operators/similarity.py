@@ -3,10 +3,15 @@
 Rows with equal token sets are one *class* and are compared once, however many copies
 there are. Different classes meet only if they share one of their rarest tokens
 (prefix filter): a pair at or above the threshold always does, so nothing is missed.
+A posting carries where its token stands in the set and a signature of the whole set.
+Both bound the overlap a pair can have, so most pairs below the threshold end where they
+meet, before any set is fetched. Tokens with many postings are met in a grid of blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,10 @@ from runledger.session import cut
 
 PAIRS_PER_POSTING = 16
 MAX_LEADER_ROUNDS = 12
+#: Postings of a token that two sides of one join task hold; more are dealt to a grid of blocks.
+GRID_POSTINGS = 2_000
+#: 64-bit words of a set's signature.
+SIGNATURE_WORDS = 2
 
 
 def positioned(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -57,12 +66,32 @@ def encode(sets: DataFrame) -> DataFrame:
     return cut(coded.join(sets.select("pos", "job_id"), "pos"), "encoded")
 
 
+def signature(ids: Column) -> list[Column]:
+    """Bits that tell sets apart: each token flips one of ``64 * SIGNATURE_WORDS`` bits.
+
+    Two sets differ in at least as many tokens as their signatures in bits.
+    """
+
+    def flipped(word: int) -> Callable[[Column, Column], Column]:
+        def flip(bits: Column, token: Column) -> Column:
+            place = F.pmod(F.xxhash64(token), F.lit(64 * SIGNATURE_WORDS))
+            bit = F.when(F.floor(place / 64) == word, F.expr("1L")).otherwise(F.expr("0L"))
+            return bits.bitwiseXOR(F.call_function("shiftleft", bit, (place % 64).cast("int")))
+
+        return flip
+
+    words = [F.aggregate(ids, F.expr("0L"), flipped(w)).alias(f"sig{w}") for w in range(SIGNATURE_WORDS)]
+    return words
+
+
 def postings(coded: DataFrame, threshold: float) -> DataFrame:
-    """(job_id, tok, pos, n): prefix of each set under the order rarest token first."""
+    """(job_id, tok, at, pos, n, sig...): prefix of each set under the order rarest token first."""
     n = F.size("ids")
     length = n - F.ceil(n * threshold - 1e-9) + 1
     prefix = F.slice("ids", F.lit(1), length.cast("int"))
-    return coded.select("job_id", "pos", n.alias("n"), F.explode(prefix).alias("tok"))
+    signed = coded.select("job_id", "pos", n.alias("n"), *signature(F.col("ids")), prefix.alias("prefix"))
+    names = [f"sig{w}" for w in range(SIGNATURE_WORDS)]
+    return signed.select("job_id", "pos", "n", *names, F.posexplode("prefix").alias("at", "tok"))
 
 
 def _verify(pairs: DataFrame, coded: DataFrame, keep: Column) -> DataFrame:
@@ -78,14 +107,54 @@ def _verify(pairs: DataFrame, coded: DataFrame, keep: Column) -> DataFrame:
     )
 
 
+def _gridded(post: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of postings with themselves, with the cell ``x, y`` they meet in.
+
+    A token with more than ``GRID_POSTINGS`` postings has its postings dealt to blocks by
+    a hash. The left side goes to the cells of its own row, the right side to those of its
+    own column, on or above the diagonal, so every two postings meet in one cell.
+    """
+    load = post.groupBy("job_id", "tok").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") > GRID_POSTINGS)
+    blocks = F.coalesce(F.ceil(F.col("f") / GRID_POSTINGS), F.lit(1)).cast("int")
+    dealt = post.join(load, ["job_id", "tok"], "left").withColumn("blocks", blocks)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int")).drop("f")
+    left = dealt.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    right = dealt.withColumn("y", F.col("own")).withColumn("x", F.explode(F.sequence(F.lit(0), "own")))
+    return left.drop("own", "blocks"), right.drop("own", "blocks")
+
+
 def _candidates(post: DataFrame, threshold: float) -> DataFrame:
-    a = post.select("job_id", "tok", F.col("pos").alias("a"), F.col("n").alias("a_n"))
-    b = post.select("job_id", "tok", F.col("pos").alias("b"), F.col("n").alias("b_n"))
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    met = a.join(b, ["job_id", "tok"]).filter((F.col("a") < F.col("b")) & (small >= large * threshold - 1e-9))
+    """Pairs (a, b) whose overlap may suffice, by length, by places and by signatures.
+
+    Sets of ``m`` and ``n`` tokens need ``(m + n) * threshold / (1 + threshold)`` in common.
+    Tokens stand in one order in all sets: before a shared token there are no more shared
+    ones than the smaller place, behind it no more than the shorter rest. Over all tokens
+    shared by two prefixes the bound is their number and the shorter rest behind the last.
+    """
+    fields = ["pos", "n", "at", *[f"sig{w}" for w in range(SIGNATURE_WORDS)]]
+    left, right = _gridded(post)
+    key = ["job_id", "tok", "x", "y"]
+    a = left.select(*key, *[F.col(c).alias(f"a_{c}") for c in fields])
+    b = right.select(*key, *[F.col(c).alias(f"b_{c}") for c in fields])
+    need = (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
+    behind = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
+    apart = sum((F.bit_count(F.col(f"a_sig{w}").bitwiseXOR(F.col(f"b_sig{w}"))) for w in range(SIGNATURE_WORDS)), F.lit(0))
+    met = a.join(b, key).filter(
+        ((F.col("x") < F.col("y")) | (F.col("a_pos") < F.col("b_pos")))
+        & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - 1e-9)
+        & (F.least("a_at", "b_at") + 1 + behind >= need)
+        & (F.col("a_n") + F.col("b_n") - apart >= 2 * need)
+    )
     # pairs are a few bytes but costly to verify: keep them spread, not merged by size
     spread = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.select("a", "b").repartition(spread, "a", "b").distinct()
+    first, second = F.least("a_pos", "b_pos").alias("a"), F.greatest("a_pos", "b_pos").alias("b")
+    shared = (
+        met.select(first, second, need.alias("need"), behind.alias("behind"))
+        .repartition(spread, "a", "b")
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.min("behind").alias("behind"), F.first("need").alias("need"))
+    )
+    return shared.filter(F.col("shared") + F.col("behind") >= F.col("need")).select("a", "b")
 
 
 def similar_pairs(sets: DataFrame, threshold: float, strict: bool = False) -> DataFrame:

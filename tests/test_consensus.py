@@ -176,3 +176,27 @@ def test_final_report(spark):
     assert out["debate"].summary.startswith("Consensus (80% agreement across 3 answers): Raft") and out["debate"].conflicts == 1
     assert out["merged"].summary == PAXOS
     assert out["empty"].summary == "No validated output was produced for: goal" and out["empty"].confidence_score == 0.0
+
+
+def test_pairs_by_bounds_and_grid_equal_all_pairs(spark, monkeypatch):
+    """Every pair at or above the threshold, whatever the blocks; most others end where they meet."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.sample(words, rng.randint(1, 25)) for _ in range(30)]
+    texts = [" ".join(b[: rng.randint(1, len(b))] + rng.sample(words, rng.randint(0, 5))) for b in base for _ in range(6)]
+    df = positioned(answers(spark, *[(x, 0.5) for x in texts]))
+    sets = similarity.classes(df)
+    tokens = {r.pos: frozenset(r.tokens) for r in sets.collect()}
+    for threshold in (0.3, 0.5, 0.8):
+        due = {(a, b) for a in tokens for b in tokens if a < b and tokens[a] & tokens[b] and len(tokens[a] & tokens[b]) / len(tokens[a] | tokens[b]) >= threshold}
+        for size in (2_000, 5):
+            monkeypatch.setattr(similarity, "GRID_POSTINGS", size)
+            assert {(r.a, r.b) for r in similarity.similar_pairs(sets, threshold).collect()} == due
+        coded = similarity.encode(sets)
+        tried = similarity._candidates(similarity.postings(coded, threshold), threshold).count()
+        prefix = {r.pos: set() for r in coded.collect()}
+        for r in similarity.postings(coded, threshold).collect():
+            prefix[r.pos].add(r.tok)
+        size_of = {r.pos: len(r.ids) for r in coded.collect()}
+        met = sum(bool(prefix[a] & prefix[b]) and min(size_of[a], size_of[b]) >= threshold * max(size_of[a], size_of[b]) for a in prefix for b in prefix if a < b)
+        assert len(due) <= tried <= met and (tried - len(due)) * 2 <= met - len(due)

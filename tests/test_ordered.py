@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runledger.operators import kv, leases, match, usage
+from runledger.operators import kv, leases, match, ordered, usage
 from runledger.operators.ordered import Ordered, with_block
 
 
@@ -160,3 +160,31 @@ def test_fold_orders_rows():
                           "value": [1, 2], "expected": [0, 0], "ttl_ms": [-1, -1], "job_id": [-1, -1], "actor": ["x", "x"]})
     out, state = kv.apply_writes(frame, None)
     assert out["version"].tolist() == [1, 2] and state["created_us"] == 1
+
+
+@pytest.mark.parametrize("kind", ["fold", "scan"])
+def test_folds_keep_rows_without_order(spark, kind):
+    """Null order values come first, and no row is lost, with one block or many."""
+    data = [("k", i, None if i % 10 == 0 else 5000 - i) for i in range(1000)] + [("q", 2000 + i, None) for i in range(5)]
+    df = spark.createDataFrame(data, "key STRING, id BIGINT, pos BIGINT")
+
+    def number(pdf, state):
+        before = int(state["n"]) if state else 0
+        return pd.DataFrame({"id": pdf["id"], "n": range(before + 1, before + len(pdf) + 1)}), {"n": before + len(pdf)}
+
+    def run(size):
+        if kind == "fold":
+            found = ordered.fold_by_key(df, ["key"], "pos", ["id"], number, "id BIGINT, n BIGINT", "n BIGINT", size)
+        else:
+            count = lambda pdf: {"rows": len(pdf)}
+            add = lambda summary, state: {"n": summary["rows"] + (state["n"] if state else 0)}
+            found = ordered.scan_by_key(df, ["key"], "pos", number, count, add, "id BIGINT, n BIGINT", "n BIGINT", "rows BIGINT", size)
+        return {r.id: r.n for r in found.collect()}
+
+    whole = run(100_000)
+    assert len(whole) == 1005 and {whole[i] for i in range(0, 1000, 10)} == set(range(1, 101))
+    for size in (200, 60):
+        parts = run(size)
+        assert parts.keys() == whole.keys()
+        assert {i: n for i, n in parts.items() if i % 10 and i < 1000} == {i: n for i, n in whole.items() if i % 10 and i < 1000}
+        assert {parts[i] for i in range(0, 1000, 10)} == set(range(1, 101))
