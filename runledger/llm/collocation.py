@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,8 +20,9 @@ from runledger.session import cut
 
 #: Words of a shard, which becomes one automaton per prefix range (label numbers take 21 bits).
 SHARD_WORDS, LABEL_BITS = 1_500_000, 21
-#: Word windows that one prefix range is to hold, and documents sampled to find where ranges part.
-RANGE_WINDOWS, SAMPLE_DOCS, STRIDE = 1_500_000, 2_000, 64
+#: Word windows that one prefix range is to hold. Where ranges part is found from one in so many
+#: documents (``SAMPLE_DOCS`` at least), and about so many windows of them for every range.
+RANGE_WINDOWS, SAMPLE_SHARE, SAMPLE_DOCS, RANGE_KEYS = 1_500_000, 0.01, 2_000, 64
 #: Factor of the score, and per cent of its occurrences that a phrase may share with a longer one.
 SCALE, INSIDE = 2_000_000, 80
 
@@ -122,10 +124,12 @@ def range_bounds(docs: DataFrame) -> list[Bound]:
     """Windows (language, words) at which prefix ranges part, from a sample of documents.
 
     The sample decides where tasks begin and end, not what they find. A range should hold
-    ``RANGE_WINDOWS`` windows; the driver gets one window in ``STRIDE`` of the sample.
+    ``RANGE_WINDOWS`` windows; the driver gets ``RANGE_KEYS`` windows for each range, so
+    their number and the sample grow with the documents.
     """
     n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, n)))
+    stride = max(1, int(RANGE_WINDOWS * share / RANGE_KEYS))
     schema = pa.schema([("window", pa.list_(pa.binary()))])
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,7 @@ def range_bounds(docs: DataFrame) -> list[Bound]:
             found = []
             for text, lang in zip(strings(batch), column(batch, "lang").to_pylist(), strict=True):
                 words = marked_words([text])
-                for at in range(len(text) % STRIDE, len(words), STRIDE):
+                for at in range(zlib.crc32(text[:64].encode()) % stride, len(words), stride):
                     if words[at] != PIECE_END:
                         window = words[at : at + DEPTH]
                         found.append([lang.encode(), *(window[: window.index(PIECE_END)] if PIECE_END in window else window)])
@@ -141,7 +145,7 @@ def range_bounds(docs: DataFrame) -> list[Bound]:
 
     sample = with_lang(docs.sample(share, seed=11) if share < 1 else docs).mapInArrow(taken, "window array<binary>")
     keys = sorted(tuple(w) for w in sample.toArrow().column("window").to_pylist())
-    ranges_wanted = -(-int(len(keys) * STRIDE / share) // RANGE_WINDOWS)
+    ranges_wanted = -(-int(len(keys) * stride / share) // RANGE_WINDOWS)
     return sorted({keys[len(keys) * k // ranges_wanted] for k in range(1, ranges_wanted)})
 
 

@@ -45,7 +45,6 @@ def test_many_ranges_and_shards(spark, monkeypatch):
     rows = corpus(2, 150)
     monkeypatch.setattr(collocation, "SHARD_WORDS", 700)
     monkeypatch.setattr(collocation, "RANGE_WINDOWS", 400)
-    monkeypatch.setattr(collocation, "STRIDE", 2)
     df = spark.createDataFrame(rows, DOC).repartition(5)
     assert len(collocation.range_bounds(df)) > 10
     assert got(collocation.phrases(df, least=4)) == phrase_rows(rows, 4)
