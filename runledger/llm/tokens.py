@@ -14,16 +14,16 @@ from runledger.llm.common import CHUNK_BYTES, batch_of, chunks, column, per_proc
 
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Longest part that stays in the table of parts, and how many a generation of it holds.
-CACHED_CHARS, CACHED_PARTS = 64, 200_000
+CACHED_CHARS, CACHED_PARTS = 64, 400_000
 #: Characters that the encoder takes at a time, and new parts that go to the library at a time.
 ENCODED_CHARS, ENCODED_PARTS = 1 << 20, 4096
 #: How the tokens that end a word are written in the vocabulary.
 WORD_END = "</w>"
 #: Characters below U+0130 lower-case one to one and have no combining marks; their letters.
-NOT_PLAIN = r"[^\x00-\u012f]"
+NOT_PLAIN = re.compile(r"[^\x00-\u012f]")
 LETTERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f"
-PARTS = rf"[{LETTERS}]+|[^{LETTERS} \n\r\t]+"
-QUOTED_PARTS = rf"[^' \n\r\t]*'[^ \n\r\t]*|{PARTS}"
+PARTS = re.compile(rf"[{LETTERS}]+|[^{LETTERS} \n\r\t]+")
+QUOTED_PARTS = re.compile(rf"[^' \n\r\t]*'[^ \n\r\t]*|{PARTS.pattern}")
 #: Texts longer than this are split at safe places before they are counted.
 PIECE_CHARS = 1 << 16
 
@@ -62,46 +62,44 @@ class SpacedEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self._parts(t) for t in texts]
+        whole: set[str] = set()
+        parts = [self._parts(t, whole) for t in texts]
         if len(self._young) > CACHED_PARTS:
             self._young, self._old = {}, self._young
-        young, old, fresh = self._young, self._old, []
-        for part in set().union(*parts).difference(young):
-            if part in old:
-                young[part] = old[part]
-            else:
-                fresh.append(part)
-        self._encode(fresh)
+        young, old = self._young, self._old
+        fresh = set().union(*parts).difference(young)
+        known = fresh.intersection(old)
+        young.update(zip(known, map(old.__getitem__, known)))
+        fresh.difference_update(known)
+        self._encode(fresh, whole)
         ids = [b"".join(map(young.__getitem__, p)) for p in parts]
         for part in fresh:
             if len(part) > CACHED_CHARS:
                 del young[part]
         return ids
 
-    def _encode(self, fresh: list[str]) -> None:
+    def _encode(self, fresh: set[str], whole: set[str]) -> None:
         """Put new parts into the table. Runs of letters go to the library as one text of
         spaced words, each of which ends with a token that ends a word; should their number
         not agree, and for all other parts, each is a text of its own.
         """
-        runs = [p for p in fresh if p.isalpha() and not re.search(NOT_PLAIN, p)]
+        runs = [p for p in fresh.difference(whole) if p.isalpha()]
         for at in range(0, len(runs), ENCODED_PARTS):
             some = runs[at : at + ENCODED_PARTS]
             ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self._ends_word[ids]) + 1
             if len(ends) == len(some):
-                data, start = ids.tobytes(), 0
-                for part, end in zip(some, (4 * ends).tolist(), strict=True):
-                    self._young[part] = data[start:end]
-                    start = end
-        for part in fresh:
-            if part not in self._young:
-                self._young[part] = np.array(self._tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                data, stops = ids.tobytes(), (4 * ends).tolist()
+                self._young.update(zip(some, map(data.__getitem__, map(slice, [0, *stops], stops))))
+        for part in fresh.difference(self._young):
+            self._young[part] = np.array(self._tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
-    def _parts(text: str) -> list[str]:
-        if "<|" in text or re.search(NOT_PLAIN, text):
+    def _parts(text: str, whole: set[str]) -> list[str]:
+        if "<|" in text or not (text.isascii() or not NOT_PLAIN.search(text)):
+            whole.add(text)
             return [text]
-        return re.findall(QUOTED_PARTS if "'" in text else PARTS, text.lower())
+        return (QUOTED_PARTS if "'" in text else PARTS).findall(text.lower())
 
 
 def spaced_encoder(path: str) -> SpacedEncoder:
