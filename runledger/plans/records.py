@@ -10,7 +10,7 @@ from runledger.plans import graph as _graph_queries  # noqa: F401  (registered f
 from runledger.plans import usage as _usage_queries  # noqa: F401
 from runledger.plans.registry import SQL, query, with_views
 from runledger.session import cut, scratch_path
-from runledger.sources import journal, tables
+from runledger.sources import journal, ordered_journal, tables
 
 AS_OF = 1706000000000000
 
@@ -178,7 +178,7 @@ def journal_records(t):
         F.lit("job_planned").alias("record"),
         F.struct("id", F.lit("planning").alias("status"), F.struct(F.lit("parallel").alias("execution_strategy")).alias("request")).alias("job"),
     )
-    changes = t.v_transitions.filter("pos % 50 = 0").select(
+    changes = t.v_transitions.select(
         F.lit("job_status_changed").alias("record"), (F.col("pos") * 2 + 1).alias("seq"), F.col("job_id").cast("string").alias("job_id"),
         F.when(F.col("to_state") == "completed", "completed").otherwise("running").alias("status"), _micros("at_us").alias("at"),
     )
@@ -209,7 +209,7 @@ def written_journal(t):
     with_views("v_transitions", "v_results", "v_failures")
     + """SELECT cast(job_id AS string) AS job_id, 'task_transitioned' AS kind, count(*) AS n FROM v_transitions GROUP BY 1
   UNION ALL SELECT cast(job_id AS string), 'job_planned', 1 FROM v_transitions WHERE job_id % 4 <> 3 GROUP BY 1
-  UNION ALL SELECT cast(job_id AS string), 'job_status_changed', count(*) FROM v_transitions WHERE pos % 50 = 0 GROUP BY 1
+  UNION ALL SELECT cast(job_id AS string), 'job_status_changed', count(*) FROM v_transitions GROUP BY 1
   UNION ALL SELECT job_id, 'task_completed', count(*) FROM v_results GROUP BY 1
   UNION ALL SELECT job_id, 'task_failed', count(*) FROM v_failures GROUP BY 1""",
 )
@@ -233,12 +233,42 @@ def journal_replay(t):
     return lifecycle.latest_state(moves)
 
 
+APPENDS = 3
+
+
+def appended_moves(t):
+    """A journal of all transitions in ``APPENDS`` appends, in order, with no sequence number in any record."""
+    path = scratch_path(t.spark, "ordered-journal")
+    end = F.broadcast(t.v_transitions.agg((F.max("pos") + 1).alias("end")))
+    moves = t.v_transitions.join(end).withColumn("append", F.floor(F.col("pos") * APPENDS / F.col("end")))
+    record = [
+        F.lit("task_transitioned").alias("record"), F.col("job_id").cast("string").alias("job_id"), F.col("task_id").cast("string").alias("task_id"),
+        "attempt", F.struct(F.lit("task").alias("entity"), F.col("from_state").alias("from"), F.col("to_state").alias("to"), F.lit("system").alias("actor")).alias("transition"),
+    ]
+    for k in range(APPENDS):
+        ordered_journal.append(moves.filter(F.col("append") == k).orderBy("pos").select(*record), path)
+    return path
+
+
+@query(
+    "journal_order",
+    "O-SRC1 O-SNK1 O-UDF6",
+    with_views("v_transitions")
+    + """SELECT cast(job_id AS string) AS job_id, cast(task_id AS string) AS task_id, arg_max(to_state, pos) AS state, count(*) AS moves
+    FROM v_transitions GROUP BY 1, 2""",
+)
+def journal_order(t):
+    records = ordered_journal.read(t.spark, appended_moves(t))
+    place = F.struct(*ordered_journal.PLACE)
+    return records.groupBy("job_id", "task_id").agg(F.max_by("transition.to", place).alias("state"), F.count(F.lit(1)).alias("moves"))
+
+
 @query(
     "journal_jobs",
     "O-WIN1 O-GRF10",
     with_views("v_transitions")
     + """, c AS (SELECT job_id, arg_max(CASE WHEN to_state = 'completed' THEN 'completed' ELSE 'running' END, pos) AS s
-      FROM v_transitions WHERE pos % 50 = 0 GROUP BY job_id),
+      FROM v_transitions GROUP BY job_id),
   l AS (SELECT job_id, task_id, arg_max(to_state, pos) AS state FROM v_transitions GROUP BY 1, 2),
   n AS (SELECT job_id, count(*) FILTER (WHERE state NOT IN ('completed', 'cancelled', 'dead_lettered')) AS n FROM l GROUP BY 1),
   j AS (SELECT DISTINCT job_id FROM v_transitions)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from runledger.operators import monitor, queueing
 from runledger.plans import match  # noqa: F401 - registers the SQL reused below
-from runledger.plans.records import KV, LEASES, journal_records
+from runledger.plans.records import APPENDS, KV, LEASES, appended_moves, journal_records
 from runledger.plans.registry import SQL, query, with_views
 from runledger.session import scratch_path
-from runledger.sources import journal
+from runledger.sources import journal, ordered_journal
 from runledger.streaming import processors as op
 
 
@@ -116,3 +116,15 @@ def stream_journal_tail(t):
     journal.append_journal(journal_records(t)[0], path)
     tail = journal.tail_journal(t.spark, path).select("job_id", F.col("transition.to").alias("to_state"))
     return op.drain(tail, "journal-tail").groupBy("job_id", "to_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_journal_order", "O-SRC3 O-SNK1 O-UDF6",
+    with_views("v_transitions")
+    + f"""SELECT cast(job_id AS string) AS job_id, pos * {APPENDS} // (SELECT max(pos) + 1 FROM v_transitions) + 1 AS append, count(*) AS n
+    FROM v_transitions GROUP BY ALL""",
+)
+def stream_journal_order(t):
+    """Whole appends in their order, from the journal as a stream."""
+    tail = ordered_journal.tail(t.spark, appended_moves(t)).select("job_id", "append")
+    return op.drain(tail, "journal-order").groupBy("job_id", "append").agg(F.count(F.lit(1)).alias("n"))
