@@ -30,33 +30,65 @@ def unknown_dependencies(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(known, ["job_id", "parent"], "left_anti")
 
 
+def heads(lone: DataFrame) -> DataFrame:
+    """``job_id, task_id, head, steps`` for nodes with one dependency (``job_id, child, parent``).
+
+    Such a node comes right behind its dependency, so whole runs and trees of them hang
+    from one node with none or several dependencies, their head. The way to it is doubled
+    each round. On a cycle of such nodes, or behind one, ``head`` is again such a node.
+    """
+    hop = cut(lone.select("job_id", F.col("child").alias("task_id"), F.col("parent").alias("head"), F.lit(1).alias("steps")), "hop")
+    n = hop.count()
+    for _ in range(math.ceil(math.log2(n + 1)) if n else 0):
+        onward = hop.select("job_id", F.col("task_id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+        joined = hop.join(onward, ["job_id", "head"], "left").select(
+            "job_id", "task_id", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("next").isNotNull().alias("moved"),
+        )
+        hop = cut(joined, "hop", replaces=hop)
+        if hop.filter("moved").isEmpty():
+            break
+    return hop.select("job_id", "task_id", "head", "steps")
+
+
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove nodes without open dependencies, wave after wave.
 
     Returns (job_id, task_id, wave) of all removed nodes, where the wave is the length
     of the longest dependency chain, and the nodes left over: those on a cycle or
-    behind one. A round joins the last wave to its out-edges and writes only the nodes
-    that these reach, with how many of their dependencies are met so far.
+    behind one. Nodes with one dependency are first drawn together with their heads, so
+    rounds follow how often chains meet, not how long they are. A round joins the heads just
+    removed to their weighted out-edges and writes only the nodes that these reach, with
+    how many of their dependencies are met so far and the longest chain among those.
     """
     ends = edges.select("job_id", "child", "parent").distinct()
     ends = ends.join(nodes.select("job_id", F.col("task_id").alias("child")), ["job_id", "child"], "left_semi")
     need = ends.groupBy("job_id", "child").agg(F.count(F.lit(1)).alias("need"))
     ends = cut(ends.join(need, ["job_id", "child"]), "edges")
-    front = cut(nodes.select(*NODE).distinct().join(_ends(ends, "child"), NODE, "left_anti"), "wave")
-    part = ends.limit(0).select("job_id", F.col("child").alias("task_id"), "need", F.col("need").alias("met"))
-    done = front.limit(0).withColumn("wave", F.lit(0))
-    number = 0
-    while not front.isEmpty():
-        done = done.unionByName(front.withColumn("wave", F.lit(number)))
+    hung = cut(heads(ends.filter("need = 1")), "heads")
+    through = hung.select("job_id", F.col("task_id").alias("parent"), "head", "steps")
+    merges = ends.filter("need > 1").join(through, ["job_id", "parent"], "left").select(
+        "job_id", "child", "need", F.coalesce("head", "parent").alias("head"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")
+    )
+    merges = cut(merges, "merges")
+    free = nodes.select(*NODE).distinct().join(_ends(ends, "child"), NODE, "left_anti")
+    free = free.select(*NODE, F.lit(0).cast("bigint").alias("need"), F.lit(0).cast("bigint").alias("met"), F.lit(0).alias("wave"))
+    rounds = [cut(free, "wave")]
+    while True:
+        front = rounds[-1].filter("met = need").select("job_id", F.col("task_id").alias("head"), "wave")
+        if front.isEmpty():
+            break
         met = (
-            ends.join(front.withColumnRenamed("task_id", "parent"), ["job_id", "parent"])
+            merges.join(front, ["job_id", "head"])
             .groupBy("job_id", F.col("child").alias("task_id"), "need")
-            .agg(F.count(F.lit(1)).alias("met"))
+            .agg(F.count(F.lit(1)).alias("met"), F.max(F.col("wave") + F.col("steps")).alias("wave"))
         )
-        reached = cut(part.unionByName(met).groupBy(*NODE, "need").agg(F.sum("met").alias("met")), "wave")
-        front = reached.filter("met = need").select(*NODE)
-        part = reached.filter("met < need")
-        number += 1
+        part = rounds[-1].filter("met < need")
+        rounds.append(cut(part.unionByName(met).groupBy(*NODE, "need").agg(F.sum("met").alias("met"), F.max("wave").alias("wave")), "wave"))
+    written = nodes.sparkSession.read.schema(rounds[0].schema).parquet(*[r._cut_path for r in rounds])
+    first = written.filter("met = need").select(*NODE, "wave")
+    behind = hung.join(first.select("job_id", F.col("task_id").alias("head"), F.col("wave").alias("at")), ["job_id", "head"])
+    done = first.unionByName(behind.select(*NODE, (F.col("at") + F.col("steps")).alias("wave")))
     return done, nodes.select(*NODE).distinct().join(done, NODE, "left_anti")
 
 

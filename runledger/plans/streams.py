@@ -8,7 +8,7 @@ from runledger.operators import monitor, queueing
 from runledger.plans import match  # noqa: F401 - registers the SQL reused below
 from runledger.plans.records import APPENDS, KV, LEASES, appended_moves, journal_records
 from runledger.plans.registry import SQL, query, with_views
-from runledger.session import scratch_path
+from runledger.session import cut, scratch_path
 from runledger.sources import journal, ordered_journal
 from runledger.streaming import processors as op
 
@@ -106,6 +106,17 @@ def stream_prefix_watch(t):
     return op.drain(op.watch_prefix(t.stream_view("v_kv_writes"), "users", "1").select("key", "pos", "op"), "watch")
 
 
+@query("live_after_replay", "O-SET2 O-STM9", SQL["stream_job_view"])
+def live_after_replay(t):
+    """Job views of a stream that starts from the replayed first half and overlaps it by a tenth."""
+    end = t.v_transitions.agg(F.max("pos")).first()[0] or 0
+    replayed = cut(op.replayed_states(t.v_transitions.filter(F.col("pos") < end // 2)), "replayed")
+    tail = t.stream_view("v_transitions").filter(F.col("pos") >= end * 4 // 10)
+    deltas = op.drain(op.state_delta_stream(tail, replayed), "live")
+    before = replayed.select("job_id", "state", F.lit(1).cast("bigint").alias("delta"))
+    return before.unionByName(deltas).groupBy("job_id", "state").agg(F.sum("delta").alias("n")).filter("n <> 0")
+
+
 @query(
     "stream_journal_tail", "O-SRC3 O-SNK1",
     with_views("v_transitions")

@@ -57,6 +57,11 @@ class FoldProcessor(StatefulProcessor):
                 self.handle.registerTimer(at)
         return out
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Start a key where a batch fold ended; only in the first micro-batch of a stream."""
+        values = (initialState[n].iloc[0] for n in self.state_schema.fieldNames())
+        self.state.update(tuple(v.item() if hasattr(v, "item") else v for v in values))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
         yield self._run(batch)
@@ -79,15 +84,19 @@ def _ordered_out(step: Callable, names: list[str]) -> Callable:
 
 def fold_stream(
     stream: DataFrame, keys: list[str], order: str, step: Callable, out_ddl: str, state_ddl: str,
-    due: Callable | None = None, wake: Callable | None = None,
+    due: Callable | None = None, wake: Callable | None = None, initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Streaming counterpart of ``fold_by_key``. With ``due`` the stream needs a watermark."""
+    """Streaming counterpart of ``fold_by_key``. With ``due`` the stream needs a watermark.
+
+    ``initial`` holds one row per key, the keys and the state that the stream starts from.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out, state = T.StructType.fromDDL(out_ddl), T.StructType.fromDDL(state_ddl)
     processor = FoldProcessor(_ordered_out(step, out.fieldNames()), state, order, due, wake)
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="Append",
         timeMode="EventTime" if due else "None",
+        initialState=None if initial is None else initial.select(*keys, *state.fieldNames()).groupBy(*keys),
     )
 
 
@@ -157,11 +166,22 @@ def state_delta_step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFra
     return pd.DataFrame(moves, columns=["job_id", "state", "delta"]), {"state": last, "pos": pos}
 
 
-def state_delta_stream(transitions: DataFrame) -> DataFrame:
+def state_delta_stream(transitions: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
     """Changes to the per-job state counts. Their sum is the live job view: an append-only
-    log of +1 and -1, so no snapshot is rewritten and nothing is counted twice."""
+    log of +1 and -1, so no snapshot is rewritten and nothing is counted twice.
+
+    With ``replayed`` (``job_id, task_id, state, pos``, the last state of each task in the
+    history read so far) the changes are those after it. Transitions that the history
+    already holds change nothing, so history and stream may overlap.
+    """
     need = transitions.select("job_id", "task_id", "pos", "to_state")
-    return fold_stream(need, ["job_id", "task_id"], "pos", state_delta_step, DELTA_OUT, DELTA_STATE)
+    return fold_stream(need, ["job_id", "task_id"], "pos", state_delta_step, DELTA_OUT, DELTA_STATE, initial=replayed)
+
+
+def replayed_states(transitions: DataFrame) -> DataFrame:
+    """Last state of every task in a history, for ``state_delta_stream`` to start from."""
+    last = transitions.groupBy("job_id", "task_id").agg(F.max(F.struct("pos", "to_state")).alias("last"))
+    return last.select("job_id", "task_id", F.col("last.to_state").alias("state"), F.col("last.pos").alias("pos"))
 
 
 # --- stateless or built-in stateful streams ------------------------------------------------

@@ -114,3 +114,37 @@ def test_edge_admission_equals_one_by_one(spark, seed):
     p = spark.createDataFrame([(1, *x) for x in props], "job_id INT, pos BIGINT, child STRING, parent STRING")
     got = rows(graph.admit_edges(t, e, p).select("pos", "decision"))
     assert got == sorted(brute_admit(set(names), base, props), key=lambda r: str(r[0]))
+
+
+def brute_waves(n, pairs):
+    parents = {i: {p for c, p in pairs if c == i} for i in range(n)}
+    wave = {}
+    while True:
+        new = {i: 1 + max((wave[p] for p in ps), default=-1) for i, ps in parents.items() if i not in wave and all(p in wave for p in ps)}
+        if not new:
+            return wave
+        wave.update(new)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_waves_with_runs_trees_and_cycles(spark, seed):
+    rng = random.Random(seed)
+    n = 120
+    pairs = {(i, rng.randrange(max(0, i - 6), i)) for i in range(1, n) for _ in range(rng.choice([0, 1, 1, 1, 2])) if i}
+    if seed:
+        pairs |= {(20, 40), (41, 42), (42, 41), (60, 60)}
+    nodes = spark.createDataFrame([(1, i) for i in range(n)], "job_id INT, task_id INT")
+    done, left = graph.peel(nodes, spark.createDataFrame([(1, *p) for p in pairs], "job_id INT, child INT, parent INT"))
+    due = brute_waves(n, pairs)
+    assert {r.task_id: r.wave for r in done.collect()} == due
+    assert {r.task_id for r in left.collect()} == set(range(n)) - due.keys()
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, written = 10_000, []
+    monkeypatch.setattr(graph, "cut", lambda *a, f=graph.cut, **k: (written.append(a[1]), f(*a, **k))[1])
+    nodes = spark.range(n).selectExpr("1 AS job_id", "id AS task_id")
+    edges = spark.range(1, n).selectExpr("1 AS job_id", "id AS child", "id - 1 AS parent")
+    done = graph.waves(nodes, edges)
+    assert done.filter("wave <> task_id").count() == 0 and done.count() == n
+    assert len(written) < 25
