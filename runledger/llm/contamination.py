@@ -2,7 +2,8 @@
 
 Only DataFrame functions run here. Words are runs of letters and digits, lower-cased; a text
 of fewer words than a shingle is one shingle. An item is contained when ``threshold`` of its
-different shingles occur in a document.
+different shingles occur in a document; a shingle of fewer words, of a short item, occurs where
+these words follow each other.
 """
 
 from __future__ import annotations
@@ -29,6 +30,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def runs(text: Column, k: int) -> Column:
+    """All runs of ``k`` words, as text."""
+
+    def of(listed: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(listed) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(listed, i, k)))
+        return F.when(F.size(listed) >= k, each).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(text), of)
+
+
 def shingles(text: Column) -> Column:
     """The word runs of a text, as text."""
 
@@ -105,13 +116,26 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     n_rows = item_rows.count()
     classes = [int(r[0]) for r in item_rows.select("size_class").distinct().collect()]  # one per power of two
 
+    # word counts of shingles below SHINGLE words: four values at most
+    lengths = sorted(int(r[0]) for r in known.select(F.size(F.split("shingle", " ")).alias("k")).filter(f"k < {SHINGLE}").distinct().collect())
+
+    def with_runs(full: DataFrame, held: DataFrame, run: Callable[[Column], Column]) -> DataFrame:
+        """``full`` and the rows of ``held`` that ``run`` makes of the short word runs asked for."""
+        for k in lengths:
+            full = full.unionByName(held.select("doc_id", run(runs(F.col("text"), k))))
+        return full
+
+    def hashed(listed: Column) -> Column:
+        return F.transform(listed, lambda x: F.xxhash64(x))
+
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    spread = texts.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("h"))
+    spread = with_runs(texts.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("h")), texts, lambda x: F.explode(hashed(x)).alias("h"))
     least = joined_small(item_rows.select(F.col("v").alias("h")).distinct(), n_rows)
     touched = cut(spread.join(least, "h", "left_semi").select("doc_id").distinct(), "touched")
     held = cut(texts.join(touched, "doc_id", "left_semi"), "touched-texts")
 
     placed = held.select("doc_id", F.posexplode(shingle_hashes(F.col("text"))).alias("pos", "h"))
+    placed = with_runs(placed, held, lambda x: F.posexplode(hashed(x)).alias("pos", "h"))
     candidates = None
     for c in sorted(classes):
         blocks = placed.groupBy("doc_id", F.floor(F.col("pos") / (1 << c)).alias("block")).agg(*signature())
@@ -124,11 +148,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     candidates = cut(candidates, "candidates")
 
     wanted = candidates.join(known, "item_id")
-    there = (
-        held.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-        .select("doc_id", F.explode(shingles(F.col("text"))).alias("shingle"))
-        .distinct()
-    )
+    chosen = held.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    there = with_runs(chosen.select("doc_id", F.explode(shingles(F.col("text"))).alias("shingle")), chosen, lambda x: F.explode(x).alias("shingle")).distinct()
     counted = wanted.join(there, ["doc_id", "shingle"]).groupBy("doc_id", "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_found"))
     share = F.col("n_found") / F.col("n_shingles")
     return counted.filter(F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))).select(

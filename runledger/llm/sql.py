@@ -46,10 +46,17 @@ def decontamination() -> str:
     k = contamination.SHINGLE
 
     def sets(table: str, key: str) -> str:
+        short = "".join(
+            f"""
+  UNION SELECT DISTINCT {key}, unnest([array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})]) AS s
+  FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), {quoted(contamination.NOT_WORD)}), lambda x: x <> '') AS w FROM {table} WHERE EXISTS (
+    SELECT 1 FROM benchmark b WHERE len(list_filter(string_split_regex(lower(coalesce(b.text, '')), {quoted(contamination.NOT_WORD)}), lambda x: x <> '')) = {n}))"""
+            for n in range(1, k)
+        )
         return f"""
   SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {k} THEN [array_to_string(w[i:i + {k - 1}], ' ') FOR i IN range(1, len(w) - {k - 2})]
                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), {quoted(contamination.NOT_WORD)}), lambda x: x <> '') AS w FROM {table})"""
+  FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), {quoted(contamination.NOT_WORD)}), lambda x: x <> '') AS w FROM {table}){short if table == "documents" else ""}"""
 
     return f"""
 WITH d AS ({sets("documents", "doc_id")}

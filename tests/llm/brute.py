@@ -98,7 +98,8 @@ def contained(docs, items, share=0.8):
     sets = {i: shingle_set(t) for i, t in items}
     out = []
     for doc, text in docs:
-        have = shingle_set(text)
+        have, w = shingle_set(text), re.findall(r"[^\W_]+", (text or "").lower())
+        have |= {" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1)}
         for i, s in sets.items():
             n = len(s & have)
             if s and n >= share * len(s) - 1e-9:

@@ -510,3 +510,14 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {n: got.get(n, n) for n in nodes} == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_items_inside_long_documents(spark):
+    """Items of one to four words are found wherever their words follow each other, alone or in a longer text."""
+    rng = random.Random(12)
+    w = [f"x{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choice(w) for _ in range(rng.randint(1, 60)))) for i in range(80)] + [(90, "one two three four five six seven eight"), (91, "Three, four!"), (92, "")]
+    items = [(1, "three four five six"), (2, "three four"), (3, "eight"), (4, "four three"), (5, "x1 x2"), (6, "x3"), (7, None), (8, "x5 x6"), (8, docs[0][1])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id, r.n_shingles, r.n_found) for r in contamination.contained_items(d, i).collect() if r.item_id != 8)
+    assert got == contained(docs, items[:7]) and {(1, 90), (2, 90), (2, 91), (3, 90)} <= {r[:2] for r in got}
