@@ -18,10 +18,9 @@ GRAM, SLOT_BITS, HASHES = 4, 20, 2
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Texts learned from per language (expected number; those with the smallest hashes of their id).
 TRAIN_DOCS = 4_000
-#: Languages that a model has at most.
-MAX_LANGS = 1024
 #: A gram counts for a language if seen there so often, at this share at least of its best frequency.
-LEAST_SEEN, SHARE = 3, 0.5
+#: With few grams in all, once in ``SIGHTING`` of them suffices, so one short text is learned from too.
+LEAST_SEEN, SIGHTING, SHARE = 3, 10_000, 0.5
 UNDECIDED = "und"
 
 NOT_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -104,12 +103,12 @@ def held_out(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows given.
 
-    Of more than ``MAX_LANGS`` languages the most frequent are learned. About ``train_docs`` whole texts per language are read, chosen by a hash of ``doc_id``.
+    About ``train_docs`` whole texts per language are read, chosen by a hash of ``doc_id``.
     Counting and the filters' slots are Spark aggregates; the driver gets one row per
     language and one per slot (``2**SLOT_BITS`` at most).
     """
     labelled = small_batches(docs).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     found = {r["lang"]: r["n"] for r in sizes.collect()}
     langs = sorted(found)
     if not langs:
@@ -132,9 +131,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
     grams = chosen.select("l", "text").mapInArrow(counted, "l int, gram bigint, n bigint").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("l").agg(F.sum("n").alias("total"))
-    shares = grams.join(F.broadcast(totals), "l").select("l", "gram", "n", (F.col("n") / F.col("total")).alias("p"))
+    shares = grams.join(F.broadcast(totals), "l").select("l", "gram", "n", "total", (F.col("n") / F.col("total")).alias("p"))
     best = shares.groupBy("gram").agg(F.max("p").alias("best"))
-    kept = shares.join(best, "gram").filter((F.col("n") >= LEAST_SEEN) & (F.col("p") >= SHARE * F.col("best"))).select("l", "gram")
+    enough = F.least(F.lit(LEAST_SEEN), F.ceil(F.col("total") / SIGHTING))
+    kept = shares.join(best, "gram").filter((F.col("n") >= enough) & (F.col("p") >= SHARE * F.col("best"))).select("l", "gram")
     put = pa.schema([("w", pa.int32()), ("slot", pa.int64()), ("mask", pa.int64())])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -266,3 +266,30 @@ def phrase_rows(docs, least=30, top=2000):
         rows = sorted((r for r in rows if 100 * covered.get(r[0], 0) < 80 * r[1] or r[0] not in covered), key=lambda r: (-r[4], -r[1], b" ".join(r[0])))
         out += [(lang, i, b" ".join(p).decode(), a, left, right, n, score) for i, (p, a, left, right, score) in enumerate(rows[:top], 1)]
     return sorted(out)
+
+
+class GramSets:
+    """Language identification with plain sets of 4-grams in place of filters."""
+
+    def __init__(self, rows, least=3, sighting=10_000, share=0.5):
+        counts = {}
+        for text, lang in rows:
+            mine = counts.setdefault(lang, {})
+            for g in self.grams(text):
+                mine[g] = mine.get(g, 0) + 1
+        total = {x: sum(c.values()) for x, c in counts.items()}
+        best = {}
+        for x, c in counts.items():
+            for g, n in c.items():
+                best[g] = max(best.get(g, 0), n / total[x])
+        self.sets = {x: {g for g, n in c.items() if n >= min(least, -(-total[x] // sighting)) and n / total[x] >= share * best[g]} for x, c in counts.items()}
+
+    @staticmethod
+    def grams(text):
+        words = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode()).split()
+        body = b" " + b" ".join(words).ljust(2) + b" " if words else b""
+        return [body[i : i + 4] for i in range(len(body) - 3)]
+
+    def shares(self, text):
+        grams = self.grams(text)
+        return {x: sum(g in s for g in grams) / max(1, len(grams)) for x, s in sorted(self.sets.items())}

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import base_secrets, contained, fingerprint, ids_of, linked, packing_is_valid, pieces, repeats, similar_roots
+from brute import GramSets, base_secrets, contained, fingerprint, ids_of, linked, packing_is_valid, pieces, repeats, similar_roots
 from pyspark.sql import functions as F
 
 from runledger.llm import contamination, exact, language, license_scan, packing, secret_scan, simhash, substring, token_file, tokens
@@ -521,3 +521,21 @@ def test_short_items_inside_long_documents(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.item_id, r.doc_id, r.n_shingles, r.n_found) for r in contamination.contained_items(d, i).collect() if r.item_id != 8)
     assert got == contained(docs, items[:7]) and {(1, 90), (2, 90), (2, 91), (3, 90)} <= {r[:2] for r in got}
+
+
+def test_languages_equal_plain_sets(spark):
+    """Filters answer as sets of grams do; a language of one short text is learned as well."""
+    rng = random.Random(21)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["ster", "ung", "sch", "ei"], "cc": ["eau", "ment", "oi", "qu"], "dd": ["zrk", "vlt", "prn", "hm"]}
+    word = lambda x: "".join(rng.choice(syllables[x]) for _ in range(rng.randint(1, 4)))
+    text = lambda x, n: " ".join(word(x) for _ in range(n))
+    rows = [(i, text(x, rng.randint(3, 200)), x) for i, x in enumerate(rng.choices(["aa", "bb", "cc"], k=240))]
+    rows += [(1000 + i, text("dd", 12), "dd" if i == 0 else None) for i in range(6)]
+    rows = [r for r in rows if r[0] != 1000] + [next((i, t, "dd") for i, t, x in [(2000 + k, text("dd", 12), "dd") for k in range(9)] if zlib.crc32(str(i).encode()) % 4 != 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = GramSets([(t, x) for d, t, x in rows if x and zlib.crc32(str(d).encode()) % 4 != 2])
+    found = {r.doc_id: r.lang_pred for r in language.identify(df).collect()}
+    assert len(found) == len(rows) and {found[1000 + i] for i in range(1, 6)} == {"dd"}
+    for d, t, _ in rows:
+        shares = plain.shares(t)
+        assert shares[found[d]] >= max(shares.values()) - 0.01
