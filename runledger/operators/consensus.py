@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runledger.functions import fixed_values as fixed
 from runledger.functions import text as tx
 from runledger.operators import similarity as sim
+from runledger.operators.ordered import Ordered
 from runledger.session import cut
 
 def report_order() -> list[Column]:
@@ -83,26 +84,44 @@ def conflict_counts(clustered: DataFrame) -> DataFrame:
     )
 
 
-def conflict_pairs(clustered: DataFrame) -> DataFrame:
-    """Conflicts listed pair by pair, for jobs of the size one run can have.
+def conflict_founders(clustered: DataFrame) -> DataFrame:
+    """``job_id, place, task_id, title, claim, pos``: one side of conflicts each, numbered from 0 per job."""
+    heads = representatives(clustered).select("job_id", "task_id", "title", tx.headline(F.col("output")).alias("claim"), "pos")
+    return Ordered(heads, ["job_id"], "pos").row_number("place").done().withColumn("place", F.col("place") - 1)
 
-    The relation itself grows with the square of the positions of a job; where only the
-    number matters use ``conflict_counts``.
+
+def conflict_exceptions(clustered: DataFrame) -> DataFrame:
+    """``job_id, a, b``: founders (by ``pos``) that do not conflict, as they are over 0.30 alike."""
+    sets = sim.classes(representatives(clustered))
+    return sim.similar_pairs(sets, fixed.DISAGREEMENT, strict=True).select("job_id", "a", "b")
+
+
+def conflict_page(founders: DataFrame, exceptions: DataFrame, start: int, size: int) -> DataFrame:
+    """Conflicts number ``start`` up to ``start + size`` of every job, with both claims.
+
+    Every two founders of a job conflict unless they are excepted, so founders and
+    exceptions are the whole relation, and no more than a page of its pairs is ever
+    made. Pairs are numbered by their later founder, then by the earlier one; excepted
+    pairs keep their number and are left out of the page.
     """
-    heads = representatives(clustered).select("job_id", "task_id", "title", "pos", "tokens", "output")
-    a, b = heads.alias("a"), heads.alias("b")
-    met = a.join(b, (F.col("a.job_id") == F.col("b.job_id")) & (F.col("a.pos") < F.col("b.pos")))
-    kept = met.filter(tx.jaccard(F.col("a.tokens"), F.col("b.tokens")) <= fixed.DISAGREEMENT)
-    return kept.select(
-        "a.job_id",
-        F.col("a.task_id").alias("left_task"),
-        F.col("b.task_id").alias("right_task"),
-        F.concat(
-            F.lit("`"), "a.title", F.lit("` and `"), "b.title",
-            F.lit("` reached materially different conclusions"),
-        ).alias("description"),
-        tx.headline(F.col("a.output")).alias("left_claim"),
-        tx.headline(F.col("b.output")).alias("right_claim"),
+    many = founders.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    end = F.least(F.expr("n * (n - 1) div 2"), F.lit(start + size))
+    numbers = many.filter(end > start).select("job_id", F.explode(F.sequence(F.lit(start).cast("bigint"), end - 1)).alias("number"))
+    guess = F.floor((1 + F.sqrt(1 + 8 * F.col("number").cast("double"))) / 2).cast("bigint")
+    before = lambda x: x * (x - 1) / 2
+    later = F.when(before(guess) > F.col("number"), guess - 1).when(before(guess + 1) <= F.col("number"), guess + 1).otherwise(guess)
+    placed = numbers.withColumn("later", later).withColumn("earlier", F.col("number") - F.expr("later * (later - 1) div 2"))
+    side = lambda name: founders.select("job_id", F.col("place").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("task_id", "title", "claim", "pos")])
+    pairs = placed.join(side("earlier"), ["job_id", "earlier"]).join(side("later"), ["job_id", "later"])
+    alike = exceptions.select("job_id", F.col("a").alias("earlier_pos"), F.col("b").alias("later_pos"))
+    return pairs.join(alike, ["job_id", "earlier_pos", "later_pos"], "left_anti").select(
+        "job_id",
+        "number",
+        F.col("earlier_task_id").alias("left_task"),
+        F.col("later_task_id").alias("right_task"),
+        F.concat(F.lit("`"), "earlier_title", F.lit("` and `"), "later_title", F.lit("` reached materially different conclusions")).alias("description"),
+        F.col("earlier_claim").alias("left_claim"),
+        F.col("later_claim").alias("right_claim"),
     )
 
 

@@ -153,6 +153,27 @@ def conflict_counts(t):
     return op.conflict_counts(clustered(t))
 
 
+PAGE = 40
+
+
+@query(
+    "final_conflicts",
+    "O-TXT7 O-TXT9",
+    rows_sql("kind = 'answer'") + clusters_sql() + CONFLICTS
+    + f""", nb AS (SELECT *, {headline_sql('output')} AS claim, row_number() OVER (PARTITION BY job_id ORDER BY pos) - 1 AS place FROM hd),
+  pg AS (SELECT a.job_id, b.place * (b.place - 1) // 2 + a.place AS number, a.task_id AS left_task, b.task_id AS right_task,
+      '`' || a.title || '` and `' || b.title || '` reached materially different conclusions' AS description, a.claim AS left_claim, b.claim AS right_claim,
+      a.pos AS ap, b.pos AS bp FROM nb a JOIN nb b ON a.job_id = b.job_id AND a.place < b.place)
+  SELECT pg.job_id, number, left_task, right_task, description, left_claim, right_claim FROM pg WHERE number < {PAGE}
+    AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.job_id = pg.job_id AND pr.ap = pg.ap AND pr.bp = pg.bp AND sim > 0.3)""",
+)
+def final_conflicts(t):
+    """The first page of every job's conflicts, both claims of each."""
+    c = clustered(t)
+    founders = cut(op.conflict_founders(c), "founders")
+    return op.conflict_page(founders, op.conflict_exceptions(c), 0, PAGE)
+
+
 @query(
     "report_order",
     "O-JN6 O-SRT3",

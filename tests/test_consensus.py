@@ -67,7 +67,8 @@ def test_conflicts(spark):
     df = answers(spark, (RAFT_A, 0.5), (PAXOS, 0.5), job="apart")
     df = df.unionByName(answers(spark, (RAFT_A, 0.5), (RAFT_B, 0.5), job="same"))
     c = similarity.greedy_clusters(positioned(df), fixed.SAME_ANSWER).cache()
-    assert [r.job_id for r in consensus.conflict_pairs(c).collect()] == ["apart"]
+    found = consensus.conflict_page(consensus.conflict_founders(c), consensus.conflict_exceptions(c), 0, 10).collect()
+    assert [(r.job_id, r.number, r.left_claim == r.right_claim) for r in found] == [("apart", 0, False)]
     assert rows(consensus.conflict_counts(c).select("job_id", "conflicts")) == [("apart", 1), ("apart", 1), ("same", 0)]
 
 
@@ -200,3 +201,16 @@ def test_pairs_by_bounds_and_grid_equal_all_pairs(spark, monkeypatch):
         size_of = {r.pos: len(r.ids) for r in coded.collect()}
         met = sum(bool(prefix[a] & prefix[b]) and min(size_of[a], size_of[b]) >= threshold * max(size_of[a], size_of[b]) for a in prefix for b in prefix if a < b)
         assert len(due) <= tried <= met and (tried - len(due)) * 2 <= met - len(due)
+
+
+def test_conflict_pages_hold_every_pair_once(spark):
+    df = answers(spark, *[(x, 0.5) for x in family_texts(5, 60)])
+    c = similarity.greedy_clusters(positioned(df), fixed.SAME_ANSWER).cache()
+    heads = sorted((r.pos, r.task_id, frozenset(r.tokens)) for r in consensus.representatives(c).collect())
+    alike = lambda a, b: bool(a & b) and len(a & b) / len(a | b) > fixed.DISAGREEMENT
+    due = {(a[1], b[1]) for i, a in enumerate(heads) for b in heads[i + 1 :] if not alike(a[2], b[2])}
+    founders, exceptions = consensus.conflict_founders(c).cache(), consensus.conflict_exceptions(c).cache()
+    n = len(heads) * (len(heads) - 1) // 2
+    pages = [consensus.conflict_page(founders, exceptions, at, n // 2 + 1).collect() for at in (0, n // 2 + 1, 2 * n)]
+    found = [(r.left_task, r.right_task) for page in pages for r in page]
+    assert len(found) == len(set(found)) and set(found) == due and not pages[2]
