@@ -97,7 +97,7 @@ def kv_prefix_scan(t):
     return kv.list_prefix(records, "BUILDING", "Customer#0000000", 1000).select("key", "version")
 
 
-_WAIT = "CASE WHEN attempt <= 1 THEN 500 WHEN attempt = 2 THEN 1000 ELSE 2000 END"
+WAIT = "CASE WHEN attempt <= 1 THEN 500 WHEN attempt = 2 THEN 1000 ELSE 2000 END"
 LEASES = with_views("v_lease_events", recursive=True) + f""", nx AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY pos) AS n
       FROM v_lease_events),
   st(task_id, n, pos, outcome, cause, place, attempt, due) AS (
@@ -111,8 +111,8 @@ LEASES = with_views("v_lease_events", recursive=True) + f""", nx AS (SELECT *, r
       CASE raw WHEN 'granted' THEN attempt + 1 WHEN 'released' THEN greatest(attempt - 1, 0) ELSE attempt END,
       CASE raw WHEN 'granted' THEN at_us + duration_ms * 1000 WHEN 'extended' THEN at_us + duration_ms * 1000
         WHEN 'acknowledged' THEN 0 WHEN 'released' THEN at_us
-        WHEN 'failed' THEN CASE WHEN attempt < max_attempts THEN at_us + ({_WAIT} // 2 + (at_us % 1000000 * 1000)
-          % ({_WAIT} - {_WAIT} // 2 + 1)) * 1000 ELSE 0 END ELSE due END
+        WHEN 'failed' THEN CASE WHEN attempt < max_attempts THEN at_us + ({WAIT} // 2 + (at_us % 1000000 * 1000)
+          % ({WAIT} - {WAIT} // 2 + 1)) * 1000 ELSE 0 END ELSE due END
     FROM (SELECT st.task_id, nx.n, nx.pos, nx.op, nx.at_us, nx.duration_ms, nx.max_attempts, st.place, st.attempt, st.due,
         CASE WHEN op = 'grant' THEN CASE WHEN place = 'ready' AND due <= at_us THEN 'granted' ELSE 'unavailable' END
           WHEN op = 'sweep' THEN CASE WHEN place = 'leased' AND due <= at_us THEN 'failed' ELSE 'nothing' END

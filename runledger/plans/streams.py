@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.operators import monitor, queueing
 from runledger.plans import match  # noqa: F401 - registers the SQL reused below
-from runledger.plans.records import APPENDS, KV, LEASES, appended_moves, journal_records
+from runledger.plans.records import APPENDS, KV, LEASES, WAIT, appended_moves, journal_records
 from runledger.plans.registry import SQL, query, with_views
 from runledger.session import cut, scratch_path
 from runledger.sources import journal, ordered_journal
@@ -30,13 +30,45 @@ def stream_leases(t):
     return op.drain(op.lease_stream(t.stream_view("v_lease_events")), "leases")
 
 
-@query("stream_lease_expiry", "O-STM2 with timers")
+_SWEPT = "((due + 999) // 1000 * 1000)"
+
+
+@query(
+    "stream_lease_expiry", "O-STM2 with timers",
+    # the lease log without sweeps, then a sweep of each lease that has lapsed by the last watermark
+    LEASES.replace("FROM v_lease_events)", "FROM v_lease_events WHERE op <> 'sweep')", 1)
+    + f""", w AS (SELECT (max(at_us) // 1000 - 600000) * 1000 AS now FROM v_lease_events WHERE op <> 'sweep'),
+    e AS (SELECT task_id, attempt, {_SWEPT} AS at_us FROM st, w WHERE place = 'leased' AND {_SWEPT} <= now
+      AND (task_id, n) IN (SELECT task_id, max(n) FROM st GROUP BY task_id))
+    SELECT task_id, pos, outcome, cause, place, attempt, due AS due_us FROM st WHERE n > 0
+    UNION ALL SELECT task_id, -1, CASE WHEN attempt < 3 THEN 'requeued' ELSE 'parked' END, 'lease expired',
+      CASE WHEN attempt < 3 THEN 'ready' ELSE 'dead' END, attempt, CASE WHEN attempt < 3 THEN at_us + ({WAIT} // 2
+        + (at_us % 1000000 * 1000) % ({WAIT} - {WAIT} // 2 + 1)) * 1000 ELSE 0 END FROM e""",
+)
 def stream_lease_expiry(t):
     events = t.stream_view("v_lease_events").filter("op <> 'sweep'")
     timed = events.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", "10 minutes")
     return op.drain(op.lease_stream_with_expiry(timed), "lease-expiry")
 
 
+_DAY = 86_400_000_000
+_QUIET = _DAY // 3
+
+
+@query(
+    "stream_silences", "O-DCL8 O-STM2 with timers",
+    f"""WITH w AS (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 AS now FROM events),
+    b AS (SELECT user_id AS node_id, epoch_us(ts) AS at_us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next_us FROM events),
+    g AS (SELECT * FROM b WHERE (next_us IS NULL OR next_us - at_us > 3 * {_QUIET}::BIGINT))
+    SELECT node_id, 'lost' AS change, at_us AS lost_us, cast(NULL AS bigint) AS back_us FROM g, w WHERE at_us + 3 * {_QUIET}::BIGINT <= now
+    UNION ALL SELECT node_id, 'back', at_us, next_us FROM g, w WHERE next_us <= now""",
+)
+def stream_silences(t):
+    """Users without an event for a day, found by timers, and their returns."""
+    beats = t.stream_view("v_attempts").select(F.col("task_id").alias("node_id"), "at_us", F.timestamp_micros("at_us").alias("at"))
+    return op.drain(op.silence_stream(beats.withWatermark("at", "10 minutes"), _QUIET), "silences")
+
+
 @query("stream_kv", "O-STM5 O-STM6", KV + " SELECT key, pos, accepted, actual AS actual_version FROM st WHERE n > 0")
 def stream_kv(t):
     out = op.kv_stream(t.stream_view("v_kv_writes"))

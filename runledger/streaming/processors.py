@@ -115,7 +115,7 @@ def lease_stream_with_expiry(events: DataFrame) -> DataFrame:
     """
 
     def due(state: dict) -> int | None:
-        return state["due_us"] // 1000 if state["place"] == "leased" else None
+        return -(-state["due_us"] // 1000) if state["place"] == "leased" else None  # never before it lapses
 
     def wake(key: tuple, at_us: int) -> pd.DataFrame:
         return pd.DataFrame(
@@ -184,6 +184,102 @@ def replayed_states(transitions: DataFrame) -> DataFrame:
     return last.select("job_id", "task_id", F.col("last.to_state").alias("state"), F.col("last.pos").alias("pos"))
 
 
+SILENCE_OUT = "node_id BIGINT, change STRING, lost_us BIGINT, back_us BIGINT"
+SILENCE_STATE = "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>, told BOOLEAN"
+
+
+def joined_runs(runs: list[tuple[int, int]], limit_us: int) -> list[tuple[int, int]]:
+    """Runs of beats with no gap above the limit. A late beat may join runs, never part them."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(runs):
+        if out and start - out[-1][1] <= limit_us:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+class SilenceProcessor(StatefulProcessor):
+    """Losses and returns of a node, told once no beat that could change them can come.
+
+    The state is the node's runs of beats since the last settled silence, one or two as a
+    rule and at most one per limit within the watermark's delay, whatever the number of
+    beats. A timer waits for the first run's end plus the limit (lost), then for the start
+    of the run after it (back).
+    """
+
+    def __init__(self, limit_us: int) -> None:
+        self.limit_us, self.state_schema = limit_us, T.StructType.fromDDL(SILENCE_STATE)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("runs", self.state_schema)
+
+    def _read(self) -> tuple[list[tuple[int, int]], bool]:
+        if not self.state.exists():
+            return [], False
+        starts, ends, told = self.state.get()
+        return [(int(s), int(e)) for s, e in zip(starts, ends)], bool(told)
+
+    def _due(self, runs: list[tuple[int, int]], told: bool) -> int | None:
+        """Next time worth waking at, in microseconds."""
+        if not told:
+            return runs[0][1] + self.limit_us
+        return runs[1][0] if len(runs) > 1 else None
+
+    def _keep(self, runs: list[tuple[int, int]], told: bool) -> None:
+        self.state.update(([s for s, _ in runs], [e for _, e in runs], told))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = self._due(runs, told)
+        if due is not None:
+            self.handle.registerTimer(-(-due // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        runs, told = self._read()
+        for part in rows:
+            beats = part["at_us"].sort_values().to_numpy()
+            if len(beats):
+                cuts = (beats[1:] - beats[:-1] > self.limit_us).nonzero()[0]
+                starts, ends = beats[[0, *(cuts + 1)]], beats[[*cuts, -1]]
+                runs = joined_runs(runs + list(zip(starts.tolist(), ends.tolist())), self.limit_us)
+        if runs:
+            self._keep(runs, told)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        (runs, told), found = self._read(), []
+        while runs and (due := self._due(runs, told)) is not None and due <= now:
+            if told:
+                found.append((key[0], "back", runs[0][1], runs[1][0]))
+                runs = runs[1:]
+            else:
+                found.append((key[0], "lost", runs[0][1], None))
+            told = not told
+        if runs:
+            self._keep(runs, told)
+        out = pd.DataFrame(found, columns=["node_id", "change", "lost_us", "back_us"])
+        yield out.astype({"back_us": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(beats: DataFrame, interval_us: int, missed: int = 3) -> DataFrame:
+    """Changes of each node (``node_id, at_us`` and a watermarked timestamp ``at``): ``lost``
+    once the watermark is ``missed`` intervals past its last beat, also if it never comes
+    back, and ``back`` with the first beat after that. Beats may come in any order within
+    the watermark's delay and more than once; rows with a null time are left out.
+    """
+    beats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    need = beats.select("node_id", "at_us", "at").filter("at_us IS NOT NULL AND node_id IS NOT NULL")
+    return need.groupBy("node_id").transformWithStateInPandas(
+        statefulProcessor=SilenceProcessor(interval_us * missed), outputStructType=T.StructType.fromDDL(SILENCE_OUT),
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
 # --- stateless or built-in stateful streams ------------------------------------------------
 
 

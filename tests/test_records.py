@@ -170,6 +170,16 @@ def test_lease_timer_sweeps(spark, tmp_path):
     assert sorted((r.outcome, r.cause) for r in got.collect()) == [("granted", ""), ("requeued", "lease expired")]
 
 
+def test_lease_timer_waits_for_the_last_microsecond(spark, tmp_path):
+    source, ddl = str(tmp_path / "in"), "task_id BIGINT, pos BIGINT, at_us BIGINT, op STRING, duration_ms BIGINT, max_attempts INT"
+    for part in ([(1, 0, 10_000_007, "grant", 1000, 3)], [(2, 1, 9_000_000_000, "grant", 1000, 3)]):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(source)
+    timed = stream.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", "1 minute")
+    got = processors.drain(processors.lease_stream_with_expiry(timed), "leases").filter("task_id = 1")
+    assert sorted((r.outcome, r.cause) for r in got.collect()) == [("granted", ""), ("requeued", "lease expired")]
+
+
 def test_wrongly_typed_or_missing_fields_are_corrupt(spark, tmp_path):
     typed = '{"record": "task_transitioned", "seq": 1, "job_id": "j", "task_id": "t", "attempt": "two", "transition": {"to": "queued"}}'
     missing = '{"record": "task_completed", "job_id": "j", "result": {"title": "x"}}'
