@@ -351,18 +351,30 @@ def open_members(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
     return rest.join(open_ones, ["space", "fp"])
 
 
+def fingerprint_classes(docs: DataFrame, worded: DataFrame) -> DataFrame:
+    """``doc_id, space, fp``: the SimHash class (``near_groups``) of each document in ``worded``.
+
+    ``space`` is -1, which no band has, and ``fp`` the smallest ``doc_id`` of the class.
+    """
+    found = near_groups(docs).join(worded, "doc_id", "left_semi")
+    return found.select("doc_id", F.lit(-1).alias("space"), F.col("component_id").alias("fp")).distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot_rows: int = TILE_ROWS) -> DataFrame:
     """``node, root`` of documents in classes of near copies, by checked links.
 
-    Documents that share a fingerprint of ``bands`` are candidates; a pair is a link if the
+    Documents of one class of SimHash fingerprints (``near_groups``, operator 10) are
+    candidates. Copies with more edits than the fingerprints bear are found by ``bands``:
+    documents that share one of these are candidates as well. A pair is a link if the
     shingle sets have at least ``similarity`` in common, and all candidates count. First each
     bucket's head, the document with the most candidates, is compared with the bucket. Where
     a bucket then still has several classes, they are walked in one task (``links_across``),
     or, of over ``hot_rows`` documents, in a task for every two of its parts.
     """
-    prints = cut(bands(docs, similarity, shingle), "bands")
+    found = cut(bands(docs, similarity, shingle), "bands")
+    prints = found.unionByName(fingerprint_classes(docs, found.filter("space = 0").select("doc_id")))
     shared = prints.groupBy("space", "fp").agg(F.count("*").alias("mates")).filter("mates > 1")
-    rows = cut(prints.join(shared, ["space", "fp"]), "buckets", replaces=prints)
+    rows = cut(prints.join(shared, ["space", "fp"]), "buckets", replaces=found)
     degrees = rows.groupBy("doc_id").agg(F.sum("mates").alias("degree"))
     heads = rows.join(degrees, "doc_id").groupBy("space", "fp").agg((-F.max(F.struct("degree", -F.col("doc_id")))["col2"]).alias("head"))
     rows = cut(rows.join(heads, ["space", "fp"]).select("doc_id", "space", "fp", "head").distinct(), "headed", replaces=rows)

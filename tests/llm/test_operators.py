@@ -426,6 +426,20 @@ def test_drop_near_copies(spark, odd, none):
     assert alone <= left
 
 
+def test_drop_near_copies_goes_through_the_fingerprints(spark, monkeypatch):
+    """With no band shared, copies of one SimHash class go, unless their five-word runs differ."""
+    real = simhash.bands
+    monkeypatch.setattr(simhash, "bands", lambda *a: real(*a).withColumn("fp", F.col("doc_id")))
+    rng = random.Random(31)
+    body = " ".join(f"y{rng.randrange(3000)}" for _ in range(1500))
+    phrase = " ".join(["one two three"] * 40)
+    rows = [(1, body), (2, body + " end"), (3, f"start {body}"), (4, None), (5, ""), (6, phrase), (7, "one two three"), (8, "else")]
+    classes = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert classes[2] == classes[3] == 1 and classes[5] == 4
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5, 6, 7, 8]
+
+
 def roots_of(texts):
     """The smallest id that each text reaches, all pairs compared."""
     ids, codes = sorted(texts), {}
