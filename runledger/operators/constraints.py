@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUT = "table_name STRING, rule STRING, key STRING, n BIGINT"
-_ENTRY = "array<struct<space:int,slot:int,key:string>>"
 
 
 class Rule(NamedTuple):
@@ -61,7 +60,7 @@ def _key(columns: tuple[str, ...]) -> Column:
     columns have ``\\`` and ``/`` escaped, so that different keys never read the same."""
     parts = [F.col(c).cast("string") for c in columns]
     if len(parts) > 1:
-        parts = [F.regexp_replace(p, r"([\\/])", r"\\$1") for p in parts]
+        parts = [F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/")) for p in parts]
     return F.concat(*[p for c in parts for p in (F.lit("/"), c)][1:])
 
 
@@ -109,7 +108,9 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule], ids: dict[str, str])
     # a check is broken by one row, a unique key by the second
     most = F.when(F.col("space") < sum(m[0].kind == "check" for m in spaces), 0).otherwise(1)
     hits = [_hit(F.col("n0") > most, 0)] + [_hit((F.col("n0") == 0) & (F.col(f"n{s}") > 0), s) for s in slots[1:]]
-    broken = counts.select("space", "key", F.inline(F.array_compact(F.array(*hits))))
+    # most values break nothing; they end here, before an array is made of their counts
+    kept = counts.filter((F.col("n0") > most) | (F.col("n0") == 0))
+    broken = kept.select("space", "key", F.inline(F.array_compact(F.array(*hits))))
     names = F.array(*[
         F.array(*[F.struct(F.lit(r.table_name).alias("table_name"), F.lit(r.rule).alias("rule")) for r in m]) for m in spaces
     ])
@@ -140,6 +141,5 @@ def _one_pass(df: DataFrame, own: list[tuple[int, int, Rule]], id_column: str) -
             counts = ~F.expr(rule.predicate)
         elif rule.predicate:
             counts &= F.expr(rule.predicate)
-        entry = F.struct(F.lit(space).alias("space"), F.lit(slot).alias("slot"), key.alias("key"))
-        entries.append(F.when(counts, entry))
-    return df.select(F.inline(F.array_compact(F.array(*entries)).cast(_ENTRY)))
+        entries += [F.when(counts, F.lit(space)), F.lit(slot), key]
+    return df.select(F.stack(F.lit(len(own)), *entries).alias("space", "slot", "key")).filter("space IS NOT NULL")

@@ -76,3 +76,12 @@ def test_a_hot_value_against_plain_counts(spark):
     found = op.audit({"parents": parents, "children": children}, RULES, IDS)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert rows(found) == sorted(want, key=str)
+
+
+def test_rows_that_break_nothing_cost_no_array(spark):
+    """Entries are stacked and counted; arrays are made of the broken values alone."""
+    parents = spark.createDataFrame([("p1", 1, "a/b\\", "c", "")] * 2 + [("p2", 1, "a", "/b\\/c", "")] * 2, PARENT)
+    found = op.audit({"parents": parents, "children": spark.createDataFrame([], CHILD)}, RULES, IDS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate inline") == 1 and "regexp_replace" not in plan
+    assert {r.key for r in found.filter("rule LIKE 'unique a%'").collect()} == {"a\\/b\\\\/c", "a/\\/b\\\\\\/c"}
