@@ -25,9 +25,19 @@ def _ends(edges: DataFrame, end: str) -> DataFrame:
     return edges.select("job_id", F.col(end).alias("task_id"))
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """One side of a join that grows with the graph: met by a merge, never sent through the driver.
+
+    Spark 4.1 may take a union of tables for dealt as a merge needs it, and then fails where
+    adaptive execution has joined partitions of only some of them; so unions are dealt anew.
+    """
+    side.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return side.hint("merge")
+
+
 def unknown_dependencies(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     known = tasks.select("job_id", F.col("task_id").alias("parent"))
-    return edges.join(known, ["job_id", "parent"], "left_anti")
+    return edges.join(_merged(known), ["job_id", "parent"], "left_anti")
 
 
 def heads(lone: DataFrame) -> DataFrame:
@@ -41,7 +51,7 @@ def heads(lone: DataFrame) -> DataFrame:
     n = hop.count()
     for _ in range(math.ceil(math.log2(n + 1)) if n else 0):
         onward = hop.select("job_id", F.col("task_id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
-        joined = hop.join(onward, ["job_id", "head"], "left").select(
+        joined = hop.join(_merged(onward), ["job_id", "head"], "left").select(
             "job_id", "task_id", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
             F.col("next").isNotNull().alias("moved"),
         )
@@ -62,16 +72,16 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     how many of their dependencies are met so far and the longest chain among those.
     """
     ends = edges.select("job_id", "child", "parent").distinct()
-    ends = ends.join(nodes.select("job_id", F.col("task_id").alias("child")), ["job_id", "child"], "left_semi")
+    ends = ends.join(_merged(nodes.select("job_id", F.col("task_id").alias("child"))), ["job_id", "child"], "left_semi")
     need = ends.groupBy("job_id", "child").agg(F.count(F.lit(1)).alias("need"))
-    ends = cut(ends.join(need, ["job_id", "child"]), "edges")
+    ends = cut(ends.join(_merged(need), ["job_id", "child"]), "edges")
     hung = cut(heads(ends.filter("need = 1")), "heads")
     through = hung.select("job_id", F.col("task_id").alias("parent"), "head", "steps")
-    merges = ends.filter("need > 1").join(through, ["job_id", "parent"], "left").select(
+    merges = ends.filter("need > 1").join(_merged(through), ["job_id", "parent"], "left").select(
         "job_id", "child", "need", F.coalesce("head", "parent").alias("head"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")
     )
     merges = cut(merges, "merges")
-    free = nodes.select(*NODE).distinct().join(_ends(ends, "child"), NODE, "left_anti")
+    free = nodes.select(*NODE).distinct().join(_merged(_ends(ends, "child")), NODE, "left_anti")
     free = free.select(*NODE, F.lit(0).cast("bigint").alias("need"), F.lit(0).cast("bigint").alias("met"), F.lit(0).alias("wave"))
     rounds = [cut(free, "wave")]
     while True:
@@ -79,7 +89,7 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if front.isEmpty():
             break
         met = (
-            merges.join(front, ["job_id", "head"])
+            merges.join(_merged(front), ["job_id", "head"])
             .groupBy("job_id", F.col("child").alias("task_id"), "need")
             .agg(F.count(F.lit(1)).alias("met"), F.max(F.col("wave") + F.col("steps")).alias("wave"))
         )
@@ -87,9 +97,9 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         rounds.append(cut(part.unionByName(met).groupBy(*NODE, "need").agg(F.sum("met").alias("met"), F.max("wave").alias("wave")), "wave"))
     written = nodes.sparkSession.read.schema(rounds[0].schema).parquet(*[r._cut_path for r in rounds])
     first = written.filter("met = need").select(*NODE, "wave")
-    behind = hung.join(first.select("job_id", F.col("task_id").alias("head"), F.col("wave").alias("at")), ["job_id", "head"])
+    behind = hung.join(_merged(first.select("job_id", F.col("task_id").alias("head"), F.col("wave").alias("at"))), ["job_id", "head"])
     done = first.unionByName(behind.select(*NODE, (F.col("at") + F.col("steps")).alias("wave")))
-    return done, nodes.select(*NODE).distinct().join(done, NODE, "left_anti")
+    return done, nodes.select(*NODE).distinct().join(_merged(done), NODE, "left_anti")
 
 
 def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,9 +124,9 @@ def cycle_members(stuck: DataFrame, edges: DataFrame) -> DataFrame:
     Among stuck tasks each has a stuck dependency; following the smallest one far
     enough must enter a cycle. The walk is doubled each round, so it takes log(n) joins.
     """
-    inside = edges.join(stuck.withColumnRenamed("task_id", "child"), ["job_id", "child"], "left_semi")
+    inside = edges.join(_merged(stuck.withColumnRenamed("task_id", "child")), ["job_id", "child"], "left_semi")
     inside = inside.join(
-        stuck.withColumnRenamed("task_id", "parent"), ["job_id", "parent"], "left_semi"
+        _merged(stuck.withColumnRenamed("task_id", "parent")), ["job_id", "parent"], "left_semi"
     )
     hop = cut(
         inside.groupBy("job_id", F.col("child").alias("task_id")).agg(F.min("parent").alias("to")),
@@ -126,7 +136,7 @@ def cycle_members(stuck: DataFrame, edges: DataFrame) -> DataFrame:
     for _ in range(math.ceil(math.log2(n + 1)) if n else 0):
         onward = hop.select("job_id", F.col("task_id").alias("to"), F.col("to").alias("next"))
         hop = cut(
-            hop.join(onward, ["job_id", "to"]).select("job_id", "task_id", F.col("next").alias("to")),
+            hop.join(_merged(onward), ["job_id", "to"]).select("job_id", "task_id", F.col("next").alias("to")),
             "hop",
             replaces=hop,
         )
@@ -138,7 +148,7 @@ def graph_errors(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     missing = unknown_dependencies(tasks, edges).groupBy("job_id").agg(
         F.countDistinct("child").alias("missing")
     )
-    known = edges.join(tasks.select("job_id", F.col("task_id").alias("parent")), ["job_id", "parent"], "left_semi")
+    known = edges.join(_merged(tasks.select("job_id", F.col("task_id").alias("parent"))), ["job_id", "parent"], "left_semi")
     stuck = cut(peel(tasks, known)[1], "stuck")
     counts = stuck.groupBy("job_id").agg(F.count(F.lit(1)).alias("stuck"))
     named = cycle_members(stuck, known)
@@ -166,11 +176,11 @@ def reach(start: DataFrame, edges: DataFrame, within: DataFrame | None = None) -
     seen = front
     found = front.limit(0)
     while not front.isEmpty():
-        step = edges.join(front.withColumnRenamed("task_id", "parent"), ["job_id", "parent"])
+        step = edges.join(_merged(front.withColumnRenamed("task_id", "parent")), ["job_id", "parent"])
         nxt = _ends(step, "child").distinct()
         if within is not None:
-            nxt = nxt.join(within, NODE, "left_semi")
-        front = cut(nxt.join(seen, NODE, "left_anti"), "front")
+            nxt = nxt.join(_merged(within), NODE, "left_semi")
+        front = cut(nxt.join(_merged(seen), NODE, "left_anti"), "front")
         seen = seen.unionByName(front)
         found = found.unionByName(front)
     return found
@@ -188,7 +198,7 @@ def cancel_stranded(tasks: DataFrame, edges: DataFrame, depth: DataFrame) -> Dat
     ``depth`` (job_id, depth) gives what is still queued or leased per job.
     """
     lost = stranded(tasks, edges).withColumn("lost", F.lit(True))
-    out = tasks.join(lost, NODE, "left").join(depth, "job_id", "left")
+    out = tasks.join(_merged(lost), NODE, "left").join(depth, "job_id", "left")
     idle = F.coalesce("depth", F.lit(0)) == 0
     return out.withColumn(
         "new_state", F.when(F.col("lost") & idle, "cancelled").otherwise(F.col("state"))

@@ -148,3 +148,21 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     done = graph.waves(nodes, edges)
     assert done.filter("wave <> task_id").count() == 0 and done.count() == n
     assert len(written) < 25
+
+
+def test_loops_send_no_side_of_a_join_through_the_driver(spark, monkeypatch):
+    """Every written step of the walks and of peeling joins by merging, however small its tables are."""
+    plans, write = [], graph.cut
+
+    def noted(df, *names, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *names, **more)
+
+    monkeypatch.setattr(graph, "cut", noted)
+    nodes = spark.createDataFrame([("j", i, "dead_lettered" if i == 1 else "queued") for i in range(1, 30)], "job_id string, task_id long, state string")
+    links = [("j", i, i // 2) for i in range(2, 30)] + [("j", i, i // 3) for i in range(3, 30)] + [("j", 4, 9), ("j", 5, 99)]
+    links = spark.createDataFrame(links, "job_id string, child long, parent long")
+    assert graph.stranded(nodes, links).count() == 28
+    row = graph.graph_errors(nodes, links).first()
+    assert (row.missing, row.stuck) == (1, 16)
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
