@@ -214,3 +214,30 @@ def test_conflict_pages_hold_every_pair_once(spark):
     pages = [consensus.conflict_page(founders, exceptions, at, n // 2 + 1).collect() for at in (0, n // 2 + 1, 2 * n)]
     found = [(r.left_task, r.right_task) for page in pages for r in page]
     assert len(found) == len(set(found)) and set(found) == due and not pages[2]
+
+
+def test_long_unlike_sets_are_not_compared_word_by_word(spark, monkeypatch):
+    """Sets too long for their signatures, with many rare words in common, but none alike."""
+    rng = random.Random(3)
+    words = [f"word{i:03d}" for i in range(650)]
+    sets = similarity.classes(positioned(answers(spark, *[(" ".join(rng.sample(words, 500)), 0.5) for _ in range(40)])))
+    compared, verify = [], similarity._verify
+    monkeypatch.setattr(similarity, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    assert similarity.keep_first(sets, 0.85).count() == 40 and sum(compared) == 0
+
+
+def test_words_of_one_hash_stay_two_words(spark):
+    """Numbers of a set differ, and sets alike only by hash are told apart by their words."""
+    same = spark.range(300_000).select(F.concat(F.lit("word"), "id").alias("w")).groupBy(F.hash("w").alias("h"))
+    left, right = same.agg(F.sort_array(F.collect_list("w")).alias("ws")).filter("size(ws) > 1").first().ws[:2]
+    shared = [f"shared{i}" for i in range(5)]
+    texts = [[left, right, *shared], [left, right, *shared, "more"], [left, *shared[:4]], [right, *shared[:4]]]
+    df = positioned(answers(spark, *[(" ".join(x), 0.5) for x in texts]))
+    assert all(len(set(r.ids)) == len(r.ids) == len(texts[i]) for i, r in enumerate(similarity.encode(similarity.classes(df)).orderBy("pos").collect()))
+    assert sorted(r.task_id for r in similarity.drop_redundant(df, 0.85).collect()) == [0, 2, 3]
+
+
+def test_outputs_are_not_written_again_without_texts(spark):
+    df = answers(spark, (RAFT_A, 0.5), (RAFT_B, 0.5))
+    placed = similarity.positioned(df, consensus.report_order(), texts=False)
+    assert "output" not in placed.columns and placed.select("tokens").collect() == positioned(df).select("tokens").collect()
