@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -156,14 +156,45 @@ DELTA_OUT = "job_id BIGINT, state STRING, delta BIGINT"
 DELTA_STATE = "state STRING, pos BIGINT"
 
 
-def state_delta_step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-    """Leave the old state, enter the new one; nothing if the batch ends where it began."""
-    job, last, pos = rows["job_id"].iloc[0], rows["to_state"].iloc[-1], int(rows["pos"].iloc[-1])
-    old = state["state"] if state else None
-    if state and state["pos"] > pos:
-        last, pos = old, state["pos"]
-    moves = [] if old == last else [(job, last, 1)] + ([(job, old, -1)] if old else [])
-    return pd.DataFrame(moves, columns=["job_id", "state", "delta"]), {"state": last, "pos": pos}
+def state_delta_step(job: int | None, state: str | None, pos: int, before: tuple[str, int] | None) -> tuple[list[tuple], tuple]:
+    """Leave the old state, enter the new one; nothing if it is the same or was passed before."""
+    old = before[0] if before else None
+    if before and before[1] > pos:
+        state, pos = before
+    moves = [] if old == state else [(job, state, 1)] + ([(job, old, -1)] if old else [])
+    return moves, (state, pos)
+
+
+class StateDeltaProcessor(StatefulProcessor):
+    """Runs ``state_delta_step`` on the last transition of a task in each micro-batch.
+
+    Works on rows: a task has a few of them in a micro-batch, and a data frame for each task
+    would cost more than all of its transitions.
+    """
+
+    def __init__(self) -> None:
+        self.state_schema = T.StructType.fromDDL(DELTA_STATE)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", self.state_schema)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """Start a task where a history ended; only in the first micro-batch of a stream."""
+        self.state.update((initialState["state"], initialState["pos"]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = None
+        for row in rows:
+            if last is None or row["pos"] >= last["pos"]:
+                last = row
+        before = self.state.get()
+        moves, after = state_delta_step(key[0], last["to_state"], last["pos"], before)
+        if after != before:
+            self.state.update(after)
+        return (Row(job_id=job, state=state, delta=delta) for job, state, delta in moves)
+
+    def close(self) -> None:
+        pass
 
 
 def state_delta_stream(transitions: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
@@ -174,8 +205,13 @@ def state_delta_stream(transitions: DataFrame, replayed: DataFrame | None = None
     history read so far) the changes are those after it. Transitions that the history
     already holds change nothing, so history and stream may overlap.
     """
-    need = transitions.select("job_id", "task_id", "pos", "to_state")
-    return fold_stream(need, ["job_id", "task_id"], "pos", state_delta_step, DELTA_OUT, DELTA_STATE, initial=replayed)
+    transitions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keys = ["job_id", "task_id"]
+    return transitions.select(*keys, "pos", "to_state").groupBy(*keys).transformWithState(
+        statefulProcessor=StateDeltaProcessor(), outputStructType=T.StructType.fromDDL(DELTA_OUT),
+        outputMode="Append", timeMode="None",
+        initialState=None if replayed is None else replayed.select(*keys, "state", "pos").groupBy(*keys),
+    )
 
 
 def replayed_states(transitions: DataFrame) -> DataFrame:
