@@ -241,3 +241,40 @@ def test_outputs_are_not_written_again_without_texts(spark):
     df = answers(spark, (RAFT_A, 0.5), (RAFT_B, 0.5))
     placed = similarity.positioned(df, consensus.report_order(), texts=False)
     assert "output" not in placed.columns and placed.select("tokens").collect() == positioned(df).select("tokens").collect()
+
+
+def test_unlike_sets_of_one_vocabulary_share_few_keys(spark):
+    """Twice the sets over the same words: no more keys in common, as no single word is one."""
+    rng = random.Random(6)
+    words = [f"word{i:04d}" for i in range(3_000)]
+    weights = [1 / (i + 5) for i in range(3_000)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.choice([40, 150, 400]))) for _ in range(400)]
+    texts += [x + f" added{i}" for i, x in enumerate(texts[:20])]
+    sets = similarity.classes(positioned(answers(spark, *[(x, 0.5) for x in texts])))
+    tokens = {r.pos: frozenset(r.tokens) for r in sets.collect()}
+    keys = {}
+    for r in similarity.postings(similarity.encode(sets), 0.85).collect():
+        keys.setdefault((r.job_id, r.tok), set()).add(r.pos)
+    met = {(a, b) for ps in keys.values() for a in ps for b in ps if a < b}
+    due = {(a, b) for a in tokens for b in tokens if a < b and brute_alike(tokens[a], tokens[b], 0.85)}
+    assert len(due) >= 20 and due <= met and len(met) <= len(texts)
+
+
+@pytest.mark.parametrize("t", [0.85, 0.5, 0.3])
+def test_sets_at_the_threshold_share_a_key(spark, t):
+    """As different as the threshold lets them be, at every size and across size classes."""
+    rng = random.Random(11)
+    words = [f"term{i:04d}" for i in range(2_000)]
+    texts = []
+    for n in [*range(1, 30), 60, 113, 114, 300]:
+        base = rng.sample(words, n)
+        texts += [" ".join(base), " ".join(base[: max(1, -int(-n * t // 1))]), " ".join(base + rng.sample(words, int(n / t) - n))]
+    sets = similarity.classes(positioned(answers(spark, *[(x, 0.5) for x in texts])))
+    tokens = {r.pos: frozenset(r.tokens) for r in sets.collect()}
+    due = {(a, b) for a in tokens for b in tokens if a < b and brute_alike(tokens[a], tokens[b], t)}
+    found = {tuple(r) for r in similarity._candidates(similarity.postings(similarity.encode(sets), t), t).collect()}
+    assert due and due <= found
+
+
+def brute_alike(a, b, t):
+    return bool(a & b) and len(a & b) / len(a | b) >= t
