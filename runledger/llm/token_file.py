@@ -12,7 +12,6 @@ and last the counts of both and ``MAGIC``.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,17 +21,21 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import batch_of, chunks, column, shared_uri, small_batches, strings
+from runledger.llm.common import batch_of, chunks, column, small_batches, strings
 from runledger.llm.tokens import ENCODED_CHARS, spaced_encoder
-from runledger.session import cut
+from runledger.session import scratch_path
 
 MAGIC, BLOCK, FIT = b"PFOR0001", 256, 0.9
 #: Bytes of one bit of all values of a block; a block's packed part holds these bit by bit.
 PLANE = BLOCK // 8
 FLUSH_IDS, READ_BLOCKS, DOC_ROWS = 1 << 20, 4096, 10_000
+#: Bytes of packed ids from which on the documents that follow go to another file of the task.
+FILE_BYTES = 16 << 20
 TAIL, TAIL_BYTES = "<QQQ8s", 32
 
-MANIFEST = "path string, first_doc bigint, n_docs bigint, n_ids bigint, n_bytes bigint"
+#: A file's folder tells its first document, its number within its task, and the counts of documents and ids.
+NAMED = r"/file=(none|-?\d+)_(\d+)_(\d+)_(\d+)/[^/]*$"
+WRITTEN = "file string, content binary"
 READ_BACK = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -85,12 +88,14 @@ def unpack_blocks(data: bytes, start: np.ndarray, low: np.ndarray, width: np.nda
 
 
 class Writer:
-    """Streams ids to a file; memory holds one flush of ids and the two indexes."""
-
-    def __init__(self, uri: str):
-        self._fs, path = fs.FileSystem.from_uri(uri)
-        self._fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self._out = self._fs.open_output_stream(path)
+    """Streams ids to a URI or a stream; memory holds one flush of ids and the two indexes."""
+
+    def __init__(self, target: str | pa.NativeFile):
+        if isinstance(target, str):
+            system, path = fs.FileSystem.from_uri(target)
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            target = system.open_output_stream(path)
+        self._out = target
         self._held: list[bytes] = []
         self._held_ids = self._place = 0
         self._index: list[tuple[np.ndarray, ...]] = []
@@ -105,6 +110,11 @@ class Writer:
         if self._held_ids >= FLUSH_IDS:
             self._flush(False)
 
+    @property
+    def n_packed(self) -> int:
+        """Bytes of packed ids so far."""
+        return self._place
+
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self._held), dtype="<u4")
         whole = len(ids) // BLOCK * BLOCK
@@ -142,13 +152,16 @@ class Writer:
 class Reader:
     """The documents of a file and their ids, a run of blocks at a time."""
 
-    def __init__(self, uri: str):
-        system, path = fs.FileSystem.from_uri(uri)
-        self._in = system.open_input_file(path)
+    def __init__(self, source: str | pa.Buffer):
+        if isinstance(source, str):
+            system, path = fs.FileSystem.from_uri(source)
+            self._in = system.open_input_file(path)
+        else:
+            self._in = pa.BufferReader(source)
         size = self._in.size()
         self._payload, n_blocks, n_docs, magic = struct.unpack(TAIL, self._in.read_at(TAIL_BYTES, size - TAIL_BYTES))
         if magic != MAGIC:
-            raise ValueError(f"{uri} is not a token file")
+            raise ValueError(f"{source} is not a token file")
         at = self._payload
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -199,49 +212,71 @@ class Reader:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Write the ids of all documents in ascending ``doc_id``; one manifest row per file.
 
-    A range partition of ``doc_id`` becomes one file in the shared folder. A task names its
-    file anew at every attempt and readers follow the manifest, so files of lost or doubled
-    attempts are never read. Texts are read whole; a null text is empty (its end id only), a
-    null ``doc_id`` comes first, equal ids follow the order of their texts. No documents, no
-    files. Other columns are not read.
+    A range partition of ``doc_id`` becomes files of about ``FILE_BYTES`` in the shared folder.
+    Spark writes and reads them, so any store that it reaches will do, and commits no file of
+    a lost or doubled attempt. Its text writer adds ``MAGIC`` behind each file's one row of
+    bytes. The manifest is read from the names; ``content`` is read only where it is used.
+    Texts are read whole; a null text is empty (its end id only), a null ``doc_id`` comes
+    first, equal ids follow the order of their texts. No documents, no files. Other columns
+    are not read.
     """
     spark = docs.sparkSession
-    folder = shared_uri(spark, "token-files")
-    schema = pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
+    folder = scratch_path(spark, "token-files")
+    schema = pa.schema([("file", pa.string()), ("content", pa.binary())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, first, uri = spaced_encoder(tokenizer_path), None, None, ""
+        encode, out, sink, name, number = spaced_encoder(tokenizer_path), None, None, "", 0
+
+        def closed() -> pa.RecordBatch:
+            n_docs, n_ids, n_bytes = out.close()
+            content = sink.getvalue().slice(0, n_bytes - len(MAGIC))
+            places = pa.py_buffer(np.array([0, len(content)], dtype=np.int32))
+            return batch_of(schema, file=[f"{name}_{n_docs}_{n_ids}"], content=pa.Array.from_buffers(pa.binary(), 1, [None, places, content]))
+
         for batch in batches:
             texts, ids = strings(batch), column(batch, "doc_id").to_pylist()
-            if out is None and texts:
-                uri, first = f"{folder}/{uuid.uuid4().hex}.pfor", ids[0]
-                out = Writer(uri)
             for a, b in chunks(texts, ENCODED_CHARS):
                 for doc_id, found in zip(ids[a:b], encode(texts[a:b]), strict=True):
+                    if out is None:
+                        sink, name = pa.BufferOutputStream(), f"{'none' if doc_id is None else doc_id}_{number}"
+                        out = Writer(sink)
                     out.add(doc_id, found + end)
+                    if out.n_packed >= FILE_BYTES:
+                        yield closed()
+                        out, number = None, number + 1
         if out is not None:
-            n_docs, n_ids, n_bytes = out.close()
-            yield batch_of(schema, path=[uri], first_doc=[first], n_docs=[n_docs], n_ids=[n_ids], n_bytes=[n_bytes])
+            yield closed()
 
     ordered = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    files = ordered.mapInArrow(write, WRITTEN).select("file", F.col("content").cast("string").alias("value"))
+    files.write.partitionBy("file").option("lineSep", MAGIC.decode()).option("compression", "none").text(folder)
+    first, number, n_docs, n_ids = (F.regexp_extract("path", NAMED, i) for i in (1, 2, 3, 4))
+    return spark.read.format("binaryFile").load(folder).select(
+        "path",
+        F.when(first != "none", first).cast("bigint").alias("first_doc"),
+        number.cast("bigint").alias("number"),
+        n_docs.cast("bigint").alias("n_docs"),
+        n_ids.cast("bigint").alias("n_ids"),
+        F.col("length").alias("n_bytes"),
+        "content",
+    )
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Read files back: ``doc_id, start, n_tokens, ids_crc32`` per document.
 
     ``start`` counts the ids of all documents before it. The window that adds up the files
-    has one row per file.
+    has one row per file, as has the side of the join that is sent to every task.
     """
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(column(batch, "path").to_pylist(), column(batch, "base").to_pylist(), strict=True):
-                file = Reader(path)
+            for content, base in zip(column(batch, "content"), column(batch, "base").to_pylist(), strict=True):
+                file = Reader(content.as_buffer())
                 sizes = file.sizes.astype(np.int64)
                 starts, crcs = np.cumsum(sizes) - sizes + base, []
                 for i, crc in file.documents():
@@ -257,5 +292,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         )
                         crcs = []
 
-    # a number of partitions, as the few manifest rows would else be joined into one task
-    return placed.repartition(max(1, manifest.count()), "path").mapInArrow(read, READ_BACK)
+    files = manifest.select("path", "content").join(F.broadcast(placed), "path").select("base", "content")
+    return files.mapInArrow(read, READ_BACK)
