@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.session import scratch_path
@@ -36,15 +37,26 @@ def small_batches(docs: DataFrame) -> DataFrame:
 
 
 def shared_uri(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` as a URI that Python workers can open too."""
-    path = scratch_path(spark, label)
-    if path.startswith("file:"):
-        return "file://" + path.removeprefix("file:").removeprefix("//")
-    if "://" in path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must be a full URI, such as hdfs://host/folder")
-    return f"file://{path}"
+    """A new folder below ``spark.checkpoint.dir``, with the scheme by which Spark finds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, label))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def to_workers(spark: SparkSession, uri: str) -> str:
+    """A name by which ``on_worker`` finds a written folder, whatever store it is in.
+
+    Python workers open a mounted folder where it is; of any other Spark brings a copy to
+    every executor.
+    """
+    if uri.startswith("file:"):
+        return "/" + uri.removeprefix("file:").lstrip("/")
+    spark.sparkContext.addFile(uri, recursive=True)
+    return uri.rpartition("/")[2]
+
+
+def on_worker(name: str) -> str:
+    """The local path of a folder that went through ``to_workers``."""
+    return name if name.startswith("/") else SparkFiles.get(name)
 
 
 def per_process(name: str) -> dict:

@@ -8,12 +8,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import batch_of, chunks, column, per_process, shared_uri, small_batches, strings
+from runledger.llm.common import batch_of, chunks, column, on_worker, per_process, shared_uri, small_batches, strings, to_workers
 from runledger.session import cut
 
 #: Bytes of a gram, the last of which is foretold; up to ``SHARED`` bytes both classes share their counts.
@@ -149,21 +148,20 @@ class Model:
     more than one part at a time, however large the model.
     """
 
-    def __init__(self, uri: str, parts: int, line: tuple[float, float] = (1.0, 0.0), always: float | None = None):
-        self.uri, self.parts, self.line, self.always = uri, parts, line, always
+    def __init__(self, name: str, parts: int, line: tuple[float, float] = (1.0, 0.0), always: float | None = None):
+        self.name, self.parts, self.line, self.always = name, parts, line, always
 
     def _part(self, number: int) -> tuple[np.ndarray, ...]:
         """Sorted codes and values of grams and of contexts; the part used last stays loaded."""
         held = per_process("toxicity parts")
-        if held.get("name") != (self.uri, number):
+        if held.get("name") != (self.name, number):
             held.clear()
-            system, path = fs.FileSystem.from_uri(f"{self.uri}/part={number}")
-            table = pq.read_table(path, filesystem=system, columns=["kind", "code", "value"], partitioning=None)
+            table = pq.read_table(f"{on_worker(self.name)}/part={number}", columns=["kind", "code", "value"], partitioning=None)
             kind, code, value = (table.column(n).to_numpy() for n in ("kind", "code", "value"))
             order = np.lexsort((code, kind))
             kind, code, value = kind[order], code[order], value[order]
             cut_at = int(np.searchsorted(kind, 1))
-            held |= {"name": (self.uri, number), "part": (code[:cut_at], value[:cut_at], code[cut_at:], value[cut_at:])}
+            held |= {"name": (self.name, number), "part": (code[:cut_at], value[:cut_at], code[cut_at:], value[cut_at:])}
         return held["part"]
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
@@ -248,7 +246,7 @@ def train(marked: DataFrame, labels: DataFrame) -> Model:
     placed = entries.withColumn("part", F.explode(F.when(F.col("byte") < 0, every).otherwise(F.array((F.col("byte") % parts).cast("int")))))
     uri = shared_uri(spark, "toxicity-model")
     placed.select("part", "kind", "code", "value").repartition(parts, "part").write.partitionBy("part").parquet(uri)
-    model = Model(uri, parts)
+    model = Model(to_workers(spark, uri), parts)
     fold = labelled(marked.filter(~counted), labels)
     rate = min(1.0, CALIBRATION_ROWS * FOLD / max(1, sum(rows.values())))
     chosen = fold.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < rate * 1_000_000)

@@ -1,5 +1,6 @@
 """Operators whose files Python workers make or read, with shared folders that only Spark can open."""
 
+import uuid
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 
 from runledger import session
-from runledger.llm import token_file, tokens
+from runledger.llm import token_file, tokens, toxicity
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 DOC = "doc_id long, text string"
@@ -16,10 +17,11 @@ DOC = "doc_id long, text string"
 @pytest.fixture(params=["spark only", "no scheme"])
 def store(request, spark, tmp_path, monkeypatch):
     """The shared folder in a file system that Arrow does not know, and as a plain path on a cluster."""
-    link, hadoop = "fs.viewfs.mounttable.runs.link./shared", spark._jsc.hadoopConfiguration()
+    name, hadoop = f"runs{uuid.uuid4().hex}", spark._jsc.hadoopConfiguration()  # its mounts are kept by name
+    link = f"fs.viewfs.mounttable.{name}.link./shared"
     if request.param == "spark only":
         hadoop.set(link, f"file://{tmp_path}")
-        monkeypatch.setattr(session, "shared_dir", lambda spark: "viewfs://runs/shared")
+        monkeypatch.setattr(session, "shared_dir", lambda spark: f"viewfs://{name}/shared")
     else:
         monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
         monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
@@ -56,3 +58,11 @@ def test_an_id_with_many_rows_becomes_several_files(spark, monkeypatch):
     assert manifest.filter("n_docs > 0").count() > spark.createDataFrame(docs, DOC).repartitionByRange("doc_id").rdd.getNumPartitions()
     got = token_file.read_token_files(manifest).collect()
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == read_back(docs, 2)
+
+
+def test_toxicity(spark, store):
+    docs = [(i, f"krazok lo{i % 3} ba" if i % 3 == 0 else f"sha{i % 5} ne lo") for i in range(120)]
+    df, marks = spark.createDataFrame(docs, DOC), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    rows = toxicity.toxicity(df, marks).collect()
+    assert {r.doc_id: r.predicted for r in rows} == {i: int(i % 3 == 0) for i, _ in docs}
+    assert list(store.glob("toxicity-model-*/part=0/*.parquet"))
